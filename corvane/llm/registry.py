@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from corvane.llm import line_dedup
+from corvane.llm import line_dedup, mixing
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op5_mixing": mixing.query,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
+    "op5_mixing": mixing.SQL,
 }
