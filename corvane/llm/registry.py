@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvane.llm import line_dedup, mixing
+from corvane.llm import line_dedup, mixing, simhash
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
+    "op3_simhash": simhash.query,
     "op5_mixing": mixing.query,
 }
 ORACLE = {
