@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from corvane.llm import line_dedup, mixing, simhash
+from corvane.llm import bpe, line_dedup, mixing, simhash, warc
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
+    "op4_warc": warc.query,
     "op5_mixing": mixing.query,
+    "op10_bpe": bpe.query,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
+    "op4_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
 }
