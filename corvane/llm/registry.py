@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, line_dedup, mixing, simhash, warc
+from corvane.llm import bpe, line_dedup, mixing, simhash, toxicity, warc
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
     "op4_warc": warc.query,
     "op5_mixing": mixing.query,
+    "op8_toxicity": toxicity.query,
     "op10_bpe": bpe.query,
 }
 ORACLE = {
