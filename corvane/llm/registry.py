@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, line_dedup, mixing, simhash, toxicity, warc
+from corvane.llm import bpe, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
     "op4_warc": warc.query,
     "op5_mixing": mixing.query,
+    "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
     "op10_bpe": bpe.query,
 }
@@ -16,4 +17,5 @@ ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
+    "op7_quality": quality.SQL,
 }
