@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, line_dedup, mixing, quality, simhash, toxicity, warc
+from corvane.llm import bpe, html_text, line_dedup, mixing, quality, simhash, toxicity, warc
 
 QUERIES = {
+    "op1_html_text": html_text.query,
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
     "op4_warc": warc.query,
