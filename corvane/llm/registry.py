@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, html_text, line_dedup, mixing, quality, simhash, toxicity, warc
+from corvane.llm import bpe, html_text, line_dedup, mixing, quality, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": mixing.query,
     "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
+    "op9_vectors": vectors.query,
     "op10_bpe": bpe.query,
 }
 ORACLE = {
