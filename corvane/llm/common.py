@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, *by: str) -> str:
+    """The path of `df` written as Parquet in the shared folder, in folders by these columns, one file each."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
+    return path
+
+
+def folder_table(path: str, columns: list[str]) -> pa.Table | None:
+    """The Parquet files of one folder of the shared storage, for a task; None where there is no such folder."""
+    store, root = fs.FileSystem.from_uri(path)
+    found = [x.path for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".parquet")]
+    return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read(columns=columns) for x in sorted(found)]) if found else None
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns. Further columns may have any name, also the same one in other case or twice; of equal names the first counts."""
     at = [df.columns.index(x) for x in names]

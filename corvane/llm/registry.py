@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.llm import bpe, html_text, line_dedup, mixing, quality, simhash, toxicity, vectors, warc
+from corvane.llm import bpe, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.query,
     "op4_warc": warc.query,
     "op5_mixing": mixing.query,
+    "op6_repeats": repeats.query,
     "op7_quality": quality.query,
     "op8_toxicity": toxicity.query,
     "op9_vectors": vectors.query,
