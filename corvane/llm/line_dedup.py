@@ -40,11 +40,11 @@ def shard_of(column: str, shards: int) -> F.Column:
     return F.pmod(F.xxhash64(column), F.lit(shards)).cast("int")
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """doc_id, text in bytes, and `row`: a digest of both, by which a decision finds its document again."""
-    own = common.pick(docs, "doc_id", "text")
+def _documents(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text in bytes, and `row`: a digest of both, by which a decision finds its document again; then the columns to keep."""
+    own = common.pick(docs, "doc_id", "text", *keep)
     row = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary"), F.lit(b"\0"), common.as_bytes(F.col("text")))))
-    return own.select("doc_id", common.as_bytes(F.col("text")).alias("text"), row.alias("row"))
+    return own.select("doc_id", common.as_bytes(F.col("text")).alias("text"), row.alias("row"), *keep)
 
 
 class LineIndex:
@@ -161,11 +161,11 @@ class LineIndex:
         every = own.unionByName(exact).unionByName(filters)
         return every.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(probe, "row binary, line int")
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept_text of every document."""
-        own = _documents(docs)
+    def apply(self, docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept_text of every document, and the text columns named in `keep`."""
+        own = _documents(docs, keep)
         drops = self.hits(own).groupBy("row").agg(F.collect_set("line").alias("drop"))
-        joined = own.join(drops, "row", "left").select("doc_id", "text", "drop")
+        joined = own.join(drops, "row", "left").select("doc_id", "text", "drop", *keep)
 
         def kept(batch: dict) -> dict:
             n, out, gone = [], [], []
@@ -177,9 +177,9 @@ class LineIndex:
                     parts[i] = None
                 gone.append(len(drop))
                 out.append(b"\n".join(x for x in parts if x is not None))
-            return {"doc_id": batch["doc_id"], "n_lines": n, "n_dropped": gone, "kept_text": pa.array(out, pa.binary()).cast(pa.string())}
+            return {"doc_id": batch["doc_id"], "n_lines": n, "n_dropped": gone, "kept_text": pa.array(out, pa.binary()).cast(pa.string())} | {k: batch[k] for k in keep}
 
-        return common.per_batch(joined, kept, "doc_id long, n_lines long, n_dropped long, kept_text string")
+        return common.per_batch(joined, kept, "doc_id long, n_lines long, n_dropped long, kept_text string" + "".join(f", {k} string" for k in keep))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

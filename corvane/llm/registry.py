@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from corvane.llm import bpe, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_html_text": html_text.query,
     "op2_line_dedup": line_dedup.query,
     "op3_simhash": simhash.query,
@@ -22,3 +24,5 @@ ORACLE = {
     "op5_mixing": mixing.SQL,
     "op7_quality": quality.SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

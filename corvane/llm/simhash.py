@@ -16,6 +16,7 @@ Further columns are not looked at.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -52,13 +53,13 @@ def fingerprint(text: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, fp: the fingerprint's 64 bits as a signed long."""
+    """doc_id, fp: the fingerprint's 64 bits as a signed long; and digest, which tells the texts of an id apart."""
     def step(batch: dict) -> dict:
         found = np.array([fingerprint(x.as_py(), words) for x in batch["text"]], dtype=np.uint64)
-        return {"doc_id": batch["doc_id"], "fp": found.view(np.int64)}
+        return {"doc_id": batch["doc_id"], "fp": found.view(np.int64), "digest": pa.array([hashlib.md5(x.as_py()).digest() for x in batch["text"]], pa.binary())}
 
     own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), common.as_bytes(F.col("text")).alias("text"))
-    return common.per_batch(own, step, "doc_id long, fp long")
+    return common.per_batch(own, step, "doc_id long, fp long, digest binary")
 
 
 def _postings(fps: DataFrame) -> DataFrame:
@@ -179,14 +180,25 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found
 
 
-def components_of(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """doc_id, fp, component_id for rows (doc_id, fp)."""
+def groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """fp, root, component_id: the group that each distinct fingerprint is in, and its least doc_id, for rows (doc_id, fp)."""
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
     member = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return member.join(ids, "root").select("fp", "root", "component_id")
+
+
+def components_of(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id, fp, component_id for rows (doc_id, fp)."""
+    return prints.join(groups(prints, limit), "fp").select("doc_id", "fp", "component_id")
+
+
+def representatives(prints: DataFrame) -> DataFrame:
+    """doc_id, digest of the one row that stays of each group: that with the least doc_id, then the least digest; an id goes before a null."""
+    own = prints.join(groups(prints).select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    return own.groupBy("root").agg(first).select("first.doc_id", "first.digest")
 
 
 def hexadecimal(column: str) -> F.Column:

@@ -78,7 +78,7 @@ def vocabulary(sample: DataFrame, associated: int, frequent: int) -> list[str]:
 
 
 def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, vec: counts of the vocabulary's terms in the whole text, as pairs of 32-bit place and count."""
+    """doc_id, digest of the text, vec: counts of the vocabulary's terms in the whole text, as pairs of 32-bit place and count."""
     place = {x: i for i, x in enumerate(terms)}
 
     def step(batch: dict) -> dict:
@@ -94,10 +94,10 @@ def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
                 for i in at:
                     counts[i] += n
             out.append(np.array(sorted(counts.items()), dtype="<u4").tobytes())
-        return {"doc_id": batch["doc_id"], "vec": pa.array(out, pa.binary())}
+        return {"doc_id": batch["doc_id"], "digest": batch["digest"], "vec": pa.array(out, pa.binary())}
 
     own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.per_batch(own, step, "doc_id long, vec binary", dict)
+    return common.per_batch(own.withColumn("digest", common.digest_of(F.col("text"))), step, "doc_id long, digest binary, vec binary", dict)
 
 
 def frequencies(vecs: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
@@ -187,7 +187,7 @@ class Index:
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbours: int = NEIGHBOURS, associated: int = ASSOCIATED, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, score, predicted, and as evidence the ids and cosines of the nearest examples."""
+    """doc_id, held_out, score, predicted, as evidence the ids and cosines of the nearest examples, and a digest that tells the texts of an id apart."""
     spark = docs.sparkSession
     sample = common.cut(examples_of(labels, fit_rows))
     own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -204,11 +204,11 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbo
         found = [batch[""].score(x, neighbours) for x in batch["vec"].to_pylist()]
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
         join = lambda i, kind: np.concatenate([np.empty(0, kind), *(x[i] for x in found)])
-        return {"doc_id": batch["doc_id"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}
+        return {"doc_id": batch["doc_id"], "digest": batch["digest"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}
 
-    out = common.per_batch(vecs, step, "doc_id long, score double, evidence array<long>, cosines array<double>", lambda: shared.value)
-    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", "cosines")
+    out = common.per_batch(vecs, step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", lambda: shared.value)
+    return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", "cosines", "digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    return scored(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")).drop("digest")
