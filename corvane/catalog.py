@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = "metric_summary"
+from corvane.plans import search  # noqa: F401
+from corvane.plans.registry import ORACLE, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
+FLAGSHIP = "bm25_topk"
