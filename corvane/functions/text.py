@@ -57,8 +57,10 @@ def cer(got: Column, want: Column) -> Column:
 
 
 def column_index(letters: Column) -> Column:
-    """A spreadsheet column's number from its letters."""
-    return F.aggregate(F.split(letters, ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64)
+    """A spreadsheet column's number from its letters, three at most."""
+    padded = F.lpad(letters, 3, "@")
+    digit = lambda i: F.ascii(F.substring(padded, i, 1)) - 64
+    return digit(1) * 676 + digit(2) * 26 + digit(3)
 
 
 def cell_range(text: Column) -> Column:
