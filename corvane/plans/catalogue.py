@@ -50,7 +50,8 @@ def range_overlap_match(spark: SparkSession, sf: str) -> DataFrame:
     letter = lambda c: F.when(c < 26, F.char(65 + c)).otherwise(F.concat(F.lit("A"), F.char(65 + c - 26)))
     c0, r0 = F.col("l_suppkey") % 26, F.col("l_quantity").cast("int")
     text = F.concat(letter(c0), r0.cast("string"), F.lit(":"), letter(c0 + 2), (r0 + F.col("l_linenumber")).cast("string"))
-    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("i"), T.cell_range(text).alias("r"))
+    own = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.col("l_linenumber").alias("i"), F.explode(F.array(text)).alias("text"))
+    own = own.select("sheet", "i", F.explode(F.array(T.cell_range(F.col("text")))).alias("r"))  # generated rows, so that uses of r don't repeat the parsing
     a, b = own.select("sheet", F.col("i").alias("a"), F.col("r").alias("x")), own.select("sheet", F.col("i").alias("b"), F.col("r").alias("y"))
     return a.join(b, "sheet").where((F.col("a") < F.col("b")) & T.overlaps(F.col("x"), F.col("y"))).select("sheet", "a", "b", T.contains_range(F.col("x"), F.col("y")).alias("contains"))
 
