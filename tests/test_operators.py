@@ -106,3 +106,11 @@ def test_index_batches(spark, tmp_path):
     for _ in range(2):  # the same batch may come again
         sink(spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), 1)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/v1").collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_hashed_vectors(spark):
+    from corvane.operators.embedding import embedded, hashed
+
+    got = embedded(spark.createDataFrame([(1, "One two, one"), (2, ""), (3, None)], "doc_id int, text string"), 16).collect()
+    assert {r.doc_id: list(r.vector) for r in got} == {1: hashed(["one", "two", "one"], 16), 2: [0.0] * 16, 3: [0.0] * 16}
+    assert abs(sum(x * x for x in hashed(["one", "two", "one"], 16)) - 1) < 1e-9
