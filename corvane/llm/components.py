@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-CHUNK = 1_000_000
+CHUNK, SALTS = 1_000_000, 8
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,10 +51,18 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
+def _met(edges: DataFrame, by: str, other: str, least: DataFrame, how: str) -> DataFrame:
+    """Edges with column m of `least` (x, m) for their node `by`; a node's edges are spread by their other end."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    least = least.select(F.col("x").alias(by), "m", each)
+    return edges.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(least, [by, "salt"], how).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root: the least node reachable, for every node of an edge between two nodes. Edges may repeat and stand either way round.
 
-    Each round halves the depth of the trees at least; rounds end when the edges no longer change, and each is cut from its lineage.
+    Edges (u, v) run from the greater node to the lesser. A large-star step hangs each u on the least node next to v; a small-star step
+    hangs u and all but its least neighbour on that neighbour. Rounds end when the edges no longer change, and each is cut from its lineage.
     """
     now = common.cut(_contracted(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")))
     last = None
@@ -63,10 +71,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == last or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         last = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = now.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        large = _met(now, "v", "u", least, "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
+        small = _met(large, "u", "v", least, "inner")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = common.cut(small.where("u <> v").distinct())
