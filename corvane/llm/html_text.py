@@ -33,7 +33,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 LANDMARKS = frozenset("nav footer aside form menu dialog search".split())
 #: Words in a class, id or role that name what is not main text.
 NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar aside nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs footer foot footnav header masthead topbar toolbar comment comments commentlist reply replies respond responses disqus discussion widget widgets pagination pager copyright legal login signin search skip contentinfo complementary dialog hidden".split())
-FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "landmark", "named", "article", "heading", "page_article")
+FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "set_apart", "article", "heading")
 
 
 @dataclass
@@ -77,6 +77,7 @@ def blocks_of(html: str) -> list[Block]:
     held: list[tuple[str, bool]] = []
     links, heading, silent = 0, False, None
     state = (False, False, False, False)
+    mine = (False, False)  # named and labelled, of the paragraph or heading that is open
 
     def close() -> None:
         if held:
@@ -84,7 +85,7 @@ def blocks_of(html: str) -> list[Block]:
             text = " ".join(unescape("".join(x for x, _ in held)).split())
             if text:
                 words = len(text.split())
-                out.append(Block(text, words, min(words, sum(len(x) for x, linked in pieces if linked)), *state[:3], heading, state[3]))
+                out.append(Block(text, words, min(words, sum(len(x) for x, linked in pieces if linked)), state[0], state[1] or mine[0], state[2], heading, state[3] or mine[1]))
             held.clear()
 
     at = 0
@@ -108,7 +109,7 @@ def blocks_of(html: str) -> list[Block]:
                 links = max(0, links - 1)
             elif tag in BLOCKS:
                 close()
-                heading = False
+                heading, mine = False, (False, False)
                 if tag in HELD and any(x[0] == tag for x in stack):
                     while stack.pop()[0] != tag:
                         pass
@@ -124,6 +125,7 @@ def blocks_of(html: str) -> list[Block]:
             held.append((" ", False))
         elif tag in BLOCKS:
             close()
+            mine = (False, False)
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
             if tag in HELD and tag not in VOID:
                 links = 0
@@ -132,21 +134,8 @@ def blocks_of(html: str) -> list[Block]:
                 stack.append((tag, *_marks(tag, found[3] or "", any(x[3] for x in stack))))
                 state = tuple(any(x[i] for x in stack) for i in range(1, 5))
             elif tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and found[3]:
-                own = _marks(tag, found[3], state[2])
-                if own[1] or own[3]:
-                    stack.append((tag, *own))
-                    state = tuple(any(x[i] for x in stack) for i in range(1, 5))
-                    inner = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                    end = inner.start() if inner else len(html)
-                    part = html[at:end]
-                    if "<" not in part:
-                        held.append((part, False))
-                        close()
-                        at = end
-                    stack.pop()
-                    if "<" in part:
-                        continue
-                    state = tuple(any(x[i] for x in stack) for i in range(1, 5))
+                _, named, _, label = _marks(tag, found[3], state[2])
+                mine = (named, label)
     close()
     return out
 
@@ -157,9 +146,10 @@ def features(blocks: list[Block]) -> np.ndarray:
     own = np.array([(x.words, x.density) for x in blocks], dtype=np.float64).reshape(n, 2)
     before, after = np.zeros((n, 2)), np.zeros((n, 2))
     before[1:], after[:-1] = own[:-1], own[1:]
-    marks = np.array([(x.landmark, x.named, x.article, x.heading) for x in blocks], dtype=np.float64).reshape(n, 4)
-    whole = np.full((n, 1), float(any(x.article and not x.named for x in blocks)))
-    return np.hstack([own, before, after, marks, whole])
+    articles = any(x.article and not (x.landmark or x.named) for x in blocks)
+    # Set apart: in a landmark or under a name of such, or outside the article of a page that has one.
+    marks = np.array([(x.landmark or x.named or (articles and not x.article), x.article, x.heading) for x in blocks], dtype=np.float64).reshape(n, 3)
+    return np.hstack([own, before, after, marks])
 
 
 class Tree:
@@ -226,10 +216,16 @@ def training_pages() -> list[str]:
                 around % f"<article data-main>{article}</article>",
                 around % f'<div class="ad">{_said(n)}</div><main data-main>{mixed}</main><div class="comments"><p>{_said(n)}</p><p>{_said(foot)}</p></div>',
                 around % f'<div class="cookie notice"><p>{_said(n)}</p></div><article data-main>{mixed}</article><form><p>{_said(n)}</p></form><section id="comments"><article><p>{_said(foot)}</p></article></section>',
-                f'<ul>{menu}</ul><div id="sidebar">{_said(n)}<p>{link(2)}</p></div><article><div data-main>{article}</div><div class="share">{link(1)} {link(1)}</div><aside>{_said(n)}</aside><div class="related"><p>{link(8)}</p></div></article><p>{_said(3)} {link(1)} {link(2)}</p>',
+                f'<ul>{menu}</ul><div id="sidebar">{_said(n)}<p>{link(2)}</p></div><article><div data-main>{article}<p>{link(2)}</p><p>{_said(8)}</p><p>{link(4)}</p><p>{_said(30)}</p><p>{link(8)}</p><p>{_said(5)}</p></div><ul>{menu}</ul><div class="share">{link(1)} {link(1)}</div><aside>{_said(n)}</aside><div class="related"><p>{link(8)}</p></div></article><p>{_said(3)} {link(1)} {link(2)}</p>',
             ]
         plain = f"<div data-main><h1>{_said(head)}</h1>" + "".join(f"<p>{_said(max(n, 8))}</p>" for n in (*rest, 50)) + "</div>"
-        pages += [f'<ul>{menu}</ul><div class="banner">{_said(20)}</div>{plain}<p>{link(3)} {link(2)}</p><div>{_said(3)}</div>', f'<div class="menu">{menu}</div>{plain}<div class="footer"><p>{_said(25)}</p></div>']
+        pages += [f"<article data-main>{article}</article>", f"<main data-main>{mixed}</main>", f"<article data-main><p>{_said(head)}</p></article>", plain]
+        pages += [f'<ul>{menu}</ul><div class="banner">{_said(20)}</div>{plain}<p>{link(3)} {link(2)}</p><div>{_said(3)}</div>', f'<div class="menu">{menu}</div>{plain}<div class="footer"><p>{_said(25)}</p></div>', f"<div>{_said(2)}</div>{plain}", f"<ul>{menu}</ul><p>{_said(3)}</p>{plain}<p>{_said(2)}</p><p>{_said(4)}</p>"]
+    # Links alone between paragraphs: what encloses them tells them apart, not how long they or their neighbours are.
+    for i, before in enumerate((2, 9, 30, 120)):
+        for j, after in enumerate((3, 12, 25, 80)):
+            own, p = f"<p data-main>{link(2 + (i + j) % 4)}</p>", lambda n: f"<p data-main>{_said(n)}</p>"
+            pages.append(f'<div>{_said(after)}</div><article>{p(before)}<div class="related">{own.replace(" data-main", "")}</div>{p(after)}<aside>{own.replace(" data-main", "")}</aside>{p(before)}{own}{p(after)}<ul>{''.join(f"<li>{link(k)}</li>" for k in (1 + i, 1 + (i + j) % 5, 1 + j))}</ul>{p(before) if i % 2 else ""}</article><div>{_said(before)}</div>')
     return pages
 
 
