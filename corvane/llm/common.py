@@ -61,15 +61,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).select(*[F.col(f"c{i}").alias(x) for i, x in zip(at, names, strict=True)])
 
 
-def per_batch(df: DataFrame, step: Callable[[dict], dict | None], schema: str, setup: Callable[[], object] | None = None) -> DataFrame:
-    """`step` over Arrow batches: takes a dict of Arrow arrays (and `setup`'s result as key ""), gives a dict of columns."""
+def per_batch(df: DataFrame, step: Callable[[dict], dict | None], schema: str, setup: Callable[[], object] | None = None, rows: int = 1 << 30) -> DataFrame:
+    """`step` over Arrow batches, of `rows` rows at most: takes a dict of Arrow arrays (and `setup`'s result as key ""), gives a dict of columns."""
     target = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
-            if batch.num_rows and (out := step({**dict(zip(batch.schema.names, batch.columns, strict=True)), "": state})) is not None:
-                yield from batches_of(out, target)
+        for whole in batches:
+            for batch in (whole.slice(at, rows) for at in range(0, whole.num_rows, rows)):
+                if (out := step({**dict(zip(batch.schema.names, batch.columns, strict=True)), "": state})) is not None:
+                    yield from batches_of(out, target)
 
     return df.mapInArrow(run, schema)
 

@@ -32,7 +32,7 @@ from corvane.llm import common
 from corvane.llm.anchors import SPAN, Anchors
 from corvane.llm.suffix_tree import SuffixArray
 
-HOT, CHUNK, BUFFER = 50_000, 1 << 20, 100_000
+HOT, CHUNK, BUFFER, ROWS = 30_000, 1 << 20, 30_000, 1500
 LAST = (1 << 63) - 1
 HOTS = -1  # the part under which shards name hot anchors
 
@@ -190,53 +190,66 @@ def _by_part(batch: dict) -> Iterator[tuple[int, int, int]]:
     yield from zip(parts[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(parts)], strict=True)
 
 
-def _contexts(rows: DataFrame, shared: str, copies: str, hot) -> DataFrame:
-    """hash, hot, context, did, part, text, at: the stretch of text of each shared anchor, in texts that aren't exact copies of an earlier one."""
-    schema = "hash long, hot boolean, context binary, did long, part long, text long, at long"
+CONTEXT = "hash long, context binary, did long, part long, text long, at long"
+WINDOW = "key binary, did long, part long, text long, at long"
+
+
+def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) -> DataFrame:
+    """The stretches of text of shared anchors, in texts that aren't exact copies of an earlier one, with their place: of anchors that
+    aren't hot by the anchor's hash, or of hot ones cut to windows, by the window's digest."""
+    schema = WINDOW if only_hot else CONTEXT
+    names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def setup() -> tuple:
         return Answers(shared, ["text", "numbers"]), Answers(copies, ["text", "did"]), np.sort(hot.value)
 
     def step(batch: dict) -> dict:
         answers, copied, hots = batch[""]
-        out: dict[str, list] = {x.split(" ")[0]: [] for x in schema.split(", ")}
+        out: dict[str, list] = {x: [] for x in names}
         for part, start, end in _by_part(batch):
             found = answers.of(part)
             if found is None:
                 continue
+            texts, ids = batch["text"].slice(start, end - start).to_pylist(), batch["did"].slice(start, end - start).to_pylist()
+            known = [text_id(x) for x in texts]
+            found = found.filter(pa.compute.is_in(found["text"], pa.array(known, pa.int64())))
             numbers: dict[int, list[bytes]] = {}
             for t, x in zip(found["text"].to_pylist(), found["numbers"].to_pylist(), strict=True):
                 numbers.setdefault(t, []).append(x)
             gone = copied.of(part)
             gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
-            texts, ids = batch["text"].slice(start, end - start).to_pylist(), batch["did"].slice(start, end - start).to_pylist()
-            known = [text_id(x) for x in texts]
             live = [i for i in range(len(texts)) if known[i] in numbers and (known[i], ids[i]) not in gone]
             for first, chunk in in_chunks([texts[i] for i in live]):
                 a = Anchors(chunk)
                 bases = np.searchsorted(a.text, np.arange(len(chunk)))
                 which = np.concatenate([bases[j] + np.frombuffer(b"".join(numbers[known[live[first + j]]]), dtype="<u4").astype(np.int64) for j in range(len(chunk))])
+                which = which[np.isin(a.hash[which].view(np.int64), hots) == only_hot]
+                if not len(which):
+                    continue
                 low, high = a.owned(which)
-                size, total = high + SPAN - low, 0
-                ends = np.cumsum(size)
-                total = int(ends[-1]) if len(ends) else 0
-                take = np.arange(total) + np.repeat(low - (ends - size), size)
-                offsets = np.concatenate([[0], ends]).astype(np.int32)
-                data = pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(a.bytes[take].tobytes())])
-                of = a.text[which]
+                if only_hot:
+                    n = high - low + 1
+                    ends = np.cumsum(n)
+                    low = np.unique(np.arange(ends[-1]) + np.repeat(low - (ends - n), n))
+                    raw = a.bytes.tobytes()
+                    out["key"].append(pa.array([xxhash.xxh3_128_digest(raw[x : x + SPAN]) for x in low.tolist()], pa.binary()))
+                    of = np.searchsorted(a.ends, low, side="right")
+                else:
+                    size = high + SPAN - low
+                    ends = np.cumsum(size)
+                    take = np.arange(ends[-1]) + np.repeat(low - (ends - size), size)
+                    offsets = np.concatenate([[0], ends]).astype(np.int32)
+                    out["context"].append(pa.Array.from_buffers(pa.binary(), len(low), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(a.bytes[take].tobytes())]))
+                    out["hash"].append(pa.array(a.hash[which].view(np.int64)))
+                    of = a.text[which]
                 doc = np.array([live[first + j] for j in range(len(chunk))])[of]
-                hashed = a.hash[which].view(np.int64)
-                place = np.searchsorted(hots, hashed)
-                out["hash"].append(pa.array(hashed))
-                out["hot"].append(pa.array(hots[np.minimum(place, len(hots) - 1)] == hashed if len(hots) else np.zeros(len(hashed), bool)))
-                out["context"].append(data)
                 out["did"].append(pa.array(np.array(ids, dtype=np.int64)[doc]))
                 out["part"].append(pa.array(np.full(len(doc), part)))
                 out["text"].append(pa.array(np.array(known, dtype=np.int64)[doc]))
                 out["at"].append(pa.array(low - a.starts[of]))
-        return {k: pa.concat_arrays(v) for k, v in out.items()} if out["hash"] else None
+        return {k: pa.concat_arrays(v) for k, v in out.items()} if out["did"] else None
 
-    return common.per_batch(rows.select("part", "did", "text"), step, schema, setup)
+    return common.per_batch(rows.select("part", "did", "text"), step, schema, setup, ROWS)
 
 
 def repeated(contexts: pa.Array, dids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,23 +314,12 @@ def _found(contexts: DataFrame) -> DataFrame:
         if n:
             yield of(pa.Table.from_batches(held))
 
-    rows = contexts.where("not hot").drop("hot").repartition("hash").withColumn("mark", F.xxhash64("context"))
+    rows = contexts.repartition("hash").withColumn("mark", F.xxhash64("context"))
     return rows.sortWithinPartitions("hash", "mark", "did").mapInArrow(run, "part long, text long, did long, at long, length long")
 
 
-def _hot_found(contexts: DataFrame) -> DataFrame:
+def _hot_found(windows: DataFrame) -> DataFrame:
     """part, text, did, at, length of the windows of hot anchors whose digest an earlier document has."""
-    def step(batch: dict) -> dict:
-        keys, row, at = [], [], []
-        for i, (x, start) in enumerate(zip(batch["context"].to_pylist(), batch["at"].to_pylist(), strict=True)):
-            for j in range(len(x) - SPAN + 1):
-                keys.append(xxhash.xxh3_128_digest(x[j : j + SPAN]))
-                row.append(i)
-                at.append(start + j)
-        took = pa.array(row, pa.int64())
-        return {"key": pa.array(keys, pa.binary()), "at": at} | {k: batch[k].take(took) for k in ("part", "text", "did")}
-
-    windows = common.per_batch(contexts.where("hot").select("context", "part", "text", "did", "at"), step, "key binary, part long, text long, did long, at long")
     first = windows.groupBy("key").agg(F.min("did").alias("first"))
     return windows.join(first, "key").where("did > first").select("part", "text", "did", "at", F.lit(SPAN).cast("long").alias("length"))
 
@@ -370,7 +372,7 @@ def _kept(rows: DataFrame, found: str, copies: str) -> DataFrame:
                 out["kept"].append(b"".join(kept))
         return {"doc_id": batch["doc_id"], **out}
 
-    return common.per_batch(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary", setup)
+    return common.per_batch(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary", setup, ROWS)
 
 
 def removed(docs: DataFrame, scan: bool = False, hot: int = HOT) -> DataFrame:
@@ -397,10 +399,9 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT) -> DataFrame:
     hots = told.where(F.col("part") == HOTS).collect()
     least = max([hot, sum(int.from_bytes(x.numbers, "little") for x in hots) // 1_000_000])
     large = spark.sparkContext.broadcast(np.array([x.text for x in hots if int.from_bytes(x.numbers, "little") > least], dtype=np.int64))
-    contexts = _contexts(rows, shared, copies, large)
-    found = _found(contexts)
+    found = _found(_contexts(rows, shared, copies, large, False))
     if len(large.value):
-        found = found.unionByName(_hot_found(contexts))
+        found = found.unionByName(_hot_found(_contexts(rows, shared, copies, large, True)))
     return _kept(rows, common.stored(found, "part"), copies)
 
 

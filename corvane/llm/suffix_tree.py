@@ -22,7 +22,7 @@ class SuffixArray:
         for i in range(8):
             one = (one << np.uint64(8)) | np.where(left > i, padded[i : i + n], 0).astype(np.uint64)
             if i + 1 in (1, 2, 4):
-                self.ranks[i + 1] = one.copy()
+                self.ranks[i + 1] = one.astype(f"u{i + 1}")
         rank = np.unique(one, return_inverse=True)[1].astype(np.int64) + 1
         self.ranks[8], length = rank, 8
         while length < (left.max() if n else 0):
