@@ -9,7 +9,7 @@ is in such a repeat with all its places, so the bytes removed are those of the w
 
 Texts never move: tasks send anchor hashes and contexts, and what is found comes back in files by part of the input, from which
 the tasks that scan the same part again take what is theirs. Exact copies are told by digests alone. An anchor in more than `hot`
-places (or a millionth of all anchors, if that is more, which bounds the list that is broadcast) is cut further: its windows
+places (or in a millionth of all such places, if that is more, so that at most a million are broadcast) is cut further: its windows
 are grouped by their own digests, where the first document is a sum before the shuffle.
 
 Defined results: a null text is an empty one. A null doc_id counts as greater than all ids. Rows with equal ids don't take from
@@ -32,7 +32,7 @@ from corvane.llm import common
 from corvane.llm.anchors import SPAN, Anchors
 from corvane.llm.suffix_tree import SuffixArray
 
-HOT, CHUNK, BUFFER, ROWS = 30_000, 1 << 20, 30_000, 1500
+HOT, CHUNK, BUFFER, ROWS, SALTS = 30_000, 1 << 20, 30_000, 1500, 16
 LAST = (1 << 63) - 1
 HOTS = -1  # the part under which shards name hot anchors
 
@@ -129,23 +129,26 @@ class Shared:
 
 
 def _shared(sent: DataFrame, hot: int) -> DataFrame:
-    """part, text, numbers (32-bit): anchors that more than one text has, by text; under part HOTS, the hashes of anchors in more than `hot` places, with their number."""
+    """part, body: anchors that more than one text has (ids of texts, how many of each, their places among the text's anchors), a row
+    for each part and turn of a shard; under part HOTS, the hashes of anchors in more than `hot` places, with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(part: np.ndarray, text: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((number, text, part))
             part, text, number = part[order], text[order], number[order].astype("<u4")
-            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(part) != 0) | (np.diff(text) != 0)])) if len(part) else np.empty(0, np.int64)
-            ends = [*cuts[1:].tolist(), len(part)]
-            bodies = [number[a:b].tobytes() for a, b in zip(cuts.tolist(), ends, strict=True)] if len(cuts) else []
+            cuts = np.flatnonzero(np.diff(part, prepend=part[0] - 1)).tolist() if len(part) else []
+            bodies = []
+            for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+                ids, n = np.unique(text[a:b], return_counts=True)
+                bodies.append(_packed([ids, n.astype("<u4"), number[a:b]]))
             if bodies:
-                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(text[cuts]), pa.array(bodies, pa.binary())], ["part", "text", "numbers"])
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts]), pa.array(bodies, pa.binary())], ["part", "body"])
 
         def end() -> Iterator[pa.RecordBatch]:
             yield from flush()
             large = own.n > hot
             if large.any():
-                bodies = [int(x).to_bytes(8, "little") for x in own.n[large]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(int(large.sum()), HOTS)), pa.array(own.hash[large].view(np.int64)), pa.array(bodies, pa.binary())], ["part", "text", "numbers"])
+                body = _packed([own.hash[large].view(np.int64), own.n[large]])
+                yield pa.RecordBatch.from_arrays([pa.array([HOTS]), pa.array([body], pa.binary())], ["part", "body"])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -169,7 +172,7 @@ def _shared(sent: DataFrame, hot: int) -> DataFrame:
         if shard is not None:
             yield from end()
 
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "part long, text long, numbers binary")
+    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "part long, body binary")
 
 
 class Answers:
@@ -201,7 +204,7 @@ def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) ->
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def setup() -> tuple:
-        return Answers(shared, ["text", "numbers"]), Answers(copies, ["text", "did"]), np.sort(hot.value)
+        return Answers(shared, ["body"]), Answers(copies, ["text", "did"]), np.sort(hot.value)
 
     def step(batch: dict) -> dict:
         answers, copied, hots = batch[""]
@@ -212,17 +215,19 @@ def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) ->
                 continue
             texts, ids = batch["text"].slice(start, end - start).to_pylist(), batch["did"].slice(start, end - start).to_pylist()
             known = [text_id(x) for x in texts]
-            found = found.filter(pa.compute.is_in(found["text"], pa.array(known, pa.int64())))
-            numbers: dict[int, list[bytes]] = {}
-            for t, x in zip(found["text"].to_pylist(), found["numbers"].to_pylist(), strict=True):
-                numbers.setdefault(t, []).append(x)
+            numbers: dict[int, list[np.ndarray]] = {t: [] for t in known}
+            for body in found["body"].to_pylist():
+                held, n, number = _unpacked(body, ["<i8", "<u4", "<u4"])
+                ends = np.cumsum(n.astype(np.int64))
+                for i in np.flatnonzero(np.isin(held, known)).tolist():
+                    numbers[int(held[i])].append(number[ends[i] - n[i] : ends[i]])
             gone = copied.of(part)
             gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
-            live = [i for i in range(len(texts)) if known[i] in numbers and (known[i], ids[i]) not in gone]
+            live = [i for i in range(len(texts)) if numbers[known[i]] and (known[i], ids[i]) not in gone]
             for first, chunk in in_chunks([texts[i] for i in live]):
                 a = Anchors(chunk)
                 bases = np.searchsorted(a.text, np.arange(len(chunk)))
-                which = np.concatenate([bases[j] + np.frombuffer(b"".join(numbers[known[live[first + j]]]), dtype="<u4").astype(np.int64) for j in range(len(chunk))])
+                which = np.concatenate([bases[j] + np.concatenate(numbers[known[live[first + j]]]).astype(np.int64) for j in range(len(chunk))])
                 which = which[np.isin(a.hash[which].view(np.int64), hots) == only_hot]
                 if not len(which):
                     continue
@@ -253,7 +258,7 @@ def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) ->
 
 
 def repeated(contexts: pa.Array, dids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, offset, length) of the repeats that an earlier document's context has, for distinct contexts with their first document."""
+    """(context, offset, length) of what an earlier document's context has of distinct contexts with their first document: the union of repeats, by context."""
     offsets = np.frombuffer(contexts.buffers()[1], dtype=np.int32)[contexts.offset : contexts.offset + len(contexts) + 1].astype(np.int64)
     data = np.frombuffer(contexts.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
@@ -268,7 +273,13 @@ def repeated(contexts: pa.Array, dids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     of = np.searchsorted(offsets, start, side="right") - 1
     earliest = np.minimum.reduceat(dids[of], ends - n)
     later = dids[of] > np.repeat(earliest, n)
-    return of[later], (start - offsets[of])[later], np.repeat(length, n)[later]
+    start, end = start[later], (start + np.repeat(length, n))[later]
+    order = np.argsort(start, kind="stable")
+    start, end, of = start[order] + of[later][order], end[order] + of[later][order], of[later][order]  # a gap of one keeps contexts apart
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]])) if len(start) else np.empty(0, np.int64)
+    last = np.concatenate([first[1:] - 1, [len(start) - 1]]) if len(first) else first
+    return of[first], start[first] - of[first] - offsets[of[first]], reach[last] - start[first]
 
 
 def _found(contexts: DataFrame) -> DataFrame:
@@ -320,8 +331,10 @@ def _found(contexts: DataFrame) -> DataFrame:
 
 def _hot_found(windows: DataFrame) -> DataFrame:
     """part, text, did, at, length of the windows of hot anchors whose digest an earlier document has."""
-    first = windows.groupBy("key").agg(F.min("did").alias("first"))
-    return windows.join(first, "key").where("did > first").select("part", "text", "did", "at", F.lit(SPAN).cast("long").alias("length"))
+    first = windows.groupBy("key").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last")
+    first = first.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    windows = windows.withColumn("salt", F.pmod(F.xxhash64("did", "at"), F.lit(SALTS)).cast("int"))
+    return windows.join(first, ["key", "salt"]).where("did > first").select("part", "text", "did", "at", F.lit(SPAN).cast("long").alias("length"))
 
 
 def merged(n: int, at: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
@@ -395,10 +408,10 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT) -> DataFrame:
     first = digested.groupBy("digest").agg(F.min("did").alias("first"))
     copies = common.stored(digested.join(first, "digest").where("did > first").select("part", "text", "did").distinct(), "part")
     shared = common.stored(_shared(_sent(rows, shards), hot), "part")
-    told = spark.read.schema("text long, numbers binary, part long").parquet(shared)
-    hots = told.where(F.col("part") == HOTS).collect()
-    least = max([hot, sum(int.from_bytes(x.numbers, "little") for x in hots) // 1_000_000])
-    large = spark.sparkContext.broadcast(np.array([x.text for x in hots if int.from_bytes(x.numbers, "little") > least], dtype=np.int64))
+    told = spark.read.schema("body binary, part long").parquet(shared).where(F.col("part") == HOTS)
+    hots = [_unpacked(bytes(x.body), ["<i8", "<i8"]) for x in told.collect()]
+    hashed, n = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in hots)]) for i in range(2))
+    large = spark.sparkContext.broadcast(hashed[n > max(hot, int(n.sum()) // 1_000_000)])
     found = _found(_contexts(rows, shared, copies, large, False))
     if len(large.value):
         found = found.unionByName(_hot_found(_contexts(rows, shared, copies, large, True)))
