@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed: what a token is stripped of on both ends, and what separates tokens.
-EDGE, BLANK = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", r"[ \t\n\r\x0b\x0c]+"
+#: Fixed: what separates tokens, and a token: from the first letter or digit between blanks to the last.
+BLANK = r"[ \t\n\r\x0b\x0c]+"
+TOKEN = r"[\p{L}\p{N}](?:[^ \t\n\r\x0b\x0c]*[\p{L}\p{N}])?"
 #: Fixed: stop words of keyword extraction.
 STOP = ("of", "the", "a", "to", "in", "on", "for", "is")
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased words without the punctuation at their ends; repeated words stay."""
-    parts = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), BLANK), lambda x: F.regexp_replace(x, EDGE, ""))
-    return F.filter(parts, lambda x: x != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 def normalized(text: Column) -> Column:
