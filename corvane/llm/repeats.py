@@ -8,9 +8,10 @@ gives maximal repeats with all their places, and in all documents but the first
 is in such a repeat with all its places, so the bytes removed are those of the windows that start in an earlier document too.
 
 Texts never move: tasks send anchor hashes and contexts, and what is found comes back in files by part of the input, from which
-the tasks that scan the same part again take what is theirs. Exact copies are told by digests alone. An anchor in more than `hot`
-places (or in a millionth of all such places, if that is more, so that at most a million are broadcast) is cut further: its windows
-are grouped by their own digests, where the first document is a sum before the shuffle.
+the tasks that scan the same part again take what is theirs. Exact copies are told by digests alone and send no anchors. While one
+text alone has an anchor, all its places are held, so that none is lost when a later turn of the shard brings a second text. A
+shared anchor in more than `hot` places (or in a millionth of all such places, if that is more, so that at most a million are
+broadcast) is cut further: its windows are grouped by their own digests, where the first document is a sum before the shuffle.
 
 Defined results: a null text is an empty one. A null doc_id counts as greater than all ids. Rows with equal ids don't take from
 each other, and repeated rows have equal results. Further columns are not looked at.
@@ -32,7 +33,7 @@ from corvane.llm import common
 from corvane.llm.anchors import SPAN, Anchors
 from corvane.llm.suffix_tree import SuffixArray
 
-HOT, CHUNK, BUFFER, ROWS, SALTS = 30_000, 1 << 20, 30_000, 1500, 16
+HOT, FLUSH, CHUNK, BUFFER, ROWS, SALTS = 30_000, 500_000, 1 << 20, 30_000, 1500, 16
 LAST = (1 << 63) - 1
 HOTS = -1  # the part under which shards name hot anchors
 
@@ -73,11 +74,40 @@ def _unpacked(body: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _sent(rows: DataFrame, shards: int) -> DataFrame:
-    """shard, body: the anchors of a batch of texts by shard: for each text its part, id and number of anchors; for each anchor its hash and the step to its place among the text's anchors."""
-    def step(batch: dict) -> dict:
-        texts = batch["text"].to_pylist()
+class Answers:
+    """What a task takes from the files of the parts that it scans; holds one part at a time."""
+
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns, self.part, self.table = path, columns, None, None
+
+    def of(self, part: int) -> pa.Table | None:
+        if part != self.part:
+            self.part, self.table = part, common.folder_table(f"{self.path}/part={part}", self.columns)
+        return self.table
+
+
+def _by_part(batch: dict) -> Iterator[tuple[int, int, int]]:
+    parts = np.asarray(batch["part"])
+    cuts = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
+    yield from zip(parts[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(parts)], strict=True)
+
+
+def _sent(rows: DataFrame, shards: int, copies: str) -> DataFrame:
+    """shard, body: the anchors of a batch of texts that aren't exact copies of an earlier one, by shard: for each text its part, id and number of anchors; for each anchor its hash and the step to its place among the text's anchors."""
+    def setup() -> Answers:
+        return Answers(copies, ["text", "did"])
+
+    def step(batch: dict) -> dict | None:
+        texts, dids = batch["text"].to_pylist(), batch["did"].to_pylist()
         part, ids = np.asarray(batch["part"]), np.array([text_id(x) for x in texts], dtype=np.int64)
+        live: list[int] = []
+        for at, start, end in _by_part(batch):
+            gone = batch[""].of(at)
+            gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
+            live += [i for i in range(start, end) if (int(ids[i]), dids[i]) not in gone]
+        if not live:
+            return None
+        texts, part, ids = [texts[i] for i in live], part[live], ids[live]
         hashes, numbers, of = [], [], []
         for start, chunk in in_chunks(texts):
             a = Anchors(chunk)
@@ -99,11 +129,11 @@ def _sent(rows: DataFrame, shards: int) -> DataFrame:
                 out["body"].append(_packed([part[texts_in], ids[texts_in], n.astype("<u4"), hashed[at], steps.astype("<u4")]))
         return out
 
-    return common.per_batch(rows.select("part", "text"), step, "shard int, body binary")
+    return common.per_batch(rows.select("part", "did", "text"), step, "shard int, body binary", setup)
 
 
 class Shared:
-    """The anchors of a shard seen so far: one place of each, whether another text has it, and in how many places it is."""
+    """The anchors of a shard seen so far: all places of those that one text alone has, one of the others, in how many places it is, and whether it was told."""
 
     def __init__(self) -> None:
         none = np.empty(0, np.int64)
@@ -111,7 +141,7 @@ class Shared:
         self.known = np.empty(0, bool)
 
     def add(self, hashed: np.ndarray, part: np.ndarray, text: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(part, text, number) of anchors now known to be in more than one text that weren't told before."""
+        """(part, text, number) of all places, not told before, of anchors now known to be in more than one text."""
         k = len(self.hash)
         hashed, part, text, number = (np.concatenate(x) for x in ((self.hash, hashed), (self.part, part), (self.text, text), (self.number, number)))
         known = np.concatenate([self.known, np.zeros(len(hashed) - k, bool)])
@@ -122,15 +152,17 @@ class Shared:
         shared = np.logical_or.reduceat((text[order] != text[order][cuts][run]) | known[order], cuts)
         told = shared[run] & ~known[order]
         out = part[order][told], text[order][told], number[order][told]
-        self.n = np.add.reduceat(n[order], cuts)
-        first = order[cuts]
-        self.hash, self.part, self.text, self.number, self.known = hashed[first], part[first], text[first], number[first], shared
+        n[order[cuts[shared]]] = np.add.reduceat(n[order], cuts)[shared]
+        held = ~shared[run]
+        held[cuts] = True
+        self.hash, self.part, self.text, self.number, self.n = (x[order][held] for x in (hashed, part, text, number, n))
+        self.known = shared[run][held]
         return out
 
 
-def _shared(sent: DataFrame, hot: int) -> DataFrame:
+def _shared(sent: DataFrame, hot: int, size: int) -> DataFrame:
     """part, body: anchors that more than one text has (ids of texts, how many of each, their places among the text's anchors), a row
-    for each part and turn of a shard; under part HOTS, the hashes of anchors in more than `hot` places, with their number."""
+    for each part and turn of a shard, of some `size` anchors; under part HOTS, the hashes of anchors in more than `hot` places, with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(part: np.ndarray, text: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((number, text, part))
@@ -145,7 +177,7 @@ def _shared(sent: DataFrame, hot: int) -> DataFrame:
 
         def end() -> Iterator[pa.RecordBatch]:
             yield from flush()
-            large = own.n > hot
+            large = own.known & (own.n > hot)
             if large.any():
                 body = _packed([own.hash[large].view(np.int64), own.n[large]])
                 yield pa.RecordBatch.from_arrays([pa.array([HOTS]), pa.array([body], pa.binary())], ["part", "body"])
@@ -167,7 +199,7 @@ def _shared(sent: DataFrame, hot: int) -> DataFrame:
                 total = np.cumsum(steps.astype(np.int64))
                 base = np.where(firsts > 0, total[np.maximum(firsts.astype(np.int64) - 1, 0)], 0)
                 held.append((hashed, np.repeat(part, n), np.repeat(ids, n), total - np.repeat(base, n)))
-                if sum(len(x[0]) for x in held) > 500_000:
+                if sum(len(x[0]) for x in held) > size:
                     yield from flush()
         if shard is not None:
             yield from end()
@@ -175,24 +207,6 @@ def _shared(sent: DataFrame, hot: int) -> DataFrame:
     return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "part long, body binary")
 
 
-class Answers:
-    """What a task takes from the files of the parts that it scans; holds one part at a time."""
-
-    def __init__(self, path: str, columns: list[str]) -> None:
-        self.path, self.columns, self.part, self.table = path, columns, None, None
-
-    def of(self, part: int) -> pa.Table | None:
-        if part != self.part:
-            self.part, self.table = part, common.folder_table(f"{self.path}/part={part}", self.columns)
-        return self.table
-
-
-def _by_part(batch: dict) -> Iterator[tuple[int, int, int]]:
-    parts = np.asarray(batch["part"])
-    cuts = np.flatnonzero(np.diff(parts, prepend=parts[0] - 1))
-    yield from zip(parts[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(parts)], strict=True)
-
-
 CONTEXT = "hash long, context binary, did long, part long, text long, at long"
 WINDOW = "key binary, did long, part long, text long, at long"
 
@@ -388,7 +402,7 @@ def _kept(rows: DataFrame, found: str, copies: str) -> DataFrame:
     return common.per_batch(rows, step, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary", setup, ROWS)
 
 
-def removed(docs: DataFrame, scan: bool = False, hot: int = HOT) -> DataFrame:
+def removed(docs: DataFrame, scan: bool = False, hot: int = HOT, flush: int = FLUSH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans, kept (the remaining bytes) of every document.
 
     `scan`: docs is a plain read of files, whose parts stay the same from read to read; anything else is written to the shared folder first.
@@ -407,7 +421,7 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT) -> DataFrame:
     digested = common.cut(common.per_batch(rows.select("part", "did", "text"), slim, "part long, did long, digest binary, text long"))
     first = digested.groupBy("digest").agg(F.min("did").alias("first"))
     copies = common.stored(digested.join(first, "digest").where("did > first").select("part", "text", "did").distinct(), "part")
-    shared = common.stored(_shared(_sent(rows, shards), hot), "part")
+    shared = common.stored(_shared(_sent(rows, shards, copies), hot, flush), "part")
     told = spark.read.schema("body binary, part long").parquet(shared).where(F.col("part") == HOTS)
     hots = [_unpacked(bytes(x.body), ["<i8", "<i8"]) for x in told.collect()]
     hashed, n = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in hots)]) for i in range(2))

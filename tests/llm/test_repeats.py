@@ -57,3 +57,25 @@ def test_edge_cases(spark):
     found = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed) for r in repeats.removed(df).collect())
     assert found == [(-1, 70, 70), (-1, 71, 70), (1, 0, 0), (2, 0, 0), (3, 5, 0), (4, 70, 0), (4, 71, 0)]
     assert repeats.removed(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("seed", [4, 9])
+def test_matches_brute_force_in_turns_of_few_anchors(spark, seed):
+    rows = corpus(seed, "abcdefgh é")
+    line = "the same line stands in this text in several places, word for word\n"
+    rows += [(200, line * 4 + "end of the first"), (201, "before " + line * 3), (202, line + "after " + line), (203, line * 4 + "end of the first")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.removed(df, flush=7).collect())
+    assert found == brute(rows)
+
+
+def test_shared_tells_every_place():
+    import numpy as np
+
+    own, told = repeats.Shared(), []
+    turns = [[(3, 0, 10, 0), (3, 0, 10, 1), (3, 1, 10, 0), (5, 0, 10, 2)], [(3, 0, 10, 7)], [(3, 2, 11, 0)], [(3, 2, 12, 5), (5, 0, 10, 9)]]
+    for turn in turns:
+        hashed, part, text, number = (np.array(x, np.int64) for x in zip(*turn, strict=True))
+        told += [sorted(zip(*(x.tolist() for x in own.add(hashed.astype(np.uint64), part, text, number)), strict=True))]
+    assert told == [[], [], [(0, 10, 0), (0, 10, 1), (0, 10, 7), (1, 10, 0), (2, 11, 0)], [(2, 12, 5)]]
+    assert own.n[own.known].tolist() == [6]
