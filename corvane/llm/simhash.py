@@ -33,18 +33,24 @@ BYTES, BITS, LIMIT, SHORT = 8, 4, 16_384, 16
 SETS = np.array(list(combinations(range(BYTES), BYTES - BITS)), dtype=np.int64)
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Bits set in over half the XXH64 of the shingles; zero if there is no word."""
+def shingle_hashes(text: bytes, words: int) -> list[int]:
+    """The XXH64 of the shingles; that of all words where they are fewer, none if there is no word."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return []
     if len(parts) < words:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
-    else:
-        joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = [hashed(joined[i:j], 42) for i, j in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [xxhash.xxh64_intdigest(b" ".join(parts), 42)]
+    joined, hashed = b" ".join(parts), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    return [hashed(joined[i:j], 42) for i, j in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """Bits set in over half the XXH64 of the shingles; zero if there is no word."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     found = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
     counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(found), 4096):
