@@ -177,6 +177,20 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return common.per_batch(common.pick(encoded, "doc_id", "ids"), step, "doc_id long, text string")
 
 
+def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids, decoded: what encode() and decode() give of every document, in one row."""
+    path = path or tokenizer_file()
+
+    def step(batch: dict) -> dict:
+        own = vocabulary(path)
+        found = [np.frombuffer(own.encode(x.as_py()), dtype="<u4") for x in batch["text"]]
+        ends = np.cumsum([0, *map(len, found)])
+        ids = common.lists(ends, np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32))
+        return {"doc_id": batch["doc_id"], "n_tokens": np.diff(ends), "ids": ids, "decoded": [own.decode(x.tolist()) for x in found]}
+
+    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids array<int>, decoded string", rows=2000)
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and decode() give, digested where it is made."""
     path = path or tokenizer_file()
