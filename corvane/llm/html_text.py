@@ -1,11 +1,13 @@
 """Main text of HTML pages: flat text blocks, features of a block and its neighbours, and a decision tree.
 
-A page becomes a flat row of blocks: runs of text between block-level tags, with the number of words, the share of words in
-links, and what encloses the block: a landmark of menus and the like, a class or id that names one, an article. The tree sees a
-block's words and link density, those of its two neighbours, and these marks; it is grown by Gini impurity on the blocks of a few
-labelled pages below. Blocks that it calls main text are joined in page order.
+A page becomes a flat row of blocks: runs of text between block-level tags, with the number of words and the share of words in
+links. The tree sees a block's words and link density and those of its two neighbours. Besides, it sees weak marks: how an
+element around the block is named (a landmark of menus and the like, or a class or id that names one), whether the block is in an article,
+how much other text is in one, the share of the page's plain words in the block's region, and whether it is a heading or in a list. No mark decides alone: an element that holds the page's article is a wrapper, whatever its name,
+and a name around most of the words counts for less. The tree is grown by Gini impurity on the hand-labelled block table
+`html_blocks.tsv` beside this module. Blocks that it calls main text are joined in page order.
 
-Each page is handled by itself in one pass over its characters; nothing is shuffled or broadcast but the tree.
+Each page is handled by itself, in time linear in its length; nothing is shuffled or broadcast but the tree.
 
 Defined results: a null or empty html, and one without main text, give the empty text. Markup that is never closed ends with
 the page. Repeated rows and null ids give rows of their own. Further columns are not looked at.
@@ -14,8 +16,10 @@ the page. Repeated rows and null ids give rows of their own. Further columns are
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -23,17 +27,25 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-#: Elements whose text is never shown as text of the page.
-SILENT = frozenset("script style noscript template iframe svg math object canvas audio video select datalist button textarea head title".split())
+TABLE = Path(__file__).with_name("html_blocks.tsv")
+#: A comment, a tag with its attributes, or another declaration; each also ends with the page, so no place is tried twice.
+TOKEN = re.compile(r"<!--(?:.*?(?:-->|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|))*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s>\"']++))?")
+#: Elements whose text is never shown as text of the page; of the second kind, one that is never closed holds nothing.
+RAW = frozenset("script style noscript template iframe title textarea head".split())
+UNSHOWN = frozenset("svg math object canvas audio video select datalist button".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HELD = frozenset("html body article main section div nav header footer aside form menu dialog ul ol li dl dd dt table tbody thead tfoot tr td th figure blockquote fieldset details search".split())
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-LANDMARKS = frozenset("nav footer aside form menu dialog search".split())
-#: Words in a class, id or role that name what is not main text.
-NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar aside nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs footer foot footnav header masthead topbar toolbar comment comments commentlist reply replies respond responses disqus discussion widget widgets pagination pager copyright legal login signin search skip contentinfo complementary dialog hidden".split())
-FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "set_apart", "article", "heading")
+#: Elements that count as the container of their own text; lists, tables, quotations and parts of an article belong to what is around them.
+CONTAINERS = frozenset("html body article main section div nav header footer aside form menu dialog fieldset details search".split())
+LINES = frozenset("p h1 h2 h3 h4 h5 h6".split())
+LANDMARKS = frozenset("nav footer aside menu dialog search".split())
+#: Words in a class, id or role that name what is not main text, those of readers' comments apart.
+NAMES = frozenset("ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar aside nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs footer foot footnav header masthead topbar toolbar widget widgets pagination pager copyright legal login signin search skip contentinfo complementary dialog hidden".split())
+REPLIES = frozenset("comment comments commentlist reply replies respond responses disqus discussion".split())
+#: Words beside a name that say what an element has or lacks, not what it is.
+STATES = frozenset("has have no not with without is are open opened closed free off on active enabled disabled visible toggled loaded ready fixed sticky aware less js".split())
+FEATURES = ("words", "density", "before_words", "before_density", "after_words", "after_density", "mark", "article", "rival", "region", "heading", "item")
 
 
 @dataclass
@@ -41,59 +53,98 @@ class Block:
     text: str
     words: int
     linked: int
-    landmark: bool
-    named: bool
-    article: bool
+    element: int
     heading: bool
-    label: bool = False
+    item: bool
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _marks(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool, bool]:
-    """landmark, named, article, labelled main (in training pages) of an element that opens."""
-    landmark = tag in LANDMARKS or (tag == "header" and not inside)
-    article = tag in ("article", "main")
-    named = False
+@dataclass
+class Page:
+    """Blocks in order, and the elements around them: parent, mark (0 to 3), kind (1 article, 2 main), nearest container."""
+
+    blocks: list[Block] = field(default_factory=list)
+    parent: list[int] = field(default_factory=list)
+    mark: list[int] = field(default_factory=list)
+    kind: list[int] = field(default_factory=list)
+    container: list[int] = field(default_factory=list)
+
+    def opened(self, parent: int, mark: int, kind: int, contains: bool) -> int:
+        at = len(self.parent)
+        self.parent.append(parent)
+        self.mark.append(mark)
+        self.kind.append(kind)
+        self.container.append(at if contains else self.container[parent])
+        return at
+
+
+def named(value: str) -> int:
+    """How strongly a class, id or role names what isn't main text: 3 readers' comments, 2 a name, 1 a name with further words, 0 none."""
+    found = 0
+    for token in value.split():
+        parts = [x.lower() for x in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", token) if x]
+        if not parts or STATES & set(parts):
+            continue
+        if REPLIES & {parts[0], parts[-1]}:
+            return 3
+        if NAMES & set(parts):
+            found = max(found, 2 if token.lower() in NAMES else 1)
+    return found
+
+
+def _marks(tag: str, attributes: str, inside: bool) -> tuple[int, int]:
+    """mark, kind of an element that opens, `inside` an article or not."""
+    mark = 3 if tag in LANDMARKS else 2 if tag == "form" or (tag == "header" and not inside) else 0
+    kind = 2 if tag == "main" else 1 if tag == "article" else 0
     if attributes and tag not in ("html", "body"):
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'")
             if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                named = True
-            elif key in ("class", "id", "role"):
-                whole = value.lower().split()
-                article |= key == "role" and value.lower() == "main"
-                parts = whole if article else [y.lower() for x in value.split() for y in re.split(r"[-_:]+|(?<=[a-z])(?=[A-Z])", x)]
-                named |= any(x in NAMES and not (inside and x in ("header", "foot")) for x in parts)
-    return landmark, named, article, "data-main" in attributes
-
-
-def blocks_of(html: str) -> list[Block]:
-    """The text blocks of a page in order."""
-    out: list[Block] = []
-    stack: list[tuple] = []  # tag, landmark, named, article, labelled
+                mark = max(mark, 2)
+            elif key == "role" and value.lower() == "main":
+                kind = 2
+            elif key in ("class", "id", "role") and not (inside and value.lower() in ("header", "foot")) and not kind:
+                mark = max(mark, named(value))
+    return mark, kind
+
+
+@cache
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)" + (r"|(?=<body\b)" if tag == "head" else ""), re.I)
+
+
+def parsed(html: str) -> Page:
+    """The text blocks of a page in order, and the elements around them."""
+    page = Page()
+    page.parent, page.mark, page.kind, page.container = [0], [0], [0], [0]
+    stack: list[tuple[str, int]] = []
+    opened: dict[str, int] = {}
+    unclosed: set[str] = set()
     held: list[tuple[str, bool]] = []
-    links, heading, silent = 0, False, None
-    state = (False, False, False, False)
-    mine = (False, False)  # named and labelled, of the paragraph or heading that is open
+    links, heading, here, line, articles = 0, False, 0, None, 0
 
     def close() -> None:
         if held:
-            pieces = [(unescape(x).split(), linked) for x, linked in held]
             text = " ".join(unescape("".join(x for x, _ in held)).split())
             if text:
-                words = len(text.split())
-                out.append(Block(text, words, min(words, sum(len(x) for x, linked in pieces if linked)), state[0], state[1] or mine[0], state[2], heading, state[3] or mine[1]))
+                words = text.count(" ") + 1
+                linked = sum(len(unescape(x).split()) for x, inside in held if inside)
+                page.blocks.append(Block(text, words, min(words, linked), here if line is None else line, heading, bool(opened.get("li"))))
             held.clear()
 
+    def leave() -> str:
+        nonlocal here, articles
+        tag, at = stack.pop()
+        opened[tag] -= 1
+        articles -= page.kind[at] > 0
+        here = stack[-1][1] if stack else 0
+        return tag
+
     at = 0
     while at < len(html):
-        if silent:
-            end = re.compile(rf"</{silent}\b[^>]*>" + (r"|(?=<body\b)" if silent == "head" else ""), re.I).search(html, at)
-            at, silent = (end.end() if end else len(html)), None
-            continue
         found = TOKEN.search(html, at)
         if not found:
             held.append((html[at:], links > 0))
@@ -106,56 +157,106 @@ def blocks_of(html: str) -> list[Block]:
             continue
         if found[1]:
             if tag == "a":
-                links = max(0, links - 1)
+                links = 0
             elif tag in BLOCKS:
                 close()
-                heading, mine = False, (False, False)
-                if tag in HELD and any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
+                heading, line = False, None
+                if opened.get(tag):
+                    while leave() != tag:
                         pass
                     links = 0
-                    state = tuple(any(x[i] for x in stack) for i in range(1, 5))
-        elif tag in SILENT:
-            if tag not in ("svg", "math", "object", "select", "button", "title", "head"):
+        elif tag in RAW or (tag in UNSHOWN and tag not in unclosed):
+            if tag in ("script", "style", "noscript", "template", "iframe", "canvas", "audio", "video", "datalist", "textarea"):
                 held.append((" ", False))
-            silent = None if (found[3] or "").endswith("/") and tag in ("svg", "math") else tag
+            if not (tag in UNSHOWN and found[3].endswith("/")):
+                end = _end_of(tag).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in RAW:
+                    break
+                else:
+                    unclosed.add(tag)
         elif tag == "a":
             links = 1
         elif tag == "br":
             held.append((" ", False))
         elif tag in BLOCKS:
             close()
-            mine = (False, False)
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-            if tag in HELD and tag not in VOID:
+            heading, line = tag in LINES and tag != "p", None
+            if tag in HELD:
                 links = 0
                 if tag == "li" and stack and stack[-1][0] == "li":
-                    stack.pop()
-                stack.append((tag, *_marks(tag, found[3] or "", any(x[3] for x in stack))))
-                state = tuple(any(x[i] for x in stack) for i in range(1, 5))
-            elif tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and found[3]:
-                _, named, _, label = _marks(tag, found[3], state[2])
-                mine = (named, label)
+                    leave()
+                mark, kind = _marks(tag, found[3], articles > 0)
+                here = page.opened(here, mark, kind, tag in CONTAINERS and not (articles and not kind))
+                stack.append((tag, here))
+                opened[tag] = opened.get(tag, 0) + 1
+                articles += kind > 0
+            elif tag in LINES and found[3] and (mark := _marks(tag, found[3], articles > 0)[0]):
+                line = page.opened(here, mark, 0, False)
     close()
-    return out
+    return page
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+def features(page: Page) -> np.ndarray:
     """One row for each block, by FEATURES."""
-    n = len(blocks)
+    blocks, n, m = page.blocks, len(page.blocks), len(page.parent)
     own = np.array([(x.words, x.density) for x in blocks], dtype=np.float64).reshape(n, 2)
     before, after = np.zeros((n, 2)), np.zeros((n, 2))
     before[1:], after[:-1] = own[:-1], own[1:]
-    articles = any(x.article and not (x.landmark or x.named) for x in blocks)
-    # Set apart: in a landmark or under a name of such, or outside the article of a page that has one.
-    marks = np.array([(x.landmark or x.named or (articles and not x.article), x.article, x.heading) for x in blocks], dtype=np.float64).reshape(n, 3)
-    return np.hstack([own, before, after, marks])
+
+    # Plain words of each element, those in articles of it, and of the outermost article that it is in.
+    plain, stories, mains = [0] * m, [0] * m, [x == 2 for x in page.kind]
+    article, closed = [0] * m, [False] * m
+    for e in range(1, m):
+        p = page.parent[e]
+        closed[e] = closed[p] or page.mark[e] == 3
+        article[e] = article[p] or (e if page.kind[e] and not closed[e] else 0)
+    for x in blocks:
+        plain[x.element] += x.words - x.linked
+        stories[x.element] += (x.words - x.linked) if article[x.element] else 0
+    for e in range(m - 1, 0, -1):
+        p = page.parent[e]
+        plain[p] += plain[e]
+        stories[p] += stories[e]
+        mains[p] = mains[p] or mains[e]
+    every, told = max(plain[0], 1), stories[0]
+
+    # The strongest mark around a block, of elements that don't hold the article, and the share of words in the outermost such element.
+    mark, share = [0] * m, [0.0] * m
+    for e in range(1, m):
+        p = page.parent[e]
+        mark[e], share[e] = mark[p], share[p]
+        holds = mains[e] or (page.mark[e] < 3 and told and 2 * stories[e] >= told and 4 * stories[e] >= every)
+        if page.mark[e] > mark[e] and not holds:
+            mark[e], share[e] = page.mark[e], max(share[p], plain[e] / every)
+
+    direct = [0] * m
+    inside, unmarked = 0, 1
+    for x in blocks:
+        if not mark[x.element]:
+            direct[page.container[x.element]] += x.words - x.linked
+            unmarked += x.words - x.linked
+            inside += (x.words - x.linked) if article[x.element] else 0
+    # A block's region: the outermost element that marks it, else its container, or what the container's parent has in small
+    # containers side by side, whichever holds more words; as a share of all words, or of those without a mark.
+    spread = [0] * m
+    small = [4 * x <= unmarked for x in direct]
+    for e in range(1, m):
+        if page.container[e] == e and small[e] and not mark[e]:
+            spread[page.container[page.parent[e]]] += direct[e]
+    rows = []
+    for x in blocks:
+        e, at = x.element, page.container[x.element]
+        region = share[e] if mark[e] else min(1.0, max(direct[at], spread[page.container[page.parent[at]]] if small[at] else 0) / unmarked)
+        rows.append((mark[e], article[e] > 0, 0.0 if article[e] else inside / unmarked, region, x.heading, x.item))
+    return np.hstack([own, before, after, np.array(rows, dtype=np.float64).reshape(n, 6)])
 
 
 class Tree:
     """A binary decision tree grown by Gini impurity: nodes (feature, threshold, left, right), or (-1, share of label 1)."""
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 7, least: int = 1) -> None:
+    def __init__(self, rows: np.ndarray, labels: np.ndarray, depth: int = 12, least: int = 2) -> None:
         self.nodes: list[tuple] = []
         self._grow(rows, labels.astype(np.float64), depth, least)
 
@@ -197,49 +298,60 @@ class Tree:
         return out
 
 
-def _said(n: int) -> str:
-    return " ".join(("plain words of a text that goes on " * (n // 7 + 1)).split()[:n])
-
-
-def training_pages() -> list[str]:
-    """Small labelled pages: what stands in an element with data-main is main text, anything else is not."""
-    link = lambda n: f'<a href="#">{_said(n)}</a>'
-    menu = "".join(f"<li>{link(n)}</li>" for n in (1, 1, 2, 1, 3))
-    pages = []
-    for lengths in ((1, 40, 25), (9, 3, 60, 1), (4, 120, 8, 30), (2, 2), (11, 6, 1, 2, 200)):
-        head, *rest = lengths
-        article = f"<h1>{_said(head)}</h1>" + "".join(f"<p>{_said(n)}</p>" for n in rest)
-        mixed = article + f"<p>{_said(6)} {link(3)} {_said(9)}</p><ul><li>{_said(4)}</li><li>{_said(12)}</li></ul>"
-        for n, foot in ((3, 5), (18, 30), (45, 70)):
-            around = f'<nav><ul>{menu}</ul></nav><header><p>{_said(n)}</p></header>%s<aside><p>{_said(n)}</p><p>{link(4)}</p></aside><footer>{_said(foot)}</footer>'
-            pages += [
-                around % f"<article data-main>{article}</article>",
-                around % f'<div class="ad">{_said(n)}</div><main data-main>{mixed}</main><div class="comments"><p>{_said(n)}</p><p>{_said(foot)}</p></div>',
-                around % f'<div class="cookie notice"><p>{_said(n)}</p></div><article data-main>{mixed}</article><form><p>{_said(n)}</p></form><section id="comments"><article><p>{_said(foot)}</p></article></section>',
-                f'<ul>{menu}</ul><div id="sidebar">{_said(n)}<p>{link(2)}</p></div><article><div data-main>{article}<p>{link(2)}</p><p>{_said(8)}</p><p>{link(4)}</p><p>{_said(30)}</p><p>{link(8)}</p><p>{_said(5)}</p></div><ul>{menu}</ul><div class="share">{link(1)} {link(1)}</div><aside>{_said(n)}</aside><div class="related"><p>{link(8)}</p></div></article><p>{_said(3)} {link(1)} {link(2)}</p>',
-            ]
-        plain = f"<div data-main><h1>{_said(head)}</h1>" + "".join(f"<p>{_said(max(n, 8))}</p>" for n in (*rest, 50)) + "</div>"
-        pages += [f"<article data-main>{article}</article>", f"<main data-main>{mixed}</main>", f"<article data-main><p>{_said(head)}</p></article>", plain]
-        pages += [f'<ul>{menu}</ul><div class="banner">{_said(20)}</div>{plain}<p>{link(3)} {link(2)}</p><div>{_said(3)}</div>', f'<div class="menu">{menu}</div>{plain}<div class="footer"><p>{_said(25)}</p></div>', f"<div>{_said(2)}</div>{plain}", f"<ul>{menu}</ul><p>{_said(3)}</p>{plain}<p>{_said(2)}</p><p>{_said(4)}</p>"]
-    # Links alone between paragraphs: what encloses them tells them apart, not how long they or their neighbours are.
-    for i, before in enumerate((2, 9, 30, 120)):
-        for j, after in enumerate((3, 12, 25, 80)):
-            own, p = f"<p data-main>{link(2 + (i + j) % 4)}</p>", lambda n: f"<p data-main>{_said(n)}</p>"
-            pages.append(f'<div>{_said(after)}</div><article>{p(before)}<div class="related">{own.replace(" data-main", "")}</div>{p(after)}<aside>{own.replace(" data-main", "")}</aside>{p(before)}{own}{p(after)}<ul>{''.join(f"<li>{link(k)}</li>" for k in (1 + i, 1 + (i + j) % 5, 1 + j))}</ul>{p(before) if i % 2 else ""}</article><div>{_said(before)}</div>')
+def table_pages() -> list[tuple[str, list[int]]]:
+    """The labelled table's pages as html, with the labels of their blocks. A row has a label, the path of elements down to the
+    block's own, its words and how many of them are linked; rows of one page that follow each other share what their paths share."""
+    pages: list[tuple[str, list[int]]] = []
+    out, labels, path = [], [], []
+
+    def tags(part: str) -> str:
+        tag, *marks = re.split(r"(?=[.#])", part)
+        classes = " ".join(x[1:] for x in marks if x[0] == ".")
+        ids = "".join(f' id="{x[1:]}"' for x in marks if x[0] == "#")
+        return f"<{tag}" + (f' class="{classes}"' if classes else "") + ids + ">"
+
+    def finish() -> None:
+        if labels:
+            pages.append(("".join(out), list(labels)))
+        out.clear()
+        labels.clear()
+        path.clear()
+
+    for row in TABLE.read_text(encoding="utf-8").splitlines():
+        if not row or row.startswith("#"):
+            finish()
+            continue
+        label, parts, words, linked = row.split("\t")
+        parts = parts.split(">")
+        keep = 0
+        while keep < min(len(path), len(parts) - 1) and path[keep] == parts[keep]:
+            keep += 1
+        out.append("".join(f"</{re.split('[.#]', x)[0]}>" for x in reversed(path[keep:])) + "".join(map(tags, parts[keep:])))
+        path[:] = parts
+        a, b = int(linked), int(words) - int(linked)
+        out.append(f'<a href="#">{"w " * a}</a> ' * (a > 0) + "w " * b)
+        labels.append(int(label))
+    finish()
     return pages
 
 
 def trained() -> Tree:
-    """The tree of the labelled pages' blocks."""
-    pages = [blocks_of(x) for x in training_pages()]
-    return Tree(np.vstack([features(x) for x in pages]), np.array([b.label for x in pages for b in x]))
+    """The tree of the labelled table's blocks."""
+    rows, labels = [], []
+    for html, wanted in table_pages():
+        page = parsed(html)
+        if len(page.blocks) != len(wanted):
+            raise ValueError(f"{len(page.blocks)} blocks for {len(wanted)} rows: {html[:200]}")
+        rows.append(features(page))
+        labels += wanted
+    return Tree(np.vstack(rows), np.array(labels))
 
 
 def main_text(html: str, tree: Tree) -> str:
-    found = blocks_of(html)
-    if not found:
+    page = parsed(html)
+    if not page.blocks:
         return ""
-    return "\n\n".join(x.text for x, share in zip(found, tree.share(features(found)), strict=True) if share >= 0.5)
+    return "\n\n".join(x.text for x, share in zip(page.blocks, tree.share(features(page)), strict=True) if share >= 0.5)
 
 
 def extracted(pages: DataFrame, tree: Tree | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 import pytest
@@ -58,3 +59,47 @@ def test_edge_rows(spark):
     got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 599_999)]
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+STORY = "<h1>A title of it</h1>" + "".join(f"<p>{'word ' * n}</p>" for n in (40, 3, 50, 2, 44))
+SAID = ["A title of it", *(" ".join(["word"] * n) for n in (40, 3, 50, 2, 44))]
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "site modal-open", "col-main with-nav", "social-science", "l-legal-news", "banner-free"])
+@pytest.mark.parametrize("tag", ["article", "section", "div"])
+def test_names_of_wrappers_drop_nothing(name, tag):
+    page = f'<nav><a href=x>home</a> <a href=y>news</a></nav><div class="{name}"><{tag}>{STORY}</{tag}></div><footer><p>foot words</p></footer>'
+    assert html_text.main_text(page, TREE).split("\n\n") == SAID
+
+
+@pytest.mark.parametrize("tag", ["article", "section", "div"])
+def test_page_in_a_form(tag):
+    assert html_text.main_text(f'<form id="aspnetForm"><{tag}>{STORY}</{tag}></form>', TREE).split("\n\n") == SAID
+
+
+def test_short_parts_of_a_plain_division():
+    inner = [("h1", "T t"), ("p", "w " * 60), ("p", "a b"), ("p", "a b c"), ("p", "a b c d e"), ("li", "one"), ("li", "two of it"), ("pre", "x = 1\ny = 2"), ("td", "1"), ("td", "2 3"), ("p", "w " * 60)]
+    page = "<ul><li><a>x</a></li><li><a>y z</a></li></ul><div>" + "".join(f"<{t}>{x}</{t}>" for t, x in inner) + "</div><div class=footer>f o o</div>"
+    assert html_text.main_text(page, TREE).split("\n\n") == [" ".join(x.split()) for _, x in inner]
+
+
+def test_comments_that_outgrow_the_text():
+    page = f'<div class="post">{STORY}</div><div id="comments">' + f"<p>{'said ' * 90}</p>" * 9 + '</div><div class="site-footer"><p>imprint</p></div>'
+    assert html_text.main_text(page, TREE).split("\n\n") == SAID
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<p title="a ', "<div>", "<div class='x'>", "<!--", "<script>", "<button>a", "<svg>", "<p x='", "<p x=\"'>", "</div>", "<", "&", "<li>", "<p class "])
+def test_time_is_linear(piece):
+    n = 2_000_000 // len(piece)
+    began = time.process_time()
+    html_text.main_text(piece * n, TREE)
+    assert time.process_time() - began < 10
+
+
+def test_table_is_learned():
+    right = total = 0
+    for html, labels in html_text.table_pages():
+        share = TREE.share(html_text.features(html_text.parsed(html)))
+        right += sum((x >= 0.5) == bool(y) for x, y in zip(share, labels, strict=True))
+        total += len(labels)
+    assert total > 300 and right / total > 0.98
