@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, votes weighted by distance.
 
 Fitting takes a bounded sample of labelled rows, `fit_rows` at most, drawn by a hash of the id. Terms are lower-cased words and
-their beginnings of 5 to 8 characters. The index has the sample's terms of the highest signed association with the label (G2)
-and its most frequent ones, which tell languages and lengths apart. Document frequencies are counted over all documents.
+their beginnings of 5 characters; the index has every term of the sample. A term weighs (1 + log tf) * idf, with document frequencies
+over all documents, times sqrt(1 + G2), G2 its association with the label in the sample (supervised term weighting): made-up and rare
+words would fill a plain TF-IDF cosine, which tells the label less well (figures in the README). The cosine of these vectors is exact.
 
 The index posts each term's weights in blocks of examples, with each block's maximum. A query's bound on a block is the sum of
 its weights times those maxima; blocks are taken by falling bound, and those whose bound is under the k-th best cosine so far
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +28,47 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-FIT_ROWS, ASSOCIATED, FREQUENT, NEIGHBOURS, BLOCK, FEW = 4000, 400, 200, 10, 64, 3
+FIT_ROWS, NEIGHBOURS, BLOCK, BEGINNING = 4000, 10, 64, 5
 WORDS = re.compile(r"\w+")
 KEPT = 200_000
 
 
-def beginnings(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}*" for k in range(5, min(9, len(word))))]
+def terms_of(word: str) -> tuple[str, ...]:
+    return (word, word[:BEGINNING] + "*") if len(word) > BEGINNING else (word,)
 
 
 def term_counts(text: str) -> Counter[str]:
     out: Counter[str] = Counter()
     for word, n in Counter(WORDS.findall(text.lower())).items():
-        for term in beginnings(word):
+        for term in terms_of(word):
             out[term] += n
     return out
 
 
+class Terms:
+    """Places of the sample's terms; the places of words met are kept, of `KEPT` at most."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.place = {x: i for i, x in enumerate(terms)}
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def of(self, word: str) -> tuple[int, ...]:
+        at = self.known.get(word)
+        if at is None:
+            at = tuple(self.place[t] for t in terms_of(word) if t in self.place)
+            if len(self.known) < KEPT:
+                self.known[word] = at
+        return at
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the sample's terms in a whole text."""
+        out: dict[int, int] = {}
+        for word, n in Counter(WORDS.findall(text.lower())).items():
+            for i in self.of(word):
+                out[i] = out.get(i, 0) + n
+        return np.fromiter(out.keys(), np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
+
+
 def held_out(column: str = "doc_id") -> F.Column:
     """Every fifth id by checksum, and null ids, which nothing is learned from."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -55,8 +81,8 @@ def examples_of(labels: DataFrame, fit_rows: int) -> DataFrame:
     return own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
 
-def vocabulary(sample: DataFrame, associated: int, frequent: int) -> list[str]:
-    """Terms of the sample (text, toxic): those most associated with the label, then the most frequent."""
+def vocabulary(sample: DataFrame) -> tuple[list[str], np.ndarray]:
+    """All terms of the sample (text, toxic) in order, and each one's association with the label (G2)."""
     def step(batch: dict) -> dict:
         df, positive = Counter(), Counter()
         for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
@@ -66,100 +92,115 @@ def vocabulary(sample: DataFrame, associated: int, frequent: int) -> list[str]:
                 positive.update(found)
         return {"term": list(df), "n": list(df.values()), "p": [positive[x] for x in df]}
 
-    whole = sample.agg(F.count("*").cast("double").alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("double").alias("positive")).first()
-    rows, positive = F.lit(whole["rows"]), F.lit(whole["positive"])
-    terms = common.per_batch(sample, step, "term string, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).where(F.col("n") >= FEW)
-    part = lambda seen, a, b: F.when(seen > 0, seen * F.log(seen * rows / (a * b))).otherwise(F.lit(0.0))
-    n, p = F.col("n").cast("double"), F.col("p").cast("double")
-    g2 = part(p, n, positive) + part(n - p, n, rows - positive) + part(positive - p, rows - n, positive) + part(rows - positive - n + p, rows - n, rows - positive)
-    terms = common.cut(terms.withColumn("g2", g2 * F.when(p * (rows - positive) > (n - p) * positive, 1).otherwise(-1)))
-    top = [x.term for x in terms.orderBy(F.desc("g2"), "term").limit(associated).collect()]
-    return list(dict.fromkeys(top + [x.term for x in terms.orderBy(F.desc("n"), "term").limit(frequent).collect()]))
+    whole = sample.agg(F.count("*").alias("rows"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("positive")).first()
+    rows, positive = float(whole["rows"]), float(whole["positive"])
+    # The sample's terms are bounded by its rows.
+    found = common.per_batch(sample, step, "term string, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).toArrow().sort_by("term")
+    n, p = found["n"].to_numpy().astype(np.float64), found["p"].to_numpy().astype(np.float64)
+    return found["term"].to_pylist(), association(n, p, rows, positive)
 
 
-def vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, digest of the text, vec: counts of the vocabulary's terms in the whole text, as pairs of 32-bit place and count."""
-    place = {x: i for i, x in enumerate(terms)}
+def association(n: np.ndarray, p: np.ndarray, rows: float, positive: float) -> np.ndarray:
+    """G2 of terms in n of all rows and p of the positive ones."""
+    def part(seen: np.ndarray, a: np.ndarray | float, b: np.ndarray | float) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(seen > 0, seen * np.log(seen * rows / (a * b)), 0.0)
 
-    def step(batch: dict) -> dict:
-        known, out = batch[""], []
-        for x in batch["text"]:
-            counts: Counter[int] = Counter()
-            for word, n in Counter(WORDS.findall(x.as_py().lower())).items():
-                at = known.get(word)
-                if at is None:
-                    at = tuple(place[t] for t in beginnings(word) if t in place)
-                    if len(known) < KEPT:
-                        known[word] = at
-                for i in at:
-                    counts[i] += n
-            out.append(np.array(sorted(counts.items()), dtype="<u4").tobytes())
-        return {"doc_id": batch["doc_id"], "digest": batch["digest"], "vec": pa.array(out, pa.binary())}
+    g2 = 2 * (part(p, n, positive) + part(n - p, n, rows - positive) + part(positive - p, rows - n, positive) + part(rows - positive - n + p, rows - n, rows - positive))
+    return np.maximum(np.nan_to_num(g2), 0.0)
 
-    own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return common.per_batch(own.withColumn("digest", common.digest_of(F.col("text"))), step, "doc_id long, digest binary, vec binary", dict)
 
+def frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each term, over all documents; a task sends its sums once."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, rows = Terms(terms.value), 0
+        df = np.zeros(len(terms.value), np.int64)
+        for batch in batches:
+            rows += batch.num_rows
+            for text in batch["text"]:
+                found = {i for word in set(WORDS.findall(text.as_py().lower())) for i in own.of(word)}
+                df[np.fromiter(found, np.int64, len(found))] += 1
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], ["term", "n"])
 
-def frequencies(vecs: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each term."""
-    def step(batch: dict) -> dict:
-        found = np.frombuffer(b"".join(batch["vec"].to_pylist()), dtype="<u4").reshape(-1, 2)[:, 0]
-        n = np.bincount(found, minlength=n_terms)
-        return {"term": [-1, *range(n_terms)], "n": [len(batch["vec"]), *n.tolist()]}
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(len(terms.value) + 1)
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    return int(df[-1]), df[:-1]
 
-    rows = common.per_batch(vecs.select("vec"), step, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {x.term: x.n for x in rows}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(n_terms)], dtype=np.float64)
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of n each, one after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
 
 
 class Index:
-    """Block-max postings of the examples' unit vectors, and the curve that calibrates their votes."""
+    """Block-max postings of the examples' unit vectors, and the curve that calibrates their votes.
+
+    Entries are pairs of a term and a block, by term: `first` has each term's first entry, `block` and `most` an entry's block and
+    greatest weight, `start` its first posting; a posting has an example's `place` in the block and its `weight`.
+    """
 
-    def __init__(self, vecs: list[bytes], toxic: list[int], ids: list[int], idf: np.ndarray) -> None:
-        self.idf = idf
-        units = [self.unit(x) for x in vecs]
+    def __init__(self, vecs: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], factor: np.ndarray) -> None:
+        self.factor = factor
+        units = [self.unit(*x) for x in vecs]
         dominant = [int(at[np.argmax(w)]) if len(at) else -1 for at, w in units]
         order = sorted(range(len(vecs)), key=lambda i: (dominant[i], ids[i]))
+        units = [units[i] for i in order]
         self.toxic, self.ids = np.array([toxic[i] for i in order], dtype=np.float64), np.array([ids[i] for i in order], dtype=np.int64)
         n = len(order)
         self.base = (self.toxic.sum() + 0.98) / (n + 2)
-        blocks = -(-max(n, 1) // BLOCK)
-        self.posts = np.zeros((len(idf), blocks, BLOCK))
-        for at, i in enumerate(order):
-            self.posts[units[i][0], at // BLOCK, at % BLOCK] = units[i][1]
-        self.most = self.posts.max(axis=2)
+        self.blocks = -(-max(n, 1) // BLOCK)
+        term = np.concatenate([np.empty(0, np.int64), *(at for at, _ in units)])
+        place = np.repeat(np.arange(n), [len(at) for at, _ in units])
+        weight = np.concatenate([np.empty(0), *(w for _, w in units)])
+        by = np.lexsort((place, term))
+        term, place, self.weight = term[by], place[by], weight[by]
+        self.place = (place % BLOCK).astype(np.uint8)
+        entry = term * self.blocks + place // BLOCK
+        begin = np.flatnonzero(np.diff(entry, prepend=-1))
+        self.start = np.append(begin, len(entry)).astype(np.int32)
+        self.block = (entry[begin] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
+        self.first = np.searchsorted(term[begin], np.arange(len(factor) + 1)).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
-        self._calibrate([units[i] for i in order])
+        self._calibrate(units)
 
-    def unit(self, vec: bytes) -> tuple[np.ndarray, np.ndarray]:
-        pairs = np.frombuffer(vec, dtype="<u4").reshape(-1, 2)
-        at = pairs[:, 0].astype(np.int64)
-        weights = (1 + np.log(pairs[:, 1])) * self.idf[at]
+    def unit(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.factor[at]
         norm = np.sqrt((weights * weights).sum())
         return (at, weights / norm) if norm > 0 else (at[:0], weights[:0])
 
     def nearest(self, unit: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest with a positive cosine, by falling cosine, then place."""
         at, weights = unit
-        if not len(at) or not len(self.ids):
-            return np.empty(0, np.int64), np.empty(0)
-        bounds = weights @ self.most[at]
-        order, taken, step = np.argsort(-bounds, kind="stable"), 0, 2
-        places, cosines = np.empty(0, np.int64), np.empty(0)
+        first = self.first[at]
+        n = self.first[at + 1] - first
+        entries, weights = _ranges(first, n), np.repeat(weights, n)
+        of = self.block[entries]
+        bounds = np.bincount(of, weights * self.most[entries], self.blocks)
+        order, taken, step = np.argsort(-bounds, kind="stable"), 0, 4
+        places, cosines, turn = np.empty(0, np.int64), np.empty(0), np.empty(self.blocks, np.int64)
         while taken < len(order):
             least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-            live = order[taken:][bounds[order[taken:]] + 1e-9 >= least] if least > 0 else order[taken:]
-            live = live[bounds[live] > 0]
+            live = order[taken : taken + step]
+            live = live[(bounds[live] > 0) & (bounds[live] + 1e-9 >= least)]
             if not len(live):
                 break
-            live, taken = live[:step], taken + step
-            found = np.einsum("i,ibs->bs", weights, self.posts[np.ix_(at, live)]) if len(live) < 4 else np.tensordot(weights, self.posts[np.ix_(at, live)], 1)
-            where = (live[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            good = (where < len(self.ids)) & (where != without)
-            places, cosines = np.concatenate([places, where[good]]), np.concatenate([cosines, found.ravel()[good]])
-            step *= 4
+            turn[:] = -1
+            turn[live] = np.arange(len(live))
+            row = turn[of]
+            mine = np.flatnonzero(row >= 0)
+            start = self.start[entries[mine]]
+            size = self.start[entries[mine] + 1] - start
+            posts = _ranges(start, size)
+            found = np.bincount(np.repeat(row[mine] * BLOCK, size) + self.place[posts], np.repeat(weights[mine], size) * self.weight[posts], len(live) * BLOCK)
+            good = np.flatnonzero(found > 1e-12)
+            where = live[good // BLOCK] * BLOCK + good % BLOCK
+            places, cosines = np.concatenate([places, where[where != without]]), np.concatenate([cosines, found[good][where != without]])
+            taken, step = taken + step, step * 4
         top = np.lexsort((places, -np.round(cosines, 12)))[:k]
-        top = top[cosines[top] > 1e-12]
         return places[top], cosines[top]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -180,33 +221,50 @@ class Index:
             b = b + np.linalg.solve(hessian, x.T @ (y - p) - 1e-3 * (b - [1.0, 0.0]))
         self.slope, self.shift = float(np.clip(b[0], 0.1, 10)), float(b[1])
 
-    def score(self, vec: bytes, k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.nearest(self.unit(vec), k)
+    def score(self, vec: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
+        places, cosines = self.nearest(self.unit(*vec), k)
         v = self.vote(places, cosines)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))), self.ids[places], cosines
 
 
-def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbours: int = NEIGHBOURS, associated: int = ASSOCIATED, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, score, predicted, as evidence the ids and cosines of the nearest examples, and a digest that tells the texts of an id apart."""
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], Index]:
+    """The sample's terms and the index of its examples."""
     spark = docs.sparkSession
     sample = common.cut(examples_of(labels, fit_rows))
     own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    # The sample has at most fit_rows rows of two numbers, which bounds what is broadcast.
-    known = own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    terms = vocabulary(common.cut(known.select("text", "toxic")), associated, frequent)
-    vecs = common.cut(vectors(docs, terms))
-    n, df = frequencies(vecs, len(terms))
-    examples = vecs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("vec").alias("vec"), F.max("toxic").alias("toxic")).collect()
-    index = Index([bytes(x.vec) for x in examples], [x.toxic for x in examples], [x.doc_id for x in examples], np.log((n + 1) / (df + 0.5)))
-    shared = spark.sparkContext.broadcast(index)
+    # The sample has at most fit_rows rows of two numbers, which bounds what is broadcast; its vectors come to the driver.
+    known = common.cut(own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    terms, g2 = vocabulary(known.select("text", "toxic"))
+    shared = spark.sparkContext.broadcast(terms)
+    n, df = frequencies(own, shared)
 
     def step(batch: dict) -> dict:
-        found = [batch[""].score(x, neighbours) for x in batch["vec"].to_pylist()]
+        found = [batch[""].counts(x.as_py()) for x in batch["text"]]
+        return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": pa.array([x.astype("<u4").tobytes() for x, _ in found], pa.binary()), "counts": pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())}
+
+    examples = common.per_batch(known, step, "doc_id long, toxic int, at binary, counts binary", lambda: Terms(shared.value)).toArrow()
+    vecs = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64)) for a, c in zip(examples["at"].to_pylist(), examples["counts"].to_pylist(), strict=True)]
+    factor = np.maximum(np.log((n + 1) / (df + 0.5)), 0.0) * np.sqrt(1 + g2)
+    return terms, Index(vecs, examples["toxic"].to_pylist(), examples["doc_id"].to_pylist(), factor)
+
+
+def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """doc_id, held_out, score, predicted, as evidence the ids and cosines of the nearest examples, and a digest that tells the texts of an id apart."""
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
+
+    def setup() -> tuple[Terms, Index]:
+        terms, index = shared.value
+        return Terms(terms), index
+
+    def step(batch: dict) -> dict:
+        terms, index = batch[""]
+        found = [index.score(terms.counts(x.as_py()), neighbours) for x in batch["text"]]
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
         join = lambda i, kind: np.concatenate([np.empty(0, kind), *(x[i] for x in found)])
         return {"doc_id": batch["doc_id"], "digest": batch["digest"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}
 
-    out = common.per_batch(vecs, step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", lambda: shared.value)
+    own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    out = common.per_batch(own.withColumn("digest", common.digest_of(F.col("text"))), step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", setup, 2000)
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", "cosines", "digest")
 
 
