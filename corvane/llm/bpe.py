@@ -6,8 +6,10 @@ two or three leaves and their paths. The tree is used until the root holds no pa
 
 The file's own steps come first: its two special strings are cut out of the raw text, what is between is composed (NFC),
 lower-cased by character, and split into words; a word's UTF-8 bytes are its symbols, the last one marked as the word's end.
-Words recur, so each worker keeps the ids of the last `KEPT` to twice as many words. Characters that Unicode has assigned after version
-15 are classed as the installed `regex` knows them. Nothing is shuffled.
+Words recur, so each worker keeps the ids of the last `KEPT` to twice as many words. Python's Unicode tables and the library's are of
+different versions: the driver compares the two over all code points, and a text with one that they treat differently takes its
+normal form and its words from the library's normalizer and splitter; merges are made here all the same. The file's content is
+broadcast, so workers need no path of the driver's. Nothing is shuffled.
 
 Defined results: a null text is an empty one, with no tokens and the empty string decoded. Repeated rows and null ids give
 rows of their own. Further columns are not looked at.
@@ -19,6 +21,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +51,77 @@ def byte_symbols() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
+def words(text: str) -> list[str]:
+    """A text's words in normal form, by Python's tables."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return WORDS.findall(text.lower())
+
+
+class Library:
+    """The file's normalizer and splitter as the library runs them."""
+
+    def __init__(self, whole: dict) -> None:
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        split = next(x for x in whole["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        bare = Tokenizer(models.BPE())
+        self.normalizer = Tokenizer.from_str(json.dumps(json.loads(bare.to_str()) | {"normalizer": whole["normalizer"]})).normalizer
+
+    def words(self, text: str) -> list[str]:
+        return [x for x, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+
+
+def _ranges(points: list[int]) -> tuple[tuple[int, int], ...]:
+    """Code points as ranges, both ends included."""
+    out: list[list[int]] = []
+    for x in points:
+        if out and out[-1][1] == x - 1:
+            out[-1][1] = x
+        else:
+            out.append([x, x])
+    return tuple((a, b) for a, b in out)
+
+
+@lru_cache(maxsize=2)
+def strange_points(body: str) -> tuple[tuple[int, int], ...]:
+    """Ranges of the code points whose class, case or normal form Python and the library may see differently: those found to differ
+    beside letters, digits and accents or in a decomposed pair, and all that Python's tables don't know."""
+    library = Library(json.loads(body))
+    shapes = ("{0}", "a{0}b1", "A{0}\u0301", "e\u0323{0}", "o\u0301{0}\u0323 ")
+    unknown, known = [], []
+    for x in chain(range(0x80, 0xD800), range(0xE000, 0x110000)):
+        (unknown if unicodedata.category(chr(x)) == "Cn" else known).append(x)
+    # Letters of the large uniform blocks, and private use, are alike but for what stands at their ends.
+    plain = ((0x3500, 0x4D00), (0x4F00, 0x9F00), (0xAD00, 0xD700), (0xE100, 0xF800), (0x20100, 0x2A600), (0x2A800, 0x2B700), (0x2B900, 0x2CE00), (0x2CF00, 0x2EB00), (0x30100, 0x31300), (0x31400, 0x32300), (0xF0100, 0xFFF00), (0x100100, 0x10FF00))
+    tried = [(x, [f.format(chr(x)) for f in shapes]) for x in known if not any(a <= x < b for a, b in plain)]
+    for x, _ in list(tried):
+        parts = unicodedata.decomposition(chr(x)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            tried += [(int(y, 16), [chr(int(parts[0], 16)) + chr(int(parts[1], 16))]) for y in parts]
+    found = set(unknown)
+    todo = [tried[i : i + 256] for i in range(0, len(tried), 256)]
+    while todo:
+        some = todo.pop()
+        text = "\n".join(y for _, forms in some for y in forms)
+        if words(text) != library.words(text):
+            if len(some) == 1:
+                found.add(some[0][0])
+            else:
+                todo += [some[: len(some) // 2], some[len(some) // 2 :]]
+    return _ranges(sorted(found))
+
+
 class Vocabulary:
     """Pairs with rank and result, symbols of bytes, tokens by id, and the ids of words seen."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            whole = json.load(f)
+    def __init__(self, body: str, strange: tuple[tuple[int, int], ...]) -> None:
+        whole = json.loads(body)
+        self.strange = np.zeros(0x110000, bool)
+        for a, b in strange:
+            self.strange[a : b + 1] = True
+        self.library = Library(whole)
         model, ids = whole["model"], whole["model"]["vocab"]
         self.mark = model["end_of_word_suffix"] or ""
         self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
@@ -123,10 +191,10 @@ class Vocabulary:
         return np.array(self.merged([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]), dtype="<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         get, word = self.young.get, self.word
-        return b"".join([get(x) or word(x) for x in WORDS.findall(text.lower())])
+        if not text.isascii() and self.strange[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
+            return b"".join([get(x) or word(x) for x in self.library.words(text)])
+        return b"".join([get(x) or word(x) for x in words(text)])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -144,9 +212,24 @@ class Vocabulary:
         return " ".join([tokens[i] for i in ids])
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+_MADE: dict[str, Vocabulary] = {}
+
+
+def vocabulary(body: str, strange: tuple[tuple[int, int], ...]) -> Vocabulary:
+    """One vocabulary for all tasks of a worker."""
+    key = hashlib.md5(body.encode()).hexdigest()
+    if key not in _MADE:
+        _MADE.clear()
+        _MADE[key] = Vocabulary(body, strange)
+    return _MADE[key]
+
+
+def loader(docs: DataFrame, path: str | None):
+    """What a task calls for the vocabulary; the file is read on the driver and broadcast."""
+    with open(path or tokenizer_file(), encoding="utf-8") as f:
+        body = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((body, strange_points(body)))
+    return lambda: vocabulary(*shared.value)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -155,48 +238,40 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids of every document."""
-    path = path or tokenizer_file()
-
     def step(batch: dict) -> dict:
-        own = vocabulary(path)
+        own = batch[""]
         found = [own.encode(x.as_py()) for x in batch["text"]]
         ends = np.cumsum([0, *(len(x) // 4 for x in found)])
         return {"doc_id": batch["doc_id"], "n_tokens": np.diff(ends), "ids": common.lists(ends, np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32))}
 
-    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids array<int>")
+    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids array<int>", loader(docs, path))
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text of rows with ids; null ids give the empty text."""
-    path = path or tokenizer_file()
-
     def step(batch: dict) -> dict:
-        own = vocabulary(path)
+        own = batch[""]
         return {"doc_id": batch["doc_id"], "text": [own.decode(x.as_py() or []) for x in batch["ids"]]}
 
-    return common.per_batch(common.pick(encoded, "doc_id", "ids"), step, "doc_id long, text string")
+    return common.per_batch(common.pick(encoded, "doc_id", "ids"), step, "doc_id long, text string", loader(encoded, path))
 
 
 def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, decoded: what encode() and decode() give of every document, in one row."""
-    path = path or tokenizer_file()
-
     def step(batch: dict) -> dict:
-        own = vocabulary(path)
+        own = batch[""]
         found = [np.frombuffer(own.encode(x.as_py()), dtype="<u4") for x in batch["text"]]
         ends = np.cumsum([0, *map(len, found)])
         ids = common.lists(ends, np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32))
         return {"doc_id": batch["doc_id"], "n_tokens": np.diff(ends), "ids": ids, "decoded": [own.decode(x.tolist()) for x in found]}
 
-    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids array<int>, decoded string", rows=2000)
+    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids array<int>, decoded string", loader(docs, path), 2000)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: what encode() and decode() give, digested where it is made."""
-    path = path or tokenizer_file()
-
     def step(batch: dict) -> dict:
-        own = vocabulary(path)
+        own = batch[""]
         n, ids, decoded = [], [], []
         for x in batch["text"]:
             raw = own.encode(x.as_py())
@@ -205,7 +280,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             decoded.append(hashlib.sha256(own.decode(np.frombuffer(raw, dtype="<u4").tolist()).encode()).hexdigest())
         return {"doc_id": batch["doc_id"], "n_tokens": n, "ids_sha256": pa.array(ids), "decoded_sha256": pa.array(decoded)}
 
-    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.per_batch(_texts(docs), step, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", loader(docs, path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,22 @@ def test_agrees_with_the_library(spark):
     assert bpe.encode(docs.limit(0)).collect() == []
 
 
+def loaded():
+    with open(bpe.tokenizer_file(), encoding="utf-8") as f:
+        body = f.read()
+    return bpe.Vocabulary(body, bpe.strange_points(body))
+
+
+def test_every_code_point():
+    own, library = loaded(), Tokenizer.from_file(bpe.tokenizer_file())
+    points = [x for x in range(0x110000) if not 0xD800 <= x < 0xE000 and not 0x40000 <= x < 0xE0000]
+    for at in range(0, len(points), 5000):
+        texts = [f"a{chr(x)}b1 {chr(x)}\u0301 A\u0323{chr(x)}" for x in points[at : at + 5000]]
+        want = library.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(own.encode(x), "<u4").tolist() for x in texts] == [x.ids for x in want]
+
+
 def test_words_outlive_a_full_cache(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT", 5)
-    own, words = bpe.Vocabulary(bpe.tokenizer_file()), [f"word{i}s" for i in range(40)] * 2
+    own, words = loaded(), [f"word{i}s" for i in range(40)] * 2
     assert len({own.encode(w) for w in words}) == 40 and len(own.young) <= 5
