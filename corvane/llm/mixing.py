@@ -7,11 +7,12 @@ each copy the words that came before it; the time at which the source's cumulati
 reaches those words is the copy's training position. The range-sorted copies are the training order.
 
 Sums within a source run over 4,096 buckets of it, so a source of any share of the rows is spread over tasks; only one row per
-source and bucket meets in a window of a source, and one row per source in a window over all.
+source and bucket meets in a window of a source. Sums over sources run within range partitions and over one row for each of these.
 
 Defined results: a null or blank text has size 0 and is not taken. A null source is a source, last in order. A null doc_id
-counts as the id ''. Repeated rows are documents of their own. The last copy that a source takes can be cut: it takes the words
-that are left of the target rounded to whole words; no other copy is. Further columns are not looked at, unless `keep` names them.
+counts as the id ''. Repeated rows are documents of their own. Copies are whole: in its last turn a source takes the documents whose
+middle word is within its target, so what it takes is off by half of one document at most. Rows of one id are ordered by size, then by
+text. Further columns are not looked at, unless `keep` names them.
 """
 
 from __future__ import annotations
@@ -46,40 +47,58 @@ def inverse(share: Column, knots: tuple) -> Column:
     return out
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds the sums over the rows before each one, and under the name with _all those over all rows. Rows are dealt by range; only one
+    row for each range is summed in one task."""
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = common.cut(dealt)
+    parts = dealt.groupBy("_range").agg(*[F.sum(x).alias(f"_{k}") for k, x in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("_range", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}_before") for k in sums], *[F.sum(f"_{k}").over(Window.partitionBy()).alias(f"{k}_all") for k in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.join(F.broadcast(parts), "_range")  # one row for each range partition
+    for k, x in sums.items():
+        dealt = dealt.withColumn(k, F.col(f"_{k}_before") + F.coalesce(F.sum(x).over(within), F.lit(0)))
+    return dealt.drop("_range", *[f"_{k}_before" for k in sums])
+
+
 def targets(sources: DataFrame, weights: list[float], cap: int) -> DataFrame:
     """source_size -> kind (place in the cycle of weights) and target: the level at which all words are shared under the caps."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    own = sources.withColumn("kind", F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))))
+    own = running(sources, [F.col("source").isNull(), F.col("source")], {"place": F.lit(1)})
+    own = own.withColumn("kind", F.pmod(F.col("place"), F.lit(len(weights))).cast("int")).drop("place", "place_all")
     own = own.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), F.col("kind") + 1)).withColumn("most", F.col("source_size") * cap)
-    filled = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("most").over(filled.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = F.sum("weight").over(filled.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    own = own.withColumn("level", (F.sum("source_size").over(everything) - before) / left)
-    level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level"))).over(everything)
-    return own.withColumn("target", F.least(F.col("most").cast("double"), F.coalesce(level * F.col("weight"), F.col("most").cast("double"))))
+    own = running(own, [F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source")], {"filled": F.col("most"), "used": F.col("weight"), "words": F.col("source_size")})
+    level = (F.col("words_all") - F.col("filled")) / (F.col("used_all") - F.col("used"))
+    own = own.withColumn("level", F.when(level * F.col("weight") <= F.col("most"), level))
+    highest = own.agg(F.max("level").alias("highest"))
+    own = own.crossJoin(F.broadcast(highest))  # one row
+    return own.withColumn("target", F.least(F.col("most").cast("double"), F.coalesce(F.col("highest") * F.col("weight"), F.col("most").cast("double"))))
 
 
 def assign(docs: DataFrame, schedules: tuple = CURRICULUM, cap: int = CAP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, positions (one for each copy, in order), rest (place in the source for what isn't taken)."""
+    """doc_id, source, size, source_size, target, taken, positions (one for each copy, in order), rest (place in the source for what isn't taken).
+
+    Sizes are counted once and cut from their lineage, unless `keep` names the text, which would be written with them.
+    """
     columns = list(dict.fromkeys(["doc_id", "text", "source", *keep]))
     own = common.pick(docs, *columns).withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     own = own.withColumn("_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("_bucket", F.substring("_order", 1, 3))
-    own = own.withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    own = own.select("_source", "_bucket", "_order", "_size", *[c for c in columns if c in ("doc_id", "source") or c in keep])
+    own = own.withColumn("_tie", F.xxhash64("text")).withColumn("_source", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
+    own = own.select("_source", "_bucket", "_order", "_tie", "_size", *[c for c in columns if c in ("doc_id", "source") or c in keep])
+    own = own if "text" in keep else common.cut(own)
     buckets = own.groupBy("_source", "_bucket").agg(F.sum("_size").alias("words"))
     sources = buckets.groupBy("_source").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("_source") != "n", F.expr("substring(_source, 2)")))
     shares = targets(sources, [integral(x) for x in schedules], cap).select("_source", "kind", "source_size", "target")
     running = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("offset", F.coalesce(F.sum("words").over(running), F.lit(0))).join(shares, "_source").drop("words")
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "_size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0))).join(buckets, ["_source", "_bucket"])
 
     size, whole, start, goal = F.col("_size"), F.col("source_size"), F.col("offset") + F.col("_before"), F.floor(F.col("target") + 0.5)
     full = F.when(whole > 0, F.floor(goal / F.greatest(whole, F.lit(1)))).otherwise(0)
     rest = goal - full * whole
-    taken = full * size + F.least(F.greatest(rest - start, F.lit(0)), size)
-    copies = F.when(size > 0, full + F.when(start < rest, 1).otherwise(0)).otherwise(0)
+    copies = F.when(size > 0, full + F.when(2 * start + size <= 2 * rest, 1).otherwise(0)).otherwise(0)
+    taken = copies * size
     share = lambda k: (start + (k - 1) * whole) / F.greatest(goal, F.lit(1))
 
     def position(k: Column) -> Column:
@@ -100,10 +119,9 @@ def in_order(assigned: DataFrame) -> DataFrame:
 
 
 def training_copies(assigned: DataFrame) -> DataFrame:
-    """One row for each copy, in training order; `words` is what the copy takes: its whole size but for a source's last copy."""
+    """One row for each copy, in training order."""
     each = assigned.select("*", F.posexplode("positions").alias("copy", "position"))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    return each.withColumn("words", words).drop("positions").repartitionByRange("position").sortWithinPartitions("position")
+    return each.drop("positions").repartitionByRange("position").sortWithinPartitions("position")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,10 +149,10 @@ t AS (SELECT *, least(most::DOUBLE, coalesce(max(CASE WHEN level * weight <= mos
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.kind, floor(t.target + 0.5)::BIGINT AS goal,
   coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN goal // source_size ELSE 0 END AS whole FROM p),
-r AS (SELECT *, goal - whole * source_size AS rest, start::DOUBLE / greatest(goal, 1) AS share FROM q)
-SELECT doc_id, size, source_size, target, (whole * size + least(greatest(rest - start, 0), size))::BIGINT AS taken,
-  (CASE WHEN size > 0 THEN whole + CASE WHEN start < rest THEN 1 ELSE 0 END ELSE 0 END)::INT AS copies,
-  CASE WHEN size > 0 AND (whole > 0 OR start < rest) THEN CASE kind WHEN 0 THEN {_sql_inverse("share", CURRICULUM[0])} WHEN 1 THEN {_sql_inverse("share", CURRICULUM[1])} ELSE {_sql_inverse("share", CURRICULUM[2])} END
+r AS (SELECT *, goal - whole * source_size AS rest, start::DOUBLE / greatest(goal, 1) AS share FROM q),
+c AS (SELECT *, (CASE WHEN size > 0 THEN whole + CASE WHEN 2 * start + size <= 2 * rest THEN 1 ELSE 0 END ELSE 0 END)::INT AS copies FROM r)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies,
+  CASE WHEN copies > 0 THEN CASE kind WHEN 0 THEN {_sql_inverse("share", CURRICULUM[0])} WHEN 1 THEN {_sql_inverse("share", CURRICULUM[1])} ELSE {_sql_inverse("share", CURRICULUM[2])} END
   ELSE 1 + start::DOUBLE / greatest(source_size, 1) END AS position
-FROM r
+FROM c
 """

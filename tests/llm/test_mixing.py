@@ -42,10 +42,11 @@ def test_targets_and_copies(spark, seed):
     want = filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}, 3)
     for r in got:
         assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
-        assert 0 <= r.taken <= 3 * r.size and len(r.positions) == r.copies == -(-r.taken // max(r.size, 1))
+        assert 0 <= r.taken <= 3 * r.size and len(r.positions) == r.copies and r.taken == r.copies * r.size
         assert list(r.positions) == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
     for s in sizes:
-        assert sum(r.taken for r in got if r.source == s) == int(want[s] + 0.5)
+        longest = max([r.size for r in got if r.source == s])
+        assert abs(sum(r.taken for r in got if r.source == s) - want[s]) <= longest / 2 + 1
     assert sorted(map(str, got)) == sorted(map(str, mixing.assign(docs.repartition(7)).collect()))
 
 
@@ -53,12 +54,29 @@ def test_positions_follow_the_schedules(spark):
     rows = [(i, "w w w w", "abc"[i % 3]) for i in range(600)]
     copies = mixing.training_copies(mixing.assign(spark.createDataFrame(rows, "doc_id long, text string, source string"))).collect()
     assert [r.position for r in copies] == sorted(r.position for r in copies)
-    early = {s: sum(r.words for r in copies if r.source == s and r.position < 0.5) / sum(r.words for r in copies if r.source == s) for s in "abc"}
+    early = {s: sum(r.size for r in copies if r.source == s and r.position < 0.5) / sum(r.size for r in copies if r.source == s) for s in "abc"}
     for s, knots in zip("abc", mixing.CURRICULUM, strict=True):
         half = {0: 0.625, 1: 0.5, 2: 0.25}["abc".index(s)]
         assert early[s] == pytest.approx(half, abs=0.02), knots
 
 
+def test_rows_of_one_id_keep_their_order(spark):
+    rows = [(None, f"word{i % 7} b c", "ab"[i % 2]) for i in range(60)] + [(1, "x y", "a"), (1, "z q", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted((r.text, r.source, r.position) for r in mixing.training_copies(mixing.assign(d, keep=("text",))).collect()) for d in (docs, docs.repartition(5), docs.orderBy(docs.text.desc()))]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (i % 5 + 1), f"host{i % 211:03d}") for i in range(900)]
+    got = mixing.assign(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = filled(sizes, {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes))}, 3)
+    assert all(r.target == pytest.approx(want[r.source]) for r in got)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.in_order(mixing.assign(docs)).collect() == []
