@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-FIT_ROWS, NEIGHBOURS, BLOCK, BEGINNING = 4000, 10, 64, 5
+FIT_ROWS, NEIGHBOURS, BLOCK, DENSE, QUERIES, BEGINNING = 4000, 10, 64, 16, 32, 5
 WORDS = re.compile(r"\w+")
-KEPT = 200_000
 
 
 def terms_of(word: str) -> tuple[str, ...]:
@@ -46,27 +45,28 @@ def term_counts(text: str) -> Counter[str]:
 
 
 class Terms:
-    """Places of the sample's terms; the places of words met are kept, of `KEPT` at most."""
+    """Places of the sample's terms, words and beginnings apart."""
 
     def __init__(self, terms: list[str]) -> None:
-        self.place = {x: i for i, x in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.words = {x: i for i, x in enumerate(terms) if x[-1] != "*"}
+        self.begun = {x[:-1]: i for i, x in enumerate(terms) if x[-1] == "*"}
 
-    def of(self, word: str) -> tuple[int, ...]:
-        at = self.known.get(word)
-        if at is None:
-            at = tuple(self.place[t] for t in terms_of(word) if t in self.place)
-            if len(self.known) < KEPT:
-                self.known[word] = at
-        return at
+    def set_of(self, text: str) -> set[int]:
+        """Places of the sample's terms in a whole text."""
+        found = set(WORDS.findall(text.lower()))
+        out = set(map(self.words.get, found)) | set(map(self.begun.get, {x[:BEGINNING] for x in found if len(x) > BEGINNING}))
+        out.discard(None)
+        return out
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Places and counts of the sample's terms in a whole text."""
-        out: dict[int, int] = {}
-        for word, n in Counter(WORDS.findall(text.lower())).items():
-            for i in self.of(word):
-                out[i] = out.get(i, 0) + n
-        return np.fromiter(out.keys(), np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
+        """The same with their counts."""
+        found = Counter(WORDS.findall(text.lower()))
+        words, begun = self.words.get, self.begun.get
+        at = np.array([words(x, -1) for x in found] + [begun(x[:BEGINNING], -1) if len(x) > BEGINNING else -1 for x in found], np.int64)
+        n = np.tile(np.fromiter(found.values(), np.float64, len(found)), 2)
+        at, of = np.unique(at, return_inverse=True)
+        counts = np.bincount(of, n, len(at))
+        return (at[1:], counts[1:]) if len(at) and at[0] < 0 else (at, counts)
 
 
 def held_out(column: str = "doc_id") -> F.Column:
@@ -118,7 +118,7 @@ def frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
         for batch in batches:
             rows += batch.num_rows
             for text in batch["text"]:
-                found = {i for word in set(WORDS.findall(text.as_py().lower())) for i in own.of(word)}
+                found = own.set_of(text.as_py())
                 df[np.fromiter(found, np.int64, len(found))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], ["term", "n"])
@@ -138,8 +138,10 @@ def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 class Index:
     """Block-max postings of the examples' unit vectors, and the curve that calibrates their votes.
 
-    Entries are pairs of a term and a block, by term: `first` has each term's first entry, `block` and `most` an entry's block and
-    greatest weight, `start` its first posting; a posting has an example's `place` in the block and its `weight`.
+    Examples stand in blocks of `BLOCK`. A term in fewer than one of `DENSE` examples has a list of postings (`place`, `weight`, from `first` on);
+    a more frequent one has the weights of each block side by side (`dense`) and each block's greatest (`most`). Lists are summed first, which
+    gives each example a least cosine; a block can do no better than its best example with the frequent terms' maxima. Queries come some at a
+    time, and a block takes those that it is live for in one product.
     """
 
     def __init__(self, vecs: list[tuple[np.ndarray, np.ndarray]], toxic: list[int], ids: list[int], factor: np.ndarray) -> None:
@@ -155,15 +157,15 @@ class Index:
         term = np.concatenate([np.empty(0, np.int64), *(at for at, _ in units)])
         place = np.repeat(np.arange(n), [len(at) for at, _ in units])
         weight = np.concatenate([np.empty(0), *(w for _, w in units)])
-        by = np.lexsort((place, term))
-        term, place, self.weight = term[by], place[by], weight[by]
-        self.place = (place % BLOCK).astype(np.uint8)
-        entry = term * self.blocks + place // BLOCK
-        begin = np.flatnonzero(np.diff(entry, prepend=-1))
-        self.start = np.append(begin, len(entry)).astype(np.int32)
-        self.block = (entry[begin] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.empty(0)
-        self.first = np.searchsorted(term[begin], np.arange(len(factor) + 1)).astype(np.int32)
+        frequent = np.bincount(term, minlength=len(factor)) * DENSE > n
+        self.row = np.where(frequent, np.cumsum(frequent) - 1, -1)
+        self.dense = np.zeros((int(frequent.sum()), self.blocks, BLOCK))
+        many = frequent[term]
+        self.dense[self.row[term[many]], place[many] // BLOCK, place[many] % BLOCK] = weight[many]
+        self.most = self.dense.max(axis=2)
+        by = np.lexsort((place[~many], term[~many]))
+        self.place, self.weight = place[~many][by].astype(np.int32), weight[~many][by]
+        self.first = np.searchsorted(term[~many][by], np.arange(len(factor) + 1)).astype(np.int32)
         self.slope, self.shift = 1.0, 0.0
         self._calibrate(units)
 
@@ -172,36 +174,36 @@ class Index:
         norm = np.sqrt((weights * weights).sum())
         return (at, weights / norm) if norm > 0 else (at[:0], weights[:0])
 
-    def nearest(self, unit: tuple[np.ndarray, np.ndarray], k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest with a positive cosine, by falling cosine, then place."""
-        at, weights = unit
-        first = self.first[at]
+    def nearest(self, units: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of some queries, places and cosines of its k nearest with a positive cosine, by falling cosine, then place."""
+        count, width = len(units), self.blocks * BLOCK
+        of = np.repeat(np.arange(count), [len(at) for at, _ in units])
+        at, weights = np.concatenate([np.empty(0, np.int64), *(x for x, _ in units)]), np.concatenate([np.empty(0), *(w for _, w in units)])
+        first, row = self.first[at], self.row[at]
         n = self.first[at + 1] - first
-        entries, weights = _ranges(first, n), np.repeat(weights, n)
-        of = self.block[entries]
-        bounds = np.bincount(of, weights * self.most[entries], self.blocks)
-        order, taken, step = np.argsort(-bounds, kind="stable"), 0, 4
-        places, cosines, turn = np.empty(0, np.int64), np.empty(0), np.empty(self.blocks, np.int64)
-        while taken < len(order):
-            least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-            live = order[taken : taken + step]
-            live = live[(bounds[live] > 0) & (bounds[live] + 1e-9 >= least)]
-            if not len(live):
-                break
-            turn[:] = -1
-            turn[live] = np.arange(len(live))
-            row = turn[of]
-            mine = np.flatnonzero(row >= 0)
-            start = self.start[entries[mine]]
-            size = self.start[entries[mine] + 1] - start
-            posts = _ranges(start, size)
-            found = np.bincount(np.repeat(row[mine] * BLOCK, size) + self.place[posts], np.repeat(weights[mine], size) * self.weight[posts], len(live) * BLOCK)
-            good = np.flatnonzero(found > 1e-12)
-            where = live[good // BLOCK] * BLOCK + good % BLOCK
-            places, cosines = np.concatenate([places, where[where != without]]), np.concatenate([cosines, found[good][where != without]])
-            taken, step = taken + step, step * 4
-        top = np.lexsort((places, -np.round(cosines, 12)))[:k]
-        return places[top], cosines[top]
+        posts = _ranges(first, n)
+        cosines = np.bincount(self.place[posts] + np.repeat(of * width, n), np.repeat(weights, n) * self.weight[posts], count * width).astype(np.float64).reshape(count, width)
+        if without is not None:
+            cosines[np.arange(count), without] = -np.inf
+        heavy = np.zeros((count, len(self.dense)))
+        heavy[of[row >= 0], row[row >= 0]] = weights[row >= 0]
+        parts = cosines.reshape(count, self.blocks, BLOCK)
+        bounds = parts.max(axis=2) + heavy @ self.most
+        live = bounds >= -np.partition(-bounds, min(8, self.blocks) - 1, axis=1)[:, min(8, self.blocks) - 1, None]
+        done = np.zeros_like(live)
+        while live.any():
+            for b in np.flatnonzero(live.any(axis=0)).tolist():
+                mine = np.flatnonzero(live[:, b])
+                parts[mine, b] += heavy[mine] @ self.dense[:, b]
+            done |= live
+            least = np.partition(cosines, -k, axis=1)[:, -k] if width > k else np.full(count, -np.inf)
+            live = ~done & (bounds + 1e-9 >= least[:, None]) & (bounds > 0)
+        out = []
+        for own in cosines:
+            near = np.flatnonzero(own >= max(np.partition(own, -k)[-k] - 1e-11, 1e-12)) if width > k else np.flatnonzero(own > 1e-12)
+            top = near[np.lexsort((near, -np.round(own[near], 12)))][:k]
+            out.append((top, own[top]))
+        return out
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weights = 1 / (1.05 - np.minimum(cosines, 1.0))
@@ -212,7 +214,7 @@ class Index:
         y = self.toxic
         if min(y.sum(), len(y) - y.sum()) < 10:
             return
-        v = np.array([self.vote(*self.nearest(u, k, i)) for i, u in enumerate(units)])
+        v = np.array([self.vote(*x) for at in range(0, len(units), QUERIES) for x in self.nearest(units[at : at + QUERIES], k, list(range(at, min(at + QUERIES, len(units)))))])
         x = np.stack([np.log(v / (1 - v)), np.ones(len(v))], axis=1)
         b = np.array([1.0, 0.0])
         for _ in range(30):
@@ -221,10 +223,14 @@ class Index:
             b = b + np.linalg.solve(hessian, x.T @ (y - p) - 1e-3 * (b - [1.0, 0.0]))
         self.slope, self.shift = float(np.clip(b[0], 0.1, 10)), float(b[1])
 
-    def score(self, vec: tuple[np.ndarray, np.ndarray], k: int = NEIGHBOURS) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.nearest(self.unit(*vec), k)
-        v = self.vote(places, cosines)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))), self.ids[places], cosines
+    def scores(self, vecs: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Score, ids and cosines of the nearest examples of each text."""
+        out = []
+        for at in range(0, len(vecs), QUERIES):
+            for places, cosines in self.nearest([self.unit(*x) for x in vecs[at : at + QUERIES]], k):
+                v = self.vote(places, cosines)
+                out.append((float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift)))), self.ids[places], cosines))
+        return out
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], Index]:
@@ -258,7 +264,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbo
 
     def step(batch: dict) -> dict:
         terms, index = batch[""]
-        found = [index.score(terms.counts(x.as_py()), neighbours) for x in batch["text"]]
+        found = index.scores([terms.counts(x.as_py()) for x in batch["text"]], neighbours)
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
         join = lambda i, kind: np.concatenate([np.empty(0, kind), *(x[i] for x in found)])
         return {"doc_id": batch["doc_id"], "digest": batch["digest"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}

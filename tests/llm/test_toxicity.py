@@ -39,7 +39,7 @@ def test_nearest_is_exact():
     for q in [vec() for _ in range(50)]:
         at, w = index.unit(*q)
         want = np.sort(dense[:, at] @ w)[::-1][:10]
-        places, cosines = index.nearest((at, w), 10)
+        places, cosines = index.nearest([(at, w)], 10)[0]
         assert np.allclose(cosines, want[want > 1e-12][: len(cosines)]) and len(cosines) == (want > 1e-12).sum()
 
 
@@ -78,7 +78,7 @@ def test_texts_against_brute_force(spark):
     for q in list(texts)[::25]:
         own = unit(q)
         want = sorted((round(c, 9) for e in examples.values() if (c := sum(x * e.get(t, 0.0) for t, x in own.items())) > 1e-12), reverse=True)[:10]
-        assert np.allclose(index.nearest(index.unit(*known.counts(texts[q])), 10)[1], want)
+        assert np.allclose(index.nearest([index.unit(*known.counts(texts[q]))], 10)[0][1], want)
 
 
 @pytest.mark.parametrize("labelled", [True, False])
