@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: White space of the byte-level contracts: space and 0x09-0x0D, which is also what bytes.split() splits at.
 SPACE = b" \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys of no more rows than this are never treated as hot.
+HOT_ROWS = 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set to a temporary folder only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary one, and a
+    cluster an error, as its executors don't share the driver's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at is None:
         context = spark.sparkContext
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="corvane-"))
         at = context.getCheckpointDir()
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -55,6 +60,27 @@ def folder_table(path: str, columns: list[str]) -> pa.Table | None:
     return pa.concat_tables([pq.ParquetFile(store.open_input_file(x)).read(columns=columns) for x in sorted(found)]) if found else None
 
 
+def keyed(many: DataFrame, one: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`many` joined with the columns of `one`, which has a row for each key at most. Keys with over a thousandth of the rows, under a
+    thousand by count, are joined by a broadcast, so that none meets in one task; rows with a null key have no match."""
+    known = many.where(F.col(key).isNotNull())
+    counts = known.groupBy(key).count()
+    total = counts.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = cut(counts.where(F.col("count") * 1000 > max(total, HOT_ROWS * 1000)).select(key))
+    rest = many.join(one, key, how)
+    if not hot.isEmpty():
+        hot = F.broadcast(hot)
+        heads = F.broadcast(one.join(hot, key, "left_semi"))
+        rest = known.join(hot, key, "left_anti").join(one, key, how).unionByName(known.join(hot, key, "left_semi").join(heads, key, how))
+    elif how == "inner":
+        return rest
+    else:
+        rest = known.join(one, key, how)
+    if how == "left":
+        rest = rest.unionByName(many.where(F.col(key).isNull()), allowMissingColumns=True)
+    return rest
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Exactly these columns. Further columns may have any name, also the same one in other case or twice; of equal names the first counts."""
     at = [df.columns.index(x) for x in names]

@@ -1,13 +1,14 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
-A fingerprint has 8 positional bytes. Two that differ in at most `bits` = 4 bits share at least 8 - 4 = 4 of them. The index
-posts each distinct fingerprint under its sets of 4 positional bytes, so a pair meets in a list exactly if its tally of shared
-positional bytes reaches that guaranteed minimum, and lists are short: a list is one in 2^32 fingerprints by chance, where a
-list of a single byte would be one in 256. Pairs of a list are verified by their differing bits.
+A fingerprint has 8 positional bytes. Two that differ in at most `bits` = 4 bits share at least 8 - 4 = 4 of them, and so at least 3
+of the first 7. The index posts each distinct fingerprint under its 35 sets of 3 of these bytes, not under single bytes, whose lists
+would each hold one in 256 of all. A pair that meets in a list has the positional bytes that it shares tallied; pairs under the
+guaranteed minimum of 4 are left out, the others are verified by their differing bits.
 
 A list's pairs aren't written out: short lists give each link once, long ones the edges of a spanning forest. Lists beyond
-`limit` fingerprints go to a second index of half bytes within the 4 bytes that may differ; it has at most 65,536 in a list.
-Exact copies share a fingerprint, which is indexed once. A list has at most one in 70 of the posted rows.
+`limit` fingerprints are posted again under each fourth byte that a pair of them can share, and lists that are still beyond it under
+half bytes of the 4 bytes that are left, where a list has at most 65,536 fingerprints. Exact copies share a fingerprint, which is
+indexed once.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other. Repeated rows are rows of their own with
 equal results. Rows with a null doc_id are in components, but name none unless all their component's ids are null (then null).
@@ -30,6 +31,8 @@ from corvane.llm import common
 from corvane.llm.components import components
 
 BYTES, BITS, LIMIT, SHORT = 8, 4, 16_384, 16
+#: Sets of as many positions as a pair is sure to share of the first 7, and of all 8.
+FIRST = np.array(list(combinations(range(BYTES - 1), BYTES - 1 - BITS)), dtype=np.int64)
 SETS = np.array(list(combinations(range(BYTES), BYTES - BITS)), dtype=np.int64)
 
 
@@ -68,17 +71,35 @@ def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     return common.per_batch(own, step, "doc_id long, fp long, digest binary")
 
 
-def _postings(fps: DataFrame) -> DataFrame:
-    """key, fp: each fingerprint under its 70 sets of 4 positional bytes."""
+def _keys(fp: np.ndarray, sets: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The lists of fingerprints, a row each: the number of the set of positions (`of`, a row each), and the bytes at them."""
+    parts = fp.view(np.uint8).reshape(-1, BYTES).astype(np.int64)
+    keys = of << (8 * sets.shape[1])
+    for i in range(sets.shape[1]):
+        keys = keys | (np.take_along_axis(parts, sets[of, i], axis=1) << (8 * i))
+    return keys
+
+
+def _posted(rows: DataFrame, column: str, keys, width: int) -> DataFrame:
+    """key, fp: each row's fingerprint under the lists that keys(batch, fingerprints) gives, `width` a row."""
     def step(batch: dict) -> dict:
-        fp = np.asarray(batch["fp"])
-        parts = fp.view(np.uint8).reshape(-1, BYTES).astype(np.int64)
-        keys = np.arange(len(SETS), dtype=np.int64)[None, :] << 32
-        for i in range(SETS.shape[1]):
-            keys = keys | (parts[:, SETS[:, i]] << (8 * i))
-        return {"key": pa.array(keys.ravel()), "fp": pa.array(np.repeat(fp, len(SETS)))}
+        fp = np.asarray(batch[column])
+        return {"key": pa.array(keys(batch, fp).ravel()), "fp": pa.array(np.repeat(fp, width))}
+
+    return common.per_batch(rows, step, "key long, fp long")
 
-    return common.per_batch(fps, step, "key long, fp long")
+
+def _postings(fps: DataFrame) -> DataFrame:
+    """key, fp: each fingerprint under its 35 sets of 3 of the first 7 positional bytes."""
+    every = np.arange(len(FIRST))[None, :]
+    return _posted(fps, "fp", lambda _, fp: _keys(fp, FIRST, np.repeat(every, len(fp), axis=0)), len(FIRST))
+
+
+def _deeper(rows: DataFrame) -> DataFrame:
+    """key, fp of long lists (a, b) again under each set of 4 positional bytes that has the list's three."""
+    number = {tuple(x): i for i, x in enumerate(SETS.tolist())}
+    wider = np.array([[number[tuple(sorted([*x, p]))] for p in range(BYTES) if p not in x] for x in FIRST.tolist()])
+    return _posted(rows, "b", lambda batch, fp: _keys(fp, SETS, wider[np.asarray(batch["a"]) >> (8 * FIRST.shape[1])]), wider.shape[1])
 
 
 def _finer(rows: DataFrame) -> DataFrame:
@@ -98,7 +119,11 @@ def _finer(rows: DataFrame) -> DataFrame:
 
 
 def close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a ^ b).view(np.uint64)) <= BITS
+    """Whether pairs share the guaranteed number of positional bytes, and of these whether they differ in few enough bits."""
+    differing = a ^ b
+    out = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1) >= BYTES - BITS
+    out[out] = np.bitwise_count(differing[out].view(np.uint64)) <= BITS
+    return out
 
 
 def forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -182,7 +207,10 @@ def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     first = common.cut(_matched(_postings(fps), ["key"], limit))
     found, over = first.where("over = 0").select("a", "b"), first.where("over = 1").select("a", "b")
     if not over.isEmpty():
-        found = found.unionByName(_matched(_finer(over), ["list", "key"], None).select("a", "b"))
+        second = common.cut(_matched(_deeper(over), ["key"], limit))
+        found, over = found.unionByName(second.where("over = 0").select("a", "b")), second.where("over = 1").select("a", "b")
+        if not over.isEmpty():
+            found = found.unionByName(_matched(_finer(over), ["list", "key"], None).select("a", "b"))
     return found
 
 
@@ -191,13 +219,14 @@ def groups(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     distinct = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     root = components(links(distinct.select("fp"), limit)).withColumnRenamed("node", "fp")
     member = distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = common.cut(member)
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(ids, "root").select("fp", "root", "component_id")
+    return common.keyed(member, ids, "root").select("fp", "root", "component_id")
 
 
 def components_of(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     """doc_id, fp, component_id for rows (doc_id, fp)."""
-    return prints.join(groups(prints, limit), "fp").select("doc_id", "fp", "component_id")
+    return common.keyed(prints, common.cut(groups(prints, limit)), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(prints: DataFrame) -> DataFrame:
