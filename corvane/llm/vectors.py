@@ -3,10 +3,13 @@
 A tree splits the sphere again and again: a random direction, the sample's median along it, and a margin on both sides of that
 median within which a vector goes down both ways. Vectors of a leaf and a label are compared with each other, in double
 precision; what is found is exact, and what the trees can miss is a pair that a split tears apart in every tree. The margin is
-`spill` standard deviations of how far a pair at the threshold can differ along a direction, which leaves a pair about one
-chance in a hundred to be torn apart in one tree, and far under one in ten thousand in all of them.
+`spill` standard deviations of how far a pair at the threshold can differ along a direction: a split tears such a pair apart about once
+in 75 times, a tree of 16 levels once in five, and all `trees` = 6 of them less than once in ten thousand.
 
 Trees are fitted on a bounded sample, `fit_rows` distinct vectors at most, drawn by a hash of the vector; all vectors are indexed.
+A leaf has some sample vectors at least; where all vectors would leave it more than `leaf` rows, it is split on below, in as many levels
+as the rows ask for, by further random directions at the mean of its own sample vectors. So trees deepen with the data, and the
+number of vectors to compare with one doesn't grow with it, but for copies.
 Equal vectors of a label are one vector with a weight. A leaf of more than `block` vectors is dealt in blocks, and each pair of
 blocks is a unit of its own, so no task holds more than two blocks and no pair is lost. Pairs aren't written out: a unit gives each vector's
 number of links and the edges of a spanning forest. A pair that meets in several leaves counts in the first of them only, which
@@ -30,15 +33,20 @@ from pyspark.sql import functions as F
 from corvane.llm import common
 from corvane.llm.components import components, roots
 
-LEAST, TREES, SPILL, FIT_ROWS, LEAF, BLOCK, SEED = 0.98, 3, 1.0, 20_000, 256, 2048, 7
+LEAST, TREES, SPILL, FIT_ROWS, FEW, LEAF, BLOCK, SEED = 0.98, 6, 0.5, 20_000, 8, 256, 2048, 7
 
 
 class Tree:
-    """Nodes (direction, threshold, left, right) or a leaf's number, counted on from `first`."""
+    """Nodes (direction, threshold, left, right), or of a leaf its first number, counted on from `first`, and its sample's mean.
 
-    def __init__(self, sample: np.ndarray, rng: np.random.Generator, leaf: int, margin: float, first: int) -> None:
+    `deeper`: levels below a leaf, each with a direction of the whole tree's, which split it at its sample's mean along it.
+    """
+
+    def __init__(self, sample: np.ndarray, rng: np.random.Generator, leaf: int, deeper: int, margin: float, first: int) -> None:
         self.nodes: list = []
         self.margin, self.last = margin, first
+        below = rng.standard_normal((deeper, sample.shape[1]))
+        self.below = below / np.linalg.norm(below, axis=1, keepdims=True)
         self._grow(sample, rng, leaf, 0)
 
     def _grow(self, rows: np.ndarray, rng: np.random.Generator, leaf: int, depth: int) -> int:
@@ -54,8 +62,8 @@ class Tree:
                 if len(left) and len(right):
                     self.nodes[place] = (direction, threshold, self._grow(left, rng, leaf, depth + 1), self._grow(right, rng, leaf, depth + 1))
                     return place
-        self.nodes[place] = self.last
-        self.last += 1
+        self.nodes[place] = (self.last, self.below @ rows.mean(axis=0))
+        self.last += 1 << len(self.below)
         return place
 
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,8 +73,13 @@ class Tree:
             node, at = todo.pop()
             if not len(at):
                 continue
-            if isinstance(found := self.nodes[node], int):
-                out.append((at, np.full(len(at), found)))
+            if len(found := self.nodes[node]) == 2:
+                number, means = found
+                leaf, along = np.full(len(at), number), rows[at] @ self.below.T - means
+                for i in range(len(self.below)):
+                    low, high = along[:, i] <= self.margin, along[:, i] > -self.margin
+                    at, leaf, along = (np.concatenate([x[low], x[high] + (1 << i if k == 1 else 0)]) for k, x in enumerate((at, leaf, along)))
+                out.append((at, leaf))
             else:
                 direction, threshold, left, right = found
                 along = rows[at] @ direction
@@ -82,17 +95,19 @@ class Forest:
         first = 1
         for dim in sorted({len(x) for x in sample}):
             own = np.array([x for x in sample if len(x) == dim])
-            share = max(8, int(leaf * len(sample) / max(rows, 1)))
+            each = rows / len(sample)  # rows that a sample vector stands for
+            share = max(FEW, int(leaf / each))
+            deeper = max(0, int(np.ceil(np.log2(min(share, len(own)) * each / leaf)))) if len(own) > share or each > 1 else 0
             margin = spill * np.sqrt(max(0.0, 2 - 2 * least) / dim)
             rng = np.random.default_rng([SEED, dim])
             self.trees[dim] = []
             for _ in range(trees):
-                self.trees[dim].append(Tree(own, rng, share, margin, first))
+                self.trees[dim].append(Tree(own, rng, share, deeper, margin, first))
                 first = self.trees[dim][-1].last
 
     def leaves(self, units: list[np.ndarray]) -> list[np.ndarray]:
         """Each vector's leaves in order."""
-        out: list[np.ndarray] = [np.zeros(1, np.int32)] * len(units)
+        out: list[np.ndarray] = [np.zeros(1, np.int64)] * len(units)
         by: dict[int, list[int]] = {}
         for i, x in enumerate(units):
             by.setdefault(len(x), []).append(i)
@@ -103,7 +118,7 @@ class Forest:
                 row, leaf = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
                 order = np.lexsort((leaf, row))
                 cuts = np.searchsorted(row[order], np.arange(1, len(at)))
-                for i, x in zip(at, np.split(leaf[order].astype(np.int32), cuts), strict=True):
+                for i, x in zip(at, np.split(leaf[order].astype(np.int64), cuts), strict=True):
                     out[i] = x
         return out
 
@@ -143,7 +158,7 @@ def _placed(distinct: DataFrame, forest, blocks: int) -> DataFrame:
         lists = pa.array([x.tobytes() for x in found], pa.binary())
         return {k: batch[k].take(at) for k in ("label", "id", "weight", "vec")} | {"leaf": np.concatenate(found), "leaves": lists.take(at)}
 
-    return common.per_batch(distinct.select("label", "id", "weight", "vec"), step, "label string, leaf int, id long, weight long, vec binary, leaves binary", lambda: forest.value)
+    return common.per_batch(distinct.select("label", "id", "weight", "vec"), step, "label string, leaf long, id long, weight long, vec binary, leaves binary", lambda: forest.value)
 
 
 def _units(placed: DataFrame, block: int) -> DataFrame:
@@ -191,8 +206,8 @@ def _linked(rows: DataFrame, least: float) -> DataFrame:
         i, j = compared(own, sides, alone, least)
         if not len(i):
             return None
-        lists = [np.frombuffer(x, dtype=np.int32) for x in group["leaves"].to_pylist()]
-        leaves = np.full((len(lists), max(map(len, lists))), -1, np.int32)
+        lists = [np.frombuffer(x, dtype=np.int64) for x in group["leaves"].to_pylist()]
+        leaves = np.full((len(lists), max(map(len, lists))), -1, np.int64)
         for k, x in enumerate(lists):
             leaves[k, : len(x)] = x
         counts = first_meeting(i, j, leaves, leaf)
@@ -234,10 +249,10 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST, trees: int = TR
     found = common.cut(_linked(_units(_placed(nodes, forest, block), block), least))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
     named = components(found.select("id", "root"), "id", "root").select(F.col("node").alias("id"), "root")
-    joined = nodes.join(links, "id", "left").join(named, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    joined = common.cut(nodes.join(links, "id", "left").join(named, "id", "left").withColumn("root", F.coalesce("root", "id")).drop("vec"))
     least_id = joined.join(distinct.select("key", F.col("id").alias("own")), "key").groupBy("root").agg(F.min("own").alias("component_id"))
-    out = joined.join(least_id, "root").select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
-    every = rows.select("vec_id", "key").join(out, "key", "left")
+    out = common.keyed(joined, least_id, "root").select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    every = common.keyed(rows.select("vec_id", "key"), common.cut(out), "key", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -49,6 +49,25 @@ def test_driver_rows_match_brute_force(spark):
     assert {i: x[:2] for i, x in found.items()} == want
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_recall_of_a_sample_far_below_the_rows(spark, seed):
+    draw = np.random.default_rng(seed)
+    rows = []
+    for _ in range(1500):
+        base = draw.standard_normal(64)
+        rows += [(len(rows) + j, (base + draw.standard_normal(64) * draw.choice([0.05, 0.1, 0.14])).astype(np.float32).tolist(), 1) for j in range(4)]
+    units = np.array([x for _, x, _ in rows], dtype=np.float64)
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    want = (units @ units.T >= 0.98).sum(axis=1) - 1
+    forest = vectors.Forest(list(units[::60]), len(units), 0.98, vectors.TREES, vectors.SPILL, 32)
+    assert forest.trees[64][0].below.shape[0] >= 3
+    sizes = np.bincount(np.concatenate(forest.leaves(list(units))))
+    assert sizes.max() < 600 and sizes[sizes > 0].mean() < 120
+    found = got(spark, rows, fit_rows=100, leaf=32)
+    n = np.array([found[i][0] for i in range(len(rows))])
+    assert (n <= want).all() and n.sum() >= 0.99 * want.sum()
+
+
 def test_edge_cases(spark):
     one = [1.0] + [0.0] * 3
     rows = [(1, one, 1), (2, one, 1), (3, one, 2), (4, None, 1), (5, [0.0] * 4, 1), (6, [float("nan")] + one[1:], 1), (7, [None, 1.0, 0.0, 0.0], 1), (8, one, None), (9, [2.0, 0.0, 0.0, 0.0], 1), (10, [1.0], 1), (11, [], 1), (12, [3e38] * 4, 1), (13, [1e-40] * 4, 1)]
