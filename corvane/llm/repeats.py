@@ -9,9 +9,10 @@ is in such a repeat with all its places, so the bytes removed are those of the w
 
 Texts never move: tasks send anchor hashes and contexts, and what is found comes back in files by part of the input, from which
 the tasks that scan the same part again take what is theirs. Exact copies are told by digests alone and send no anchors. While one
-text alone has an anchor, all its places are held, so that none is lost when a later turn of the shard brings a second text. A
-shared anchor in more than `hot` places (or in a millionth of all such places, if that is more, so that at most a million are
-broadcast) is cut further: its windows are grouped by their own digests, where the first document is a sum before the shuffle.
+text alone has an anchor, all its places are held, so that none is lost when a later turn of the shard brings a second text; there are
+as many shards as keep some `SHARD_BYTES` of text in each. A shared anchor in more than `hot` places (or in a ten-millionth of all
+such places, if that is more, so that at most ten million hashes are broadcast) is cut further: its windows are grouped by their own
+digests, where the first document is a sum before the shuffle. Contexts are equal if their bytes are, a hash only brings them together.
 
 Defined results: a null text is an empty one. A null doc_id counts as greater than all ids. Rows with equal ids don't take from
 each other, and repeated rows have equal results. Further columns are not looked at.
@@ -34,6 +35,7 @@ from corvane.llm.anchors import SPAN, Anchors
 from corvane.llm.suffix_tree import SuffixArray
 
 HOT, FLUSH, CHUNK, BUFFER, ROWS, SALTS = 30_000, 500_000, 1 << 20, 30_000, 1500, 16
+SHARD_BYTES, HOT_ANCHORS = 32 << 20, 10_000_000
 LAST = (1 << 63) - 1
 HOTS = -1  # the part under which shards name hot anchors
 
@@ -304,7 +306,8 @@ def _found(contexts: DataFrame) -> DataFrame:
             hashed, mark, did, at = (rows[x].to_numpy() for x in ("hash", "mark", "did", "at"))
             context = rows["context"].chunk(0) if rows["context"].num_chunks else pa.array([], pa.binary())
             size = np.asarray(pa.compute.binary_length(context)).astype(np.int64)
-            new = np.concatenate([[True], (np.diff(hashed) != 0) | (np.diff(mark) != 0)])
+            same = pa.compute.equal(context.slice(1), context.slice(0, len(context) - 1)).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[True], (np.diff(hashed) != 0) | (np.diff(mark) != 0) | ~same.astype(bool)])
             group = np.concatenate([[True], np.diff(hashed) != 0])
             distinct = np.flatnonzero(new)
             of_row = np.cumsum(new) - 1  # sorted by did within a context: its first row has the first document
@@ -351,6 +354,15 @@ def _hot_found(windows: DataFrame) -> DataFrame:
     return windows.join(first, ["key", "salt"]).where("did > first").select("part", "text", "did", "at", F.lit(SPAN).cast("long").alias("length"))
 
 
+def _hot_anchors(rows: DataFrame) -> DataFrame:
+    """hash, n of the anchors that shards name as hot."""
+    def step(batch: dict) -> dict:
+        found = [_unpacked(x, ["<i8", "<i8"]) for x in batch["body"].to_pylist()]
+        return {"hash": np.concatenate([np.empty(0, np.int64), *(x for x, _ in found)]), "n": np.concatenate([np.empty(0, np.int64), *(x for _, x in found)])}
+
+    return common.per_batch(rows.select("body"), step, "hash long, n long")
+
+
 def merged(n: int, at: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
     """The spans' union within n bytes, as maximal runs."""
     edge = np.zeros(n + 1, dtype=np.int64)
@@ -411,21 +423,21 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT, flush: int = FL
     if not scan:
         docs = spark.read.parquet(common.stored(common.pick(docs, "doc_id", "text")))
     rows = parts_of(docs)
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     # Copies: the digest's first eight bytes name a text to its own part; whether two texts are equal the whole digest tells.
     def slim(batch: dict) -> dict:
         digests = [hashlib.md5(x).digest() for x in batch["text"].to_pylist()]
-        return {"part": batch["part"], "did": batch["did"], "digest": pa.array(digests, pa.binary()), "text": [int.from_bytes(x[:8], "little", signed=True) for x in digests]}
+        return {"part": batch["part"], "did": batch["did"], "digest": pa.array(digests, pa.binary()), "text": [int.from_bytes(x[:8], "little", signed=True) for x in digests], "size": pa.compute.binary_length(batch["text"])}
 
-    digested = common.cut(common.per_batch(rows.select("part", "did", "text"), slim, "part long, did long, digest binary, text long"))
+    digested = common.cut(common.per_batch(rows.select("part", "did", "text"), slim, "part long, did long, digest binary, text long, size long"))
+    size = digested.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     first = digested.groupBy("digest").agg(F.min("did").alias("first"))
     copies = common.stored(digested.join(first, "digest").where("did > first").select("part", "text", "did").distinct(), "part")
     shared = common.stored(_shared(_sent(rows, shards, copies), hot, flush), "part")
-    told = spark.read.schema("body binary, part long").parquet(shared).where(F.col("part") == HOTS)
-    hots = [_unpacked(bytes(x.body), ["<i8", "<i8"]) for x in told.collect()]
-    hashed, n = (np.concatenate([np.empty(0, np.int64), *(x[i] for x in hots)]) for i in range(2))
-    large = spark.sparkContext.broadcast(hashed[n > max(hot, int(n.sum()) // 1_000_000)])
+    told = common.cut(_hot_anchors(spark.read.schema("body binary, part long").parquet(shared).where(F.col("part") == HOTS)))
+    least = max(hot, told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_ANCHORS)
+    # Each has more than a ten-millionth of their places, so there are fewer than HOT_ANCHORS.
+    large = spark.sparkContext.broadcast(told.where(F.col("n") > least).select("hash").toArrow()["hash"].to_numpy())
     found = _found(_contexts(rows, shared, copies, large, False))
     if len(large.value):
         found = found.unionByName(_hot_found(_contexts(rows, shared, copies, large, True)))
