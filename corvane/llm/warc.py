@@ -1,8 +1,8 @@
 """WARC archives: one gzip member per record, written by each task, and a sequential reader with checked framing and digests.
 
 Of records with equal payloads of at least `least` bytes, that with the largest page_id is a response and the others are
-revisits of it, without the payload. Which is which is settled on digests alone; the payloads move once, to the task that
-writes them. The folder is the shared one, reached through Arrow's file systems; a file is written under the name of its task
+revisits of it, without the payload. Which is which is settled on digests alone; payloads stay in the task that reads them, but for
+very many groups of copies. The folder is the shared one, reached through Arrow's file systems; a file is written under the name of its task
 attempt and renamed when it is whole, so an attempt that is lost leaves no half archive under a final name.
 
 The reader inflates a member a chunk at a time, takes the header up to its blank line, the block by its content length, and
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-CHUNK, LEAST, SALTS = 1 << 20, 1000, 16
+CHUNK, LEAST, SALTS, GROUPS = 1 << 20, 1000, 16, 200_000
 #: Fixed values of the format.
 VERSION = b"WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -151,18 +151,28 @@ def read_archive(source, payloads: bool = False) -> Iterator[dict]:
         } | ({"payload": b"".join(parts)} if payloads else {})
 
 
-def decided(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, body, sha1, refers_to (null for responses)."""
-    own = common.pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), common.as_bytes(F.col("html")).alias("body"))
-    slim = own.select("page_id", F.unhex(F.sha1("body")).alias("sha1"), F.octet_length("body").alias("n")).where(F.col("n") >= least)
-    groups = slim.groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    groups = groups.select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    own = own.withColumn("sha1", F.unhex(F.sha1("body"))).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    out = own.join(groups, ["sha1", "salt"], "left")
-    return out.select("page_id", "url", "body", "sha1", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to"))
-
+def decided(pages: DataFrame, least: int = LEAST, broadcast_groups: int = GROUPS) -> DataFrame:
+    """page_id, url, body, sha1, refers_to (null for responses).
 
-def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = 1 << 30) -> DataFrame:
+    Up to `broadcast_groups` groups of equal payloads go to all tasks, and no payload moves; beyond that number the payloads of `least` bytes
+    or more are dealt by digest and salt, shorter ones stay where they are.
+    """
+    own = common.pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), F.coalesce("url", F.lit("")).alias("url"), common.as_bytes(F.col("html")).alias("body"))
+    own = own.withColumn("sha1", F.unhex(F.sha1("body")))
+    long = F.octet_length("body") >= least
+    groups = own.where(long).groupBy("sha1").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    groups = common.cut(groups.select("sha1", "first"))
+    refers = F.when(long & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")).alias("refers_to")
+    if groups.count() <= broadcast_groups:
+        out = own.join(F.broadcast(groups), "sha1", "left")
+    else:
+        groups = groups.select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = own.where(long).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        out = salted.join(groups, ["sha1", "salt"], "left").drop("salt").unionByName(own.where(~long).withColumn("first", F.lit(None).cast("long")))
+    return out.select("page_id", "url", "body", "sha1", refers)
+
+
+def write(pages: DataFrame, folder: str, least: int = LEAST, broadcast_groups: int = GROUPS, date: str = "2000-01-01T00:00:00Z", archive_bytes: int = 1 << 30) -> DataFrame:
     """path, records of the archives written: each task's records in files of about `archive_bytes`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -171,9 +181,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "2000-0
 
         def close() -> pa.RecordBatch:
             out.close()
-            final = posixpath.join(root, f"{task.partitionId():05d}-{made:03d}.warc.gz")
-            if store.get_file_info(final).type != fs.FileType.NotFound:
-                store.delete_file(final)
+            final = posixpath.join(root, f"{task.partitionId():05d}-{made:03d}-{task.taskAttemptId()}.warc.gz")
             store.move(part, final)
             return pa.RecordBatch.from_arrays([pa.array([posixpath.basename(final)]), pa.array([n], pa.int64())], ["path", "records"])
 
@@ -191,7 +199,7 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, date: str = "2000-0
         if out is not None:
             yield close()
 
-    return decided(pages, least).mapInArrow(run, "path string, records long")
+    return decided(pages, least, broadcast_groups).mapInArrow(run, "path string, records long")
 
 
 def read(archives: DataFrame, folder: str, payloads: bool = False) -> DataFrame:

@@ -39,14 +39,15 @@ def test_reader_refuses_damage(data):
         list(warc.read_archive(io.BytesIO(data)))
 
 
-def test_round_trip_with_revisits(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_groups", [0, warc.GROUPS])
+def test_round_trip_with_revisits(spark, tmp_path, broadcast_groups):
     big, small = "é" * 600, "s" * 999
-    rows = [(1, "u", big), (2, "u", big), (7, None, big), (None, "u", big), (3, "u", small), (4, "u", small), (5, "u", None), (None, "n", "N" * 2000), (None, "n", "N" * 2000), (9, "r", "R" * 1500), (9, "r", "R" * 1500)]
+    rows = [(1, "u", big), (2, "u", big), (7, None, big), (None, "u", big), (3, "u", small), (4, "u", small), (5, "u", None), (None, "n", "N" * 2000), (None, "n", "N" * 2000), (9, "r", "R" * 1500), (9, "r", "R" * 1500), (20, "l", "<p>" * 900_000)]
     pages = spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in rows], "page_id long, url string, html string, sha1 string, URL string")
     folder = f"file://{tmp_path}"
-    made = warc.write(pages, folder, archive_bytes=100).collect()
+    made = warc.write(pages, folder, archive_bytes=100, broadcast_groups=broadcast_groups).collect()
     assert sum(r.records for r in made) == len(rows)
     got = warc.read(spark.createDataFrame(made), folder, payloads=True).collect()
     seen = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to or 0, len(r.payload)) for r in got)
-    assert seen == sorted([(1, 1200, "revisit", 7, 0), (2, 1200, "revisit", 7, 0), (7, 1200, "response", 0, 1200), (0, 1200, "revisit", 7, 0), (3, 999, "response", 0, 999), (4, 999, "response", 0, 999), (5, 0, "response", 0, 0), (0, 2000, "response", 0, 2000), (0, 2000, "response", 0, 2000), (9, 1500, "response", 0, 1500), (9, 1500, "response", 0, 1500)])
+    assert seen == sorted([(1, 1200, "revisit", 7, 0), (2, 1200, "revisit", 7, 0), (7, 1200, "response", 0, 1200), (0, 1200, "revisit", 7, 0), (3, 999, "response", 0, 999), (4, 999, "response", 0, 999), (5, 0, "response", 0, 0), (0, 2000, "response", 0, 2000), (0, 2000, "response", 0, 2000), (9, 1500, "response", 0, 1500), (9, 1500, "response", 0, 1500), (20, 2_700_000, "response", 0, 2_700_000)])
     assert warc.write(pages.limit(0), folder).collect() == []
