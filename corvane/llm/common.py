@@ -49,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, *by: str) -> str:
     """The path of `df` written as Parquet in the shared folder, in folders by these columns, one file each."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(path)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).option("compression", "zstd").parquet(path)
     return path
 
 

@@ -51,15 +51,8 @@ class Terms:
         self.words = {x: i for i, x in enumerate(terms) if x[-1] != "*"}
         self.begun = {x[:-1]: i for i, x in enumerate(terms) if x[-1] == "*"}
 
-    def set_of(self, text: str) -> set[int]:
-        """Places of the sample's terms in a whole text."""
-        found = set(WORDS.findall(text.lower()))
-        out = set(map(self.words.get, found)) | set(map(self.begun.get, {x[:BEGINNING] for x in found if len(x) > BEGINNING}))
-        out.discard(None)
-        return out
-
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The same with their counts."""
+        """Places of the sample's terms in a whole text, in order, and their counts."""
         found = Counter(WORDS.findall(text.lower()))
         words, begun = self.words.get, self.begun.get
         at = np.array([words(x, -1) for x in found] + [begun(x[:BEGINNING], -1) if len(x) > BEGINNING else -1 for x in found], np.int64)
@@ -110,21 +103,36 @@ def association(n: np.ndarray, p: np.ndarray, rows: float, positive: float) -> n
     return np.maximum(np.nan_to_num(g2), 0.0)
 
 
-def frequencies(docs: DataFrame, terms) -> tuple[int, np.ndarray]:
+VECTORS = "doc_id long, digest binary, steps binary, counts binary"
+
+
+def vectors(docs: DataFrame, terms) -> DataFrame:
+    """doc_id, digest, and as packed numbers the steps between the places of the text's terms, and their counts; written once."""
+    def step(batch: dict) -> dict:
+        found = [batch[""].counts(x.as_py()) for x in batch["text"]]
+        return {"doc_id": batch["doc_id"], "digest": batch["digest"], "steps": pa.array([np.diff(x, prepend=0).astype("<u4").tobytes() for x, _ in found], pa.binary()), "counts": pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())}
+
+    own = docs.withColumn("digest", common.digest_of(F.col("text")))
+    return docs.sparkSession.read.parquet(common.stored(common.per_batch(own, step, VECTORS, lambda: Terms(terms.value), 2000)))
+
+
+def unpacked(batch: dict) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.cumsum(np.frombuffer(x.as_py(), "<u4"), dtype=np.int64), np.frombuffer(n.as_py(), "<u4").astype(np.float64)) for x, n in zip(batch["steps"], batch["counts"], strict=True)]
+
+
+def frequencies(vecs: DataFrame, n_terms: int) -> tuple[int, np.ndarray]:
     """Number of documents, and of those with each term, over all documents; a task sends its sums once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rows = Terms(terms.value), 0
-        df = np.zeros(len(terms.value), np.int64)
+        df, rows = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch["text"]:
-                found = own.set_of(text.as_py())
-                df[np.fromiter(found, np.int64, len(found))] += 1
+            for at, _ in unpacked({"steps": batch["steps"], "counts": batch["counts"]}):
+                df[at] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(df[at], rows))], ["term", "n"])
 
-    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df = np.zeros(len(terms.value) + 1)
+    found = vecs.select("steps", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = np.zeros(n_terms + 1)
     df[found["term"].to_numpy()] = found["n"].to_numpy()
     return int(df[-1]), df[:-1]
 
@@ -233,44 +241,34 @@ class Index:
         return out
 
 
-def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], Index]:
-    """The sample's terms and the index of its examples."""
+def fitted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[list[str], Index, DataFrame]:
+    """The sample's terms, the index of its examples, and the vectors of all documents."""
     spark = docs.sparkSession
     sample = common.cut(examples_of(labels, fit_rows))
     own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     # The sample has at most fit_rows rows of two numbers, which bounds what is broadcast; its vectors come to the driver.
     known = common.cut(own.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
     terms, g2 = vocabulary(known.select("text", "toxic"))
-    shared = spark.sparkContext.broadcast(terms)
-    n, df = frequencies(own, shared)
-
-    def step(batch: dict) -> dict:
-        found = [batch[""].counts(x.as_py()) for x in batch["text"]]
-        return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": pa.array([x.astype("<u4").tobytes() for x, _ in found], pa.binary()), "counts": pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())}
-
-    examples = common.per_batch(known, step, "doc_id long, toxic int, at binary, counts binary", lambda: Terms(shared.value)).toArrow()
-    vecs = [(np.frombuffer(a, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.float64)) for a, c in zip(examples["at"].to_pylist(), examples["counts"].to_pylist(), strict=True)]
+    vecs = vectors(own, spark.sparkContext.broadcast(terms))
+    n, df = frequencies(vecs, len(terms))
+    known = known.withColumn("digest", common.digest_of(F.col("text"))).select("doc_id", "digest", "toxic")
+    examples = vecs.join(F.broadcast(known), ["doc_id", "digest"]).dropDuplicates(["doc_id"]).toArrow()
     factor = np.maximum(np.log((n + 1) / (df + 0.5)), 0.0) * np.sqrt(1 + g2)
-    return terms, Index(vecs, examples["toxic"].to_pylist(), examples["doc_id"].to_pylist(), factor)
+    return terms, Index(unpacked(examples), examples["toxic"].to_pylist(), examples["doc_id"].to_pylist(), factor), vecs
 
 
 def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbours: int = NEIGHBOURS) -> DataFrame:
     """doc_id, held_out, score, predicted, as evidence the ids and cosines of the nearest examples, and a digest that tells the texts of an id apart."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, fit_rows))
-
-    def setup() -> tuple[Terms, Index]:
-        terms, index = shared.value
-        return Terms(terms), index
+    _, index, vecs = fitted(docs, labels, fit_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def step(batch: dict) -> dict:
-        terms, index = batch[""]
-        found = index.scores([terms.counts(x.as_py()) for x in batch["text"]], neighbours)
+        found = batch[""].scores(unpacked(batch), neighbours)
         ends = np.cumsum([0, *(len(x[1]) for x in found)])
         join = lambda i, kind: np.concatenate([np.empty(0, kind), *(x[i] for x in found)])
         return {"doc_id": batch["doc_id"], "digest": batch["digest"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}
 
-    own = common.pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    out = common.per_batch(own.withColumn("digest", common.digest_of(F.col("text"))), step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", setup, 2000)
+    out = common.per_batch(vecs, step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", lambda: shared.value)
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", "cosines", "digest")
 
 

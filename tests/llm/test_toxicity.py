@@ -47,7 +47,7 @@ def test_texts_against_brute_force(spark):
     """Vocabulary, frequencies, association and cosines of real texts, counted here by plain loops over all terms of all texts."""
     labels = table(spark, "sf0.01", "labels")
     docs = table(spark, "sf0.01", "documents")
-    terms, index = toxicity.fitted(docs, labels)
+    terms, index, _ = toxicity.fitted(docs, labels)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     toxic = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5}
     bags = {}
