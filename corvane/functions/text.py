@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\n\r\x0b\x0c]+"
 TOKEN = r"[\p{L}\p{N}](?:[^ \t\n\r\x0b\x0c]*[\p{L}\p{N}])?"
 #: Fixed: stop words of keyword extraction.
-STOP = ("of", "the", "a", "to", "in", "on", "for", "is")
+STOP = ("of", "the", "a", "to", "in", "on", "for", "is", "이", "가", "을", "를", "은", "는", "의", "에", "와", "과")
 
 
 def tokens(text: Column) -> Column:
@@ -44,16 +44,11 @@ def keywords(text: Column, most: int = 10) -> Column:
     return F.slice(F.array_distinct(F.filter(tokens(text), lambda x: (F.length(x) >= 2) & ~x.isin(*STOP))), 1, most)
 
 
-def text_hash(text: Column) -> Column:
-    """16 hex digits of the first 512 characters, lower case and white space collapsed."""
-    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), BLANK, " "))
-    return F.substring(F.sha1(F.substring(flat, 1, 512).cast("binary")), 1, 16)
-
-
 def cer(got: Column, want: Column) -> Column:
-    """Edit distance over the length of what is wanted, white space collapsed; 1 for nothing wanted."""
-    flat = lambda c: F.trim(F.regexp_replace(c, BLANK, " "))
-    return F.when(F.length(flat(want)) == 0, F.lit(1.0)).otherwise(F.levenshtein(flat(got), flat(want)) / F.length(flat(want)))
+    """Edit distance over the length of what is wanted, white space collapsed; with nothing wanted 0 for nothing got, else 1."""
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK, " "))
+    none = F.when(F.length(flat(got)) == 0, F.lit(0.0)).otherwise(F.lit(1.0))
+    return F.when(F.length(flat(want)) == 0, none).otherwise(F.levenshtein(flat(got), flat(want)) / F.length(flat(want)))
 
 
 def column_index(letters: Column) -> Column:

@@ -13,6 +13,10 @@ from corvane.sources.tables import table
 TOKENS = r"list_filter(list_transform(string_split_regex(lower(coalesce({}, '')), '[ \t\n\r\x0b\x0c]+'), lambda x: regexp_replace(x, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda x: x <> '')"
 
 
+#: The BM25 tokens of a text in Latin script: case folding is lower case but for sharp s.
+FOLDED = TOKENS.replace("coalesce({}, '')", "coalesce(replace({}, 'ß', 'ss'), '')")
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
 
@@ -35,9 +39,9 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(rf"""
-WITH d AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents),
+WITH d AS (SELECT doc_id, {FOLDED.format("text")} AS t FROM documents),
 s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
-q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
+q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({FOLDED.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 c AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL)

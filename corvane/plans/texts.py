@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import match as M
 from corvane.functions import text as T
 from corvane.operators import chunking, decisions
 from corvane.plans.registry import query
@@ -118,10 +119,11 @@ def collapse_repeats(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select("doc_id", F.size(chunking.collapsed_repeats(lines)).alias("n_kept"), F.size(lines).alias("n_lines"))
 
 
-@query(r"""WITH h AS (SELECT doc_id, substr(sha1(substring(trim(regexp_replace(lower(coalesce(text, '')), '[ \t\n\r\x0b\x0c]+', ' ', 'g')), 1, 512)), 1, 16) AS hash FROM documents)
-SELECT hash, count(*) AS n, min(doc_id) AS first FROM h GROUP BY hash HAVING count(*) > 1""")
+@query(r"""WITH h AS (SELECT doc_id, trim(regexp_replace(lower(replace(coalesce(text, ''), 'ß', 'ss')), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, substr(sha1(substring(t, 1, 512)), 1, 16) AS hash FROM h WHERE t <> '')
+SELECT hash, count(*) AS n, min(doc_id) AS first FROM s GROUP BY hash HAVING count(*) > 1""")
 def text_hash_dups(spark: SparkSession, sf: str) -> DataFrame:
-    own = documents(spark, sf).select("doc_id", T.text_hash(F.col("text")).alias("hash"))
+    """Texts that begin alike; blank ones have no hash and repeat nothing."""
+    own = documents(spark, sf).select("doc_id", M.text_hash(F.col("text")).alias("hash")).where("hash <> ''")
     return own.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
 
 
@@ -134,6 +136,33 @@ def cer_levenshtein(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("conv_id", "turn", F.round(T.cer(F.col("got"), F.col("text")), 4).alias("cer"))
 
 
+@query()
+def wer_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Word error rate of each turn against the one before; edits between word lists have no SQL form."""
+    own = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    after = own.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("got"))
+    return own.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(M.wer(F.col("got"), F.col("text")), 6).alias("wer"))
+
+
+@query(r"SELECT page_id, regexp_replace(lower(url), '[^0-9a-z]+', '', 'g') AS key FROM pages")
+def document_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids without their case, width and separators."""
+    return table(spark, sf, "pages").select("page_id", M.document_key(F.col("url")).alias("key"))
+
+
+@query(r"SELECT item_id, trim(regexp_replace(lower(regexp_replace(text, '[^ㄱ-ㆎ가-힣A-Za-z0-9\s]+', ' ', 'g')), '\s+', ' ', 'g')) AS semantic, lower(trim(regexp_replace(regexp_replace(text, '[?!,.;:`~]+', ' ', 'g'), '\s+', ' ', 'g'))) AS form FROM benchmark")
+def match_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """The two forms in which texts are matched."""
+    return table(spark, sf, "benchmark").select("item_id", M.semantic(F.col("text")).alias("semantic"), M.match_form(F.col("text")).alias("form"))
+
+
+@query(r"""WITH w AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS i FROM (SELECT item_id, regexp_extract_all(trim(regexp_replace(regexp_replace(text, '[?!,.;:`~]+', ' ', 'g'), '\s+', ' ', 'g')), '[A-Za-z][A-Za-z0-9_]*') AS w FROM benchmark)),
+d AS (SELECT item_id, lower(x) AS l, arg_min(x, i) AS x, min(i) AS i FROM w WHERE length(x) >= 3 GROUP BY ALL) SELECT b.item_id, coalesce(string_agg(x, '|' ORDER BY i), '') AS tokens FROM benchmark b LEFT JOIN d USING (item_id) GROUP BY b.item_id""")
+def title_token_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that may be part of a title, each once."""
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(M.title_tokens(F.col("text")), "|").alias("tokens"))
+
+
 @query("SELECT lang, count(*) AS n, round(avg(length(text)), 4) AS mean, quantile_disc(length(text), 0.5) AS p50, quantile_disc(length(text), 0.95) AS p95, max(length(text)) AS most, round(count(*) FILTER (WHERE length(text) > 2000) / count(*)::DOUBLE, 6) AS over FROM documents GROUP BY lang")
 def length_distribution(spark: SparkSession, sf: str) -> DataFrame:
     own = documents(spark, sf).select("lang", F.length("text").alias("n_"))
