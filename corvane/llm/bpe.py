@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-KEPT = 150_000
+KEPT = 80_000
 NONE = 1 << 62
 #: Fixed: the white space of the file's patterns, and its pattern of words.
 BLANK = "\t-\r \x85\xa0  -     　"

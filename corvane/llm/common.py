@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -97,10 +100,20 @@ def per_batch(df: DataFrame, step: Callable[[dict], dict | None], schema: str, s
             for batch in (whole.slice(at, rows) for at in range(0, whole.num_rows, rows)):
                 if (out := step({**dict(zip(batch.schema.names, batch.columns, strict=True)), "": state})) is not None:
                     yield from batches_of(out, target)
+        del state
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system: workers are used again by later stages, whose own needs would come on top."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _arrow(schema: str) -> pa.Schema:
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string())}
     fields = []

@@ -268,7 +268,7 @@ def scored(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, neighbo
         join = lambda i, kind: np.concatenate([np.empty(0, kind), *(x[i] for x in found)])
         return {"doc_id": batch["doc_id"], "digest": batch["digest"], "score": [x[0] for x in found], "evidence": common.lists(ends, join(1, np.int64)), "cosines": common.lists(ends, join(2, np.float64))}
 
-    out = common.per_batch(vecs, step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", lambda: shared.value)
+    out = common.per_batch(vecs, step, "doc_id long, digest binary, score double, evidence array<long>, cosines array<double>", lambda: shared.value, 2000)
     return out.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence", "cosines", "digest")
 
 
