@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import match as M
+from corvane.functions import noise
 from corvane.functions import text as T
 from corvane.operators import chunking, decisions
 from corvane.plans.registry import query
@@ -90,33 +91,35 @@ def query_type_tags(spark: SparkSession, sf: str) -> DataFrame:
     return own.groupBy(F.coalesce(F.get("tags", F.lit(0)), F.lit("plain")).alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg(sure), 6).alias("confidence"))
 
 
-SIGNALS = (("stars", r"\*\*\*"), ("hashes", "###"), ("bars", r" \| "), ("shouts", "!!"), ("digits", "[0-9]+"), ("mails", r"[a-z0-9.]+@[a-z0-9.]+"))
-
-
-@query("SELECT signal, sum(n)::BIGINT AS occurrences, count(*) FILTER (WHERE n > 0) AS n_docs FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for n, p in SIGNALS) + ") GROUP BY signal")
+@query("SELECT signal, sum(n)::BIGINT AS occurrences, count(*) FILTER (WHERE n > 0) AS n_docs FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS signal, len(regexp_extract_all(text, '{p}')) AS n FROM documents" for n, p in noise.SIGNALS) + r"""
+UNION ALL SELECT 'repeated_sentence', coalesce(sum(CASE WHEN c >= 3 THEN c - 1 ELSE 0 END), 0) FROM (SELECT doc_id, trim(l) AS l, count(*) AS c FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]')) AS l FROM documents) WHERE length(trim(l)) >= 6 GROUP BY ALL) GROUP BY doc_id) GROUP BY signal""")
 def noise_signals(spark: SparkSession, sf: str) -> DataFrame:
-    counts = documents(spark, sf).select(*[F.regexp_count("text", F.lit(p)).alias(n) for n, p in SIGNALS])
-    sums = counts.agg(*[y for n, _ in SIGNALS for y in (F.sum(n).alias(f"{n}_n"), F.count_if(F.col(n) > 0).alias(f"{n}_d"))])
-    return sums.select(F.explode(F.array(*[F.struct(F.lit(n).alias("signal"), F.col(f"{n}_n").alias("occurrences"), F.col(f"{n}_d").alias("n_docs")) for n, _ in SIGNALS])).alias("r")).select("r.*")
+    each = documents(spark, sf).select(F.explode(noise.signals(F.col("text"))).alias("s"))
+    return each.groupBy("s.signal").agg(F.sum("s.n").alias("occurrences"), F.count_if(F.col("s.n") > 0).alias("n_docs"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-k AS (SELECT *, regexp_matches(line, '[Ll]icense|^[ ]*$') AS killed FROM l)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE killed) AS n_killed, coalesce(sum(length(line)) FILTER (WHERE NOT killed), 0)::BIGINT AS kept_chars FROM k GROUP BY doc_id""")
+@query(r"""WITH l AS (SELECT doc_id, rtrim(l) AS l, l AS raw, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)),
+k AS (SELECT doc_id, i, regexp_replace(rtrim(regexp_replace(l, '  +', ' ', 'g')), '^$', '') AS l FROM l WHERE NOT (trim(l) <> '' AND (""" + " OR ".join(f"regexp_matches(l, '{p}')" for p in noise.WHOLE) + r"""))),
+g AS (SELECT *, sum(s) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, CASE WHEN l = lag(l) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS s FROM k)),
+c AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY i) AS r FROM g) WHERE NOT (n >= 3 AND length(trim(l)) >= 6 AND r > 1)),
+b AS (SELECT * FROM (SELECT *, lag(l) OVER w AS p1, lag(l, 2) OVER w AS p2 FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE NOT (trim(l) = '' AND coalesce(trim(p1) = '', false) AND coalesce(trim(p2) = '', false)))
+SELECT d.doc_id, md5(coalesce(trim(string_agg(l, chr(10) ORDER BY i), chr(10) || ' '), '')) AS digest FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id""")
 def line_clean(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    own = documents(spark, sf).select("doc_id", lines.alias("lines")).withColumn("kept", F.filter("lines", lambda x: ~x.rlike(r"[Ll]icense|^[ ]*$")))
-    chars = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    return own.select("doc_id", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_killed"), chars.alias("kept_chars"))
+    """Texts without lines that are noise, without markers, with repeated and blank lines cut short."""
+    kept = F.filter(F.transform(noise.lines_of(F.col("text")), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: ~noise.is_noise(x))
+    own = documents(spark, sf).select("doc_id", F.explode(F.array(F.transform(kept, noise.without_markers))).alias("l"))
+    own = own.select("doc_id", F.explode(F.array(noise.collapsed_repeats(F.col("l")))).alias("l"))
+    clean = F.regexp_replace(F.array_join(noise.limited_blanks(F.col("l")), "\n"), r"^\s+|\s+$", "")
+    return own.select("doc_id", F.md5(clean.cast("binary")).alias("digest"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents),
-f AS (SELECT *, CASE WHEN trim(line) = lag(trim(line)) OVER w AND length(trim(line)) >= 6 THEN 0 ELSE 1 END AS starts FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f), s AS (SELECT doc_id, island, count(*) AS n FROM g GROUP BY ALL)
-SELECT doc_id, sum(CASE WHEN n >= 3 THEN 1 ELSE n END)::BIGINT AS n_kept, sum(n)::BIGINT AS n_lines FROM s GROUP BY doc_id""")
+f AS (SELECT *, CASE WHEN line = lag(line) OVER w THEN 0 ELSE 1 END AS starts FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM f), s AS (SELECT doc_id, island, count(*) AS n, any_value(line) AS line FROM g GROUP BY ALL)
+SELECT doc_id, sum(CASE WHEN n >= 3 AND length(trim(line)) >= 6 THEN 1 ELSE n END)::BIGINT AS n_kept, sum(n)::BIGINT AS n_lines FROM s GROUP BY doc_id""")
 def collapse_repeats(spark: SparkSession, sf: str) -> DataFrame:
-    lines = F.split("text", "\n")
-    return documents(spark, sf).select("doc_id", F.size(chunking.collapsed_repeats(lines)).alias("n_kept"), F.size(lines).alias("n_lines"))
+    own = documents(spark, sf).select("doc_id", F.explode(F.array(F.split("text", "\n"))).alias("lines"))
+    return own.select("doc_id", F.size(noise.collapsed_repeats(F.col("lines"))).alias("n_kept"), F.size("lines").alias("n_lines"))
 
 
 @query(r"""WITH h AS (SELECT doc_id, trim(regexp_replace(lower(replace(coalesce(text, ''), 'ß', 'ss')), '[ \t\n\r\x0b\x0c]+', ' ', 'g')) AS t FROM documents), s AS (SELECT doc_id, substr(sha1(substring(t, 1, 512)), 1, 16) AS hash FROM h WHERE t <> '')
@@ -201,6 +204,21 @@ def chunk_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunked(documents(spark, sf))
 
 
+@query()
+def chunk_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks within a budget of tokens, parted at the widest boundaries that fit."""
+    return chunking.token_chunked(documents(spark, sf))
+
+
+@query()
+def chunk_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation's turns as a section: those of the assistant as chunks, the others as a list of role and text."""
+    own = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    chunks = F.transform(F.filter("t", lambda x: x.role == "assistant"), lambda x: x.text)
+    entries = F.transform(F.filter("t", lambda x: x.role != "assistant"), lambda x: F.struct(x.role.alias("name"), x.text.alias("desc")))
+    return chunking.sectioned(own.select(F.col("conv_id").alias("doc_id"), F.lit("turns").alias("section"), chunks.alias("chunks"), entries.alias("list"), F.lit(None).cast("string").alias("text")))
+
+
 @query(rf"""WITH q AS (SELECT item_id, list_distinct(list_filter({TOKENS.format("text")}, lambda x: length(x) > 2)) AS terms FROM benchmark WHERE item_id < 1000000), s AS (SELECT conv_id, turn, s, i FROM (SELECT conv_id, turn, unnest(string_split(text, '.')) AS s, unnest(range(len(string_split(text, '.')))) AS i FROM conversations WHERE role = 'assistant') WHERE trim(s) <> ''),
 u AS (SELECT conv_id, turn, list_distinct(list_filter({TOKENS.format("text")}, lambda x: length(x) > 2)) AS terms FROM conversations WHERE role = 'user'),
 c AS (SELECT s.conv_id, s.turn, i, trim(s) AS s, len(list_intersect(u.terms, list_distinct({TOKENS.format("s")}))) AS n FROM s JOIN u ON u.conv_id = s.conv_id AND u.turn = s.turn - 1)
