@@ -49,8 +49,8 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None, same: Column | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k greatest inner products for queries (query_id, vector) among vectors (doc_id, vector), a query itself left out.
 
-    Queries are taken in slabs of bounded size; each task multiplies its rows with a slab and keeps k for each query, so what is
-    shuffled is k rows for each query and task.
+    Queries are taken in slabs of bounded size; each task multiplies its rows with a slab and keeps a running top k for each query, so
+    what is shuffled is k rows for each query and task.
     """
     spark = vectors.sparkSession
     n = queries.count()
@@ -64,6 +64,7 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | No
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
+            best, held = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
             for batch in batches:
                 docs = batch["doc_id"].to_numpy()
                 if not len(docs) or not len(ids):
@@ -72,11 +73,17 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | No
                 for at in range(0, len(ids), 512):
                     scores = np.round(matrix[at : at + 512] @ mine.T, 6)
                     scores[ids[at : at + 512][:, None] == docs[None, :]] = -np.inf
-                    order = np.lexsort((np.broadcast_to(docs, scores.shape), -scores), axis=1)[:, :k]
-                    top = np.take_along_axis(scores, order, axis=1)
-                    good = np.isfinite(top)
-                    query = np.broadcast_to(ids[at : at + 512][:, None], top.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(query[good]), pa.array(docs[order][good]), pa.array(top[good])], ["query_id", "doc_id", "score"])
+                    scores = np.hstack([best[at : at + 512], scores])
+                    names = np.hstack([held[at : at + 512], np.broadcast_to(docs, (len(scores), len(docs)))])
+                    if scores.shape[1] > 4 * k:  # all that may tie with the k-th stay for the sort
+                        least = np.partition(scores, -k, axis=1)[:, -k, None]
+                        width = int((scores >= least).sum(axis=1).max())
+                        some = np.argpartition(scores, -width, axis=1)[:, -width:]
+                        scores, names = np.take_along_axis(scores, some, axis=1), np.take_along_axis(names, some, axis=1)
+                    order = np.lexsort((names, -scores), axis=1)[:, :k]
+                    best[at : at + 512], held[at : at + 512] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+            good = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[good]), pa.array(held[good]), pa.array(best[good])], ["query_id", "doc_id", "score"])
 
         part = vectors.select("doc_id", "vector").mapInArrow(run, "query_id long, doc_id long, score double")
         out = part if out is None else out.unionByName(part)

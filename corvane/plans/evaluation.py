@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corvane.operators import decisions, metrics
+from corvane.operators import decisions, metrics, quantiles
 from corvane.plans.registry import neighbours_sql, query
 from corvane.plans.search import neighbours, questions, vectors
 from corvane.sources.tables import table
@@ -294,8 +294,9 @@ def promotion_gate(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type AS stage, count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.9) AS p90, quantile_disc(value, 0.99) AS p99, max(value) AS most FROM events GROUP BY event_type")
 def latency_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max("value").alias("most"))
+    own = table(spark, sf, "events").select(F.col("event_type").alias("stage"), "value")
+    ranks = quantiles.nearest_ranks(own, "stage", "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return own.groupBy("stage").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most")).join(ranks, "stage")
 
 
 @query("SELECT event_type AS stage, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")

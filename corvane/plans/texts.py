@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import match as M
 from corvane.functions import noise
 from corvane.functions import text as T
-from corvane.operators import chunking, decisions
+from corvane.operators import chunking, decisions, quantiles
 from corvane.plans.registry import query
 from corvane.plans.search import TOKENS, passages
 from corvane.sources.tables import table
@@ -169,8 +169,8 @@ def title_token_hints(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT lang, count(*) AS n, round(avg(length(text)), 4) AS mean, quantile_disc(length(text), 0.5) AS p50, quantile_disc(length(text), 0.95) AS p95, max(length(text)) AS most, round(count(*) FILTER (WHERE length(text) > 2000) / count(*)::DOUBLE, 6) AS over FROM documents GROUP BY lang")
 def length_distribution(spark: SparkSession, sf: str) -> DataFrame:
     own = documents(spark, sf).select("lang", F.length("text").alias("n_"))
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY n_)")
-    return own.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_"), 4).alias("mean"), at(0.5).cast("int").alias("p50"), at(0.95).cast("int").alias("p95"), F.max("n_").alias("most"), F.round(F.count_if(F.col("n_") > 2000) / F.count("*"), 6).alias("over"))
+    ranks = quantiles.nearest_ranks(own, "lang", "n_", {"p50": 0.5, "p95": 0.95})
+    return own.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("n_"), 4).alias("mean"), F.max("n_").alias("most"), F.round(F.count_if(F.col("n_") > 2000) / F.count("*"), 6).alias("over")).join(ranks, "lang")
 
 
 @query(r"""SELECT doc_id, sha256(concat('Title: ', string_split(text, chr(10))[1], chr(10), 'Source: ', source, chr(10), chr(10), 'Body:', chr(10), text)) AS digest,
