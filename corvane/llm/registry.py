@@ -22,7 +22,9 @@ ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
     "op4_warc": warc.SQL,
     "op5_mixing": mixing.SQL,
+    "op6_repeats": repeats.SQL,
     "op7_quality": quality.SQL,
+    "op9_vectors": vectors.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

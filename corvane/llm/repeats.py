@@ -447,3 +447,17 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT, flush: int = FL
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = removed(common.table(spark, sf_dir, "documents"), scan=True)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: All windows of 50 bytes, in hexadecimal, with the first document of each; quick enough for small tables only.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, o, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT r, o, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+f AS (SELECT g, min(o) AS first, max(o) AS last FROM w GROUP BY g HAVING min(o) < max(o)),
+m AS (SELECT r, i FROM w JOIN f USING (g) WHERE o > first),
+s AS (SELECT *, CASE WHEN i <= 50 + max(i) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM m),
+p AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM s) GROUP BY r, span),
+k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS last FROM p),
+x AS (SELECT k.r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head, max(b) AS tail FROM k JOIN d USING (r) GROUP BY k.r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(head || substr(h, 2 * tail + 1), h))) AS kept_sha256 FROM d LEFT JOIN x USING (r)
+"""
