@@ -17,6 +17,8 @@ from corvane.sources import scratch
 K1, B = 1.5, 0.75
 #: Query vectors of one pass over the corpus, which bounds what is broadcast.
 SLAB = 16_384
+#: Phrases of one pass over the documents.
+PHRASES = 10_000
 
 
 def ranked(rows: DataFrame, by: str | list[str], *order: Column | str, k: int | None = None) -> DataFrame:
@@ -93,14 +95,21 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | No
 def lexical_tiers(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """query_id, doc_id, tier, rank: documents that have the phrase (tier 0 at the start, 1 elsewhere), then all of its terms (tier 2).
 
-    Phrase queries against all rows, in blocks of documents: the queries are a stated set that is broadcast, sized by the caller.
+    Terms are looked for within words, so no index of words finds them: a stated set of queries meets all rows in blocks of `PHRASES`
+    queries, which bounds what is broadcast.
     """
     terms = F.array_distinct(F.filter(T.tokens(F.col("query")), lambda x: F.length(x) >= 2))
     asked = queries.select("query_id", F.lower("text").alias("query")).withColumn("terms", terms)
     own = docs.select("doc_id", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    joined = own.join(F.broadcast(asked), F.forall("terms", lambda t: F.contains(F.col("text"), t)))
-    tier = F.when(F.col("text").startswith(F.col("query")), 0).when(F.contains("text", F.col("query")), 1).otherwise(2)
-    return ranked(joined.select("query_id", "doc_id", tier.alias("tier")), "query_id", "tier", "doc_id", k=limit)
+    blocks = max(1, -(-queries.count() // PHRASES))
+    out = None
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        joined = own.join(F.broadcast(some), F.forall("terms", lambda t: F.contains(F.col("text"), t)))
+        tier = F.when(F.col("text").startswith(F.col("query")), 0).when(F.contains("text", F.col("query")), 1).otherwise(2)
+        part = joined.select("query_id", "doc_id", tier.alias("tier"))
+        out = part if out is None else out.unionByName(part)
+    return ranked(out, "query_id", "tier", "doc_id", k=limit)
 
 
 def allowed(docs: DataFrame, filters: dict[str, str], known: tuple[str, ...] = ("lang", "source")) -> DataFrame:

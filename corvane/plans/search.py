@@ -38,15 +38,16 @@ def passages(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query(rf"""
-WITH d AS (SELECT doc_id, {FOLDED.format("text")} AS t FROM documents),
+BM25 = rf"""d AS (SELECT doc_id, {FOLDED.format("text")} AS t FROM documents),
 s AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
 q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest({FOLDED.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 p AS (SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-c AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL)
-SELECT query_id, doc_id, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c) WHERE rank <= 10
-""")
+c AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM c)"""
+
+
+@query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     out = retrieval.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 10)
     return out.select("query_id", "doc_id", F.round("score", 4).alias("score"))
@@ -93,9 +94,11 @@ FUSED = """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVE
 (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 9) AS score, min({'list': list, 'rank': rank}) AS first FROM l GROUP BY ALL)) WHERE rank <= 10"""
 
 
-@query(f"""WITH {neighbours_sql(50)}, {neighbours_sql(50, 16, "g")}, l AS (SELECT query_id, doc_id, rank, 0 AS list FROM h UNION ALL SELECT query_id, doc_id, rank, 1 FROM g) {FUSED}""")
+@query(f"""WITH {BM25}, {neighbours_sql(100)}, l AS (SELECT query_id // 20 AS query_id, doc_id, rank, 0 AS list FROM h UNION ALL SELECT query_id, doc_id, rank, 1 FROM r WHERE rank <= 100) {FUSED}""")
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.rrf([neighbours(spark, sf, 50), neighbours(spark, sf, 50, 16)])
+    """Dense and lexical results of a passage fused, a hundred of each; passage i asks with the vector 20 i too, and a vector stands for the document of its id."""
+    dense = neighbours(spark, sf, 100).withColumn("query_id", F.floor(F.col("query_id") / 20))
+    return ranking.rrf([dense, retrieval.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 100)])
 
 
 @query(f"""WITH {neighbours_sql(20)}, {neighbours_sql(20, 32, "g")}, {neighbours_sql(20, 16, "i")},
