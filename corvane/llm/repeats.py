@@ -121,7 +121,7 @@ def _sent(rows: DataFrame, shards: int, copies: str) -> DataFrame:
         order = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[order], np.arange(shards + 1))
         out: dict = {"shard": [], "body": []}
-        for s in range(shards):
+        for s in np.unique(shard).tolist():
             at = order[cuts[s] : cuts[s + 1]]
             if len(at):
                 texts_in, first, n = np.unique(of[at], return_index=True, return_counts=True)
@@ -162,7 +162,7 @@ class Shared:
         return out
 
 
-def _shared(sent: DataFrame, hot: int, size: int) -> DataFrame:
+def _shared(sent: DataFrame, shards: int, hot: int, size: int) -> DataFrame:
     """part, body: anchors that more than one text has (ids of texts, how many of each, their places among the text's anchors), a row
     for each part and turn of a shard, of some `size` anchors; under part HOTS, the hashes of anchors in more than `hot` places, with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +206,7 @@ def _shared(sent: DataFrame, hot: int, size: int) -> DataFrame:
         if shard is not None:
             yield from end()
 
-    return sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "part long, body binary")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, "part long, body binary")
 
 
 CONTEXT = "hash long, context binary, did long, part long, text long, at long"
@@ -298,7 +298,7 @@ def repeated(contexts: pa.Array, dids: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of[first], start[first] - of[first] - offsets[of[first]], reach[last] - start[first]
 
 
-def _found(contexts: DataFrame) -> DataFrame:
+def _found(contexts: DataFrame, shards: int) -> DataFrame:
     """part, text, did, at, length: what is to be removed, from the contexts of whole anchors, some thousands at a time."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def of(rows: pa.Table) -> pa.RecordBatch:
@@ -342,7 +342,7 @@ def _found(contexts: DataFrame) -> DataFrame:
         if n:
             yield of(pa.Table.from_batches(held))
 
-    rows = contexts.repartition("hash").withColumn("mark", F.xxhash64("context"))
+    rows = contexts.repartition(shards, "hash").withColumn("mark", F.xxhash64("context"))
     return rows.sortWithinPartitions("hash", "mark", "did").mapInArrow(run, "part long, text long, did long, at long, length long")
 
 
@@ -433,12 +433,12 @@ def removed(docs: DataFrame, scan: bool = False, hot: int = HOT, flush: int = FL
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     first = digested.groupBy("digest").agg(F.min("did").alias("first"))
     copies = common.stored(digested.join(first, "digest").where("did > first").select("part", "text", "did").distinct(), "part")
-    shared = common.stored(_shared(_sent(rows, shards, copies), hot, flush), "part")
+    shared = common.stored(_shared(_sent(rows, shards, copies), shards, hot, flush), "part")
     told = common.cut(_hot_anchors(spark.read.schema("body binary, part long").parquet(shared).where(F.col("part") == HOTS)))
     least = max(hot, told.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT_ANCHORS)
     # Each has more than a ten-millionth of their places, so there are fewer than HOT_ANCHORS.
     large = spark.sparkContext.broadcast(told.where(F.col("n") > least).select("hash").toArrow()["hash"].to_numpy())
-    found = _found(_contexts(rows, shared, copies, large, False))
+    found = _found(_contexts(rows, shared, copies, large, False), shards)
     if len(large.value):
         found = found.unionByName(_hot_found(_contexts(rows, shared, copies, large, True)))
     return _kept(rows, common.stored(found, "part"), copies)
