@@ -49,6 +49,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """`df` computed once, to be broadcast in a join if it has `most` rows or fewer (of a few numbers each)."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def stored(df: DataFrame, *by: str) -> str:
     """The path of `df` written as Parquet in the shared folder, in folders by these columns, one file each."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
