@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +63,33 @@ def stored(df: DataFrame, *by: str) -> str:
     return path
 
 
+def stored_by_part(df: DataFrame) -> str:
+    """The path of `df`, whose rows are for parts of another table (`part`, a long), written for PartTable: in as many folders as shuffles
+    have partitions, each sorted by part, so that their number does not grow with the parts."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(df.sparkSession)}/parts-{uuid.uuid4().hex}-{n}"
+    rows = df.withColumn("bucket", F.pmod("part", F.lit(n)).cast("int")).repartition(n, "bucket").sortWithinPartitions("bucket", "part")
+    rows.write.partitionBy("bucket").option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
+    return path
+
+
+class PartTable:
+    """What a task takes for the parts that it reads, of what stored_by_part has written; holds one part at a time."""
+
+    def __init__(self, path: str, columns: list[str]) -> None:
+        self.path, self.columns, self.part, self.table = path, columns, None, None
+        self.n = int(path.rpartition("-")[2])
+
+    def of(self, part: int) -> pa.Table | None:
+        """The rows of a part; None where it has none."""
+        if part != self.part:
+            store, root = fs.FileSystem.from_uri(f"{self.path}/bucket={part % self.n}")
+            found = [x.path for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.path.endswith(".parquet")]
+            at = ds.field("part") == part
+            self.part, self.table = part, ds.dataset(sorted(found), format="parquet", filesystem=store).to_table(columns=self.columns, filter=at) if found else None
+        return self.table if self.table is not None and self.table.num_rows else None
+
+
 def folder_table(path: str, columns: list[str]) -> pa.Table | None:
     """The Parquet files of one folder of the shared storage, for a task; None where there is no such folder."""
     store, root = fs.FileSystem.from_uri(path)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvane.llm import bpe, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
+from corvane.llm import alignment, bpe, fim, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_vectors": vectors.query,
     "op10_bpe": bpe.query,
+    "op12_fim": fim.query,
+    "op13_alignment": alignment.query,
 }
 ORACLE = {
     "op2_line_dedup": line_dedup.SQL,
@@ -25,6 +27,7 @@ ORACLE = {
     "op6_repeats": repeats.SQL,
     "op7_quality": quality.SQL,
     "op9_vectors": vectors.SQL,
+    "op12_fim": fim.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
