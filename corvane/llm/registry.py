@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corvane.llm import alignment, bpe, fim, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
+from corvane.llm import alignment, bpe, debruijn, fim, html_text, line_dedup, mixing, quality, repeats, simhash, toxicity, vectors, warc
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_vectors": vectors.query,
     "op10_bpe": bpe.query,
+    "op11_debruijn": debruijn.query,
     "op12_fim": fim.query,
     "op13_alignment": alignment.query,
 }
@@ -27,6 +28,7 @@ ORACLE = {
     "op6_repeats": repeats.SQL,
     "op7_quality": quality.SQL,
     "op9_vectors": vectors.SQL,
+    "op11_debruijn": debruijn.SQL,
     "op12_fim": fim.SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
