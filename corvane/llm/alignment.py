@@ -21,11 +21,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
+import struct
 import uuid
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,14 @@ class Transducer:
 
     def __init__(self, a: list[bytes], b: list[bytes]) -> None:
         self.tokens = (a, b)
+        self.names = tuple([b"%d" % i for i in range(len(x))] for x in (a, b))
         self.clear()
 
     def clear(self) -> None:
         self.states: dict[tuple[int, bytes], int] = {(0, b""): 0}
         self.known: list[tuple[int, bytes]] = [(0, b"")]
         self.steps: dict[int, int] = {}
+        self.single: dict[int, bytes] = {}
 
     def step(self, state: int, token: int) -> int:
         """The state after the lagging side's token (the first side's, where nothing dangles); -1 if its bytes don't fit."""
@@ -80,42 +83,55 @@ class Transducer:
             self.known.append(new)
         return at
 
-    def aligned(self, a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int]]] | None:
-        """Linked pairs (first id << WIDTH | second id), and after how many tokens of each side a group ends; None if the bytes differ."""
-        if len(self.steps) > STEPS:
+    def aligned(self, a: list[int], b: list[int]) -> tuple[list[int], bytes] | None:
+        """Linked pairs (first id << WIDTH | second id), and the groups as `a1,a2|b1;a3|b2,b3`; None if the bytes differ.
+
+        A group begins with a token of each side. Where these two close it, that is kept by the pair, with the group's text."""
+        if len(self.steps) > STEPS or len(self.single) > STEPS:
             self.clear()
-        i = j = state = 0
-        links, ends = [], []
-        get, known = self.steps.get, self.known
-        while i < len(a) or j < len(b):
-            first = not state or known[state][0]
-            if (i if first else j) >= len(a if first else b):
-                return None
-            token = a[i] if first else b[j]
-            after = get(state << 20 | token)
-            if after is None:
-                after = self.step(state, token)
-            if after < 0:
-                return None
-            if first:
+        links, groups = [], []
+        i, j, n, m = 0, 0, len(a), len(b)
+        single, steps, known, (first, second) = self.single, self.steps, self.known, self.names
+        while i < n and j < m:
+            x, y = a[i], b[j]
+            link = x << WIDTH | y
+            links.append(link)
+            text = single.get(link)
+            if text is not None:
+                groups.append(text)
                 i += 1
-            else:
                 j += 1
-            if state:
-                links.append(a[i - 1] << WIDTH | b[j - 1])
-            state = after
+                continue
+            begin, start = i, j
+            i += 1
+            j += 1
+            state = self.step(self.step(0, x), y)
             if not state:
-                ends.append((i, j))
-        return None if state else (links, ends)
-
-
-def groups_text(a: list[int], b: list[int], ends: list[tuple[int, int]]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: ids of each group in order."""
-    return ";".join(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:m]))}" for (i, j), (k, m) in pairwise([(0, 0), *ends]))
+                text = single[link] = first[x] + b"|" + second[y]
+                groups.append(text)
+                continue
+            while state > 0:
+                if known[state][0]:  # the second side leads
+                    if i == n:
+                        return None
+                    x = token = a[i]
+                    i += 1
+                else:
+                    if j == m:
+                        return None
+                    y = token = b[j]
+                    j += 1
+                links.append(x << WIDTH | y)
+                after = steps.get(state << 20 | token)
+                state = self.step(state, token) if after is None else after
+            if state < 0:
+                return None
+            groups.append(b",".join([first[x] for x in a[begin:i]]) + b"|" + b",".join([second[y] for y in b[start:j]]))
+        return None if i < n or j < m else (links, b";".join(groups))
 
 
 class Aligner:
-    """Both tokenizers, their tokens' bytes, and the stretches met lately: (pairs as 32-bit integers, groups, tokens of each side), or None."""
+    """Both tokenizers, their tokens' bytes, and the stretches met lately: (pairs as 32-bit integers, groups, tokens of the first side << 32 | of the second)."""
 
     def __init__(self, body: str, pieces: bytes) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -126,9 +142,12 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         code = {x: i for i, x in enumerate(bpe.byte_symbols())}
-        first = [b""] * self.a.get_vocab_size()
-        for token, i in self.a.get_vocab().items():
+        vocabulary = self.a.get_vocab()
+        first = [b""] * (1 + max(vocabulary.values()))
+        for token, i in vocabulary.items():
             first[i] = bytes(code[x] for x in token) if all(x in code for x in token) else token.encode()
+        if not {bytes([x]) for x in range(256)} <= set(first):
+            raise ValueError("a byte is no token")
         second = []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -137,38 +156,67 @@ class Aligner:
             second.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         if len(first) > 1 << (32 - WIDTH) or len(second) > 1 << WIDTH:
             raise ValueError("a pair of ids does not fit 32 bits")
-        self.bytes = (first, second)
+        self.space = self.b.piece_to_id("▁")
+        self.plain = _ranked(json.loads(body), {x: i for i, x in enumerate(first)})
         self.transducer = Transducer(first, second)
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
-
-    def _met(self, stretch: str, a: list[int], b: list[int]) -> tuple | None:
-        raw = stretch.encode()
-        if b"".join([self.bytes[0][x] for x in a]) != raw or b"".join([self.bytes[1][x] for x in b]) != raw:
-            return None
-        links, ends = self.transducer.aligned(a, b)
-        return np.array(links, "<u4").tobytes(), groups_text(a, b, ends).encode(), len(a), len(b)
-
-    def learn(self, stretches: set[str]) -> dict[str, tuple | None]:
-        """What these stretches come to; those of common length are kept."""
-        if len(self.young) >= KEPT:
-            self.old, self.young = self.young, {}
-        out, young = {}, self.young
-        for x in stretches:
-            if x in young:
-                out[x] = young[x]
-            elif x in self.old:
-                out[x] = young[x] = self.old[x]
-        new = [x for x in stretches if x not in out]
-        if " " in new:  # the library gives an empty text no space of its own
-            new.remove(" ")
-            out[" "] = young[" "] = self._met(" ", self.a.encode(" ", add_special_tokens=False).ids, [self.b.piece_to_id("▁")])
-        for x, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode([x[1:] for x in new], num_threads=1), strict=True):
-            out[x] = self._met(x, a.ids, b)
-            if len(x) <= 64:
-                young[x] = out[x]
+        self.young: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+        self.rare: dict[str, tuple | None] = {}
+
+    def first(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of the first tokenizer."""
+        out = [self.plain(x) if self.plain and PLAIN(x) else None for x in stretches]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.a.encode_batch_fast([stretches[i] for i in rest], add_special_tokens=False), strict=True):
+            out[i] = x.ids
         return out
 
+    def second(self, stretches: list[str]) -> list[list[int]]:
+        """Ids of the second; it puts a space before a text itself, but not before an empty one."""
+        out = self.b.encode([x[1:] for x in stretches], num_threads=1)
+        return [[self.space] if x == " " else y for x, y in zip(stretches, out, strict=True)]
+
+    def learn(self, stretches: set[str]) -> None:
+        """What these stretches, not among the young, come to; those of common length are kept, others till the next call."""
+        young, old, rare, aligned = self.young, self.old, {}, self.transducer.aligned
+        new = []
+        for x in stretches:
+            if x in old:
+                young[x] = old[x]
+            else:
+                new.append(x)
+        for x, a, b in zip(new, self.first(new), self.second(new), strict=True):
+            found = aligned(a, b)
+            if found is None:
+                rare[x] = None
+            else:
+                value = np.array(found[0], "<u4").tobytes() if len(found[0]) > 60 else struct.pack(f"<{len(found[0])}I", *found[0]), found[1], len(a) << 32 | len(b)
+                if len(x) <= 64:
+                    young[x] = value
+                else:
+                    rare[x] = value
+        self.rare = rare
+
+
+#: Stretches of letters, digits and ASCII signs of which all versions of Unicode's tables say the same.
+PLAIN = re.compile(r"[\t\n !-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*").fullmatch
+#: Fixed: the byte-level pattern of words.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _ranked(whole: dict, ids: dict[bytes, int]):
+    """A faster encoder of the same vocabulary for plain stretches: its ids are ranks, so it is taken only where merges are numbered in order."""
+    import tiktoken
+
+    step = whole["pre_tokenizer"]
+    vocabulary = whole["model"]["vocab"]
+    merged = [vocabulary["".join(x.split(" ") if isinstance(x, str) else x)] for x in whole["model"]["merges"]]
+    if whole["normalizer"] or step != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or merged != sorted(merged) or min(merged) < 256:
+        return None
+    special = {x["id"] for x in whole["added_tokens"]}
+    ranks = {x: i for x, i in ids.items() if i not in special}
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
 
 @functools.lru_cache(maxsize=1)
 def aligner(body: str, pieces: bytes) -> Aligner:
@@ -186,17 +234,22 @@ def documents(texts: list[str | None], own: Aligner) -> Iterator[dict]:
             size += len(texts[end] or "")
             end += 1
         cut = [STRETCH.findall(" " + x) if x else [] for x in texts[start:end]]
-        met = own.learn({x for row in cut for x in row})
+        if len(own.young) >= KEPT:
+            own.old, own.young = own.young, {}
+        young = own.young
+        own.learn(set().union(*(set(row).difference(young) for row in cut)))
+        get, rare = young.get, own.rare
         for row in cut:
-            found = [met[x] for x in row]
+            found = [get(x) or rare[x] for x in row]
             if not found or None in found:
                 yield none
                 continue
-            groups = b";".join([x[1] for x in found])
-            links = np.frombuffer(b"".join([x[0] for x in found]), "<u4")
+            links, groups, tokens = zip(*found, strict=True)
+            groups, tokens = b";".join(groups), sum(tokens)
+            links = np.frombuffer(b"".join(links), "<u4")
             pairs, times = np.unique(links, return_counts=True)
             yield {
-                "n_a": sum([x[2] for x in found]), "n_b": sum([x[3] for x in found]), "n_groups": groups.count(b";") + 1, "n_links": len(links),
+                "n_a": tokens >> 32, "n_b": tokens & 0xFFFFFFFF, "n_groups": groups.count(b";") + 1, "n_links": len(links),
                 "groups_sha256": hashlib.sha256(groups).hexdigest(), "pairs": pairs, "times": times.astype("<u4"),
             }
         start = end

@@ -70,9 +70,18 @@ def test_long_text_and_small_cache(spark, monkeypatch):
 
 def test_transducer_keeps_its_transitions():
     own = alignment.Transducer([b"ab", b"c", b"abc", b"x"], [b"a", b"bc", b"abc", b"xx"])
-    links, ends = own.aligned([0, 1, 2], [0, 1, 2])
     w = alignment.WIDTH
-    assert links == [0 << w | 0, 0 << w | 1, 1 << w | 1, 2 << w | 2] and ends == [(2, 2), (3, 3)]
+    assert own.aligned([0, 1, 2], [0, 1, 2]) == ([0 << w | 0, 0 << w | 1, 1 << w | 1, 2 << w | 2], b"0,1|0,1;2|2")
     steps = dict(own.steps)
-    assert own.aligned([0, 1], [0, 1])[1] == [(2, 2)] and own.steps == steps
-    assert own.aligned([3], [3]) is None and own.aligned([0], [2]) is None and own.aligned([3], [0]) is None
+    assert own.aligned([0, 1], [0, 1])[1] == b"0,1|0,1" and own.steps == steps
+    assert own.aligned([2], [2])[1] == b"2|2" and own.steps == steps
+    assert own.aligned([3], [3]) is None and own.aligned([0], [2]) is None and own.aligned([3], [0]) is None and own.aligned([0, 1, 2], [0, 1]) is None
+
+
+def test_plain_stretches_are_encoded_alike():
+    """The faster encoder and the library's agree on all plain code points, beside letters, digits, signs and spaces."""
+    own = alignment.aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+    points = [chr(x) for x in (9, 10, *range(32, 0x180)) if alignment.PLAIN(chr(x))]
+    texts = [f.format(x, y) for x in points for y in "a1' é" for f in (" {0}{1}", " {1}{0}b", " a{0}{1}1{0}", "'{0}{1}{0}  ")] + [" can't we'll I'd they've it's 'tis 're", " 12é3 don'T 'LL"]
+    assert own.plain and all(map(alignment.PLAIN, texts))
+    assert [own.plain(x) for x in texts] == [x.ids for x in own.a.encode_batch(texts, add_special_tokens=False)]
