@@ -35,7 +35,7 @@ from corvane.llm.repeats import _packed, _unpacked
 
 WORDS, GRAM = 13, 5
 REACH = WORDS - GRAM + 1  # grams in a window
-CHUNK, ROWS, PART_BITS = 4 << 20, 3000, 12
+CHUNK, ROWS, PART_BITS = 1 << 20, 1500, 12
 SHARD_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 
