@@ -1,4 +1,4 @@
-"""Top-k retrieval: BM25 over postings, exact k-nearest neighbours in blocks, tiered text search."""
+"""Top-k retrieval: exact k-nearest neighbours in blocks, tiered text search."""
 
 from __future__ import annotations
 
@@ -6,15 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions import match as M
 from corvane.functions import text as T
-from corvane.sources import scratch
 
-#: Fixed parameters of BM25.
-K1, B = 1.5, 0.75
 #: Query vectors of one pass over the corpus, which bounds what is broadcast.
 SLAB = 16_384
 #: Phrases of one pass over the documents.
@@ -27,27 +23,6 @@ def ranked(rows: DataFrame, by: str | list[str], *order: Column | str, k: int |
     return out.where(F.col("rank") <= k) if k else out
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, doc_id, score, rank of docs (doc_id, text) for queries (query_id, text).
-
-    A query's repeated terms count as often. Documents are tokenised once, where they are read: a document's counts of the terms that a
-    query has are written as postings, and the number and mean length of all documents are observed on the way.
-    """
-    seen = Observation()
-    own = docs.select("doc_id", M.bm25_tokens(F.col("text")).alias("terms")).withColumn("length", F.size("terms"))
-    own = own.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    asked = scratch.written(queries.select("query_id", F.explode(M.bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
-    posts = own.select("doc_id", "length", F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    posts = scratch.written(posts.groupBy("term", "doc_id", "length").agg(F.count("*").alias("tf")))
-    size = seen.get
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).withColumns({"n": F.lit(size["n"]), "mean": F.lit(size["mean"])})
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").withColumn("weight", F.col("times") * idf)
-    part = F.col("weight") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = posts.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scores, "query_id", F.desc("score"), "doc_id", k=k)
-
-
 def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | None = None, same: Column | None = None) -> DataFrame:
     """query_id, doc_id, score, rank: the k greatest inner products for queries (query_id, vector) among vectors (doc_id, vector), a query itself left out.
 

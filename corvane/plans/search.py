@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import ranking, retrieval
+from corvane.operators import lexical, ranking, retrieval
 from corvane.plans.registry import neighbours_sql, query
 from corvane.sources.tables import table
 
@@ -49,7 +49,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 4) AS score FROM r WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    out = retrieval.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 10)
+    out = lexical.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 10)
     return out.select("query_id", "doc_id", F.round("score", 4).alias("score"))
 
 
@@ -98,7 +98,7 @@ FUSED = """SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVE
 def rrf_hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """Dense and lexical results of a passage fused, a hundred of each; passage i asks with the vector 20 i too, and a vector stands for the document of its id."""
     dense = neighbours(spark, sf, 100).withColumn("query_id", F.floor(F.col("query_id") / 20))
-    return ranking.rrf([dense, retrieval.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 100)])
+    return ranking.rrf([dense, lexical.bm25_topk(table(spark, sf, "documents"), passages(spark, sf), 100)])
 
 
 @query(f"""WITH {neighbours_sql(20)}, {neighbours_sql(20, 32, "g")}, {neighbours_sql(20, 16, "i")},
