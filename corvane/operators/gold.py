@@ -108,7 +108,8 @@ def leaks(policy: Column, terms: Column, hit: Column) -> Column:
 
 
 def failure_reason(want: Column, seen: Column) -> Column:
-    """Why a gold row without a matching hit failed; seen has what any hit met: hits, index, version, status, file, sheet, tbl, cells, page, box."""
+    """Why a gold row without a matching hit failed; seen has what hits met: hits, index, version, status, file, and of the hits of the file: sheet, of
+    these tbl, of these (or, where no table is wanted, of the sheet's) cells, and page, of these box (see golden.evaluated)."""
     sheets = want.kind == "xlsx"
     pages = want.kind.isin("pdf", "ocr")
     given = lambda c: F.coalesce(want[c].cast("string"), F.lit("")) != ""
@@ -126,12 +127,25 @@ def failure_reason(want: Column, seen: Column) -> Column:
     ], "unknown")
 
 
+#: Fixed: flags of a labelled result.
+FLAGS = ("wrong_page", "right_page_wrong_section", "evidence_too_noisy", "needs_cross_section", "needs_subpage")
+
+
 def answerable(labels: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """By variant over rows (variant, query_id, rank, label, page_hit, section_hit): the shares of queries with a partly (2) and a fully (3) answering
-    result in the first k, and counts of results that answer off the section or don't on the page, in the first five."""
+    """By variant over rows (variant, query_id, rank, label, page_hit, section_hit, flags): queries and rows, the shares of queries with a partly (2) and
+    a fully (3) answering result in the first k, and, in the first five, queries on the page that nothing answers, queries that are answered without a hit of
+    the section, and how often each flag is set."""
     best = lambda k, level: F.max(F.when((F.col("rank") <= k) & (F.col("label") >= level), 1).otherwise(0))
-    each = labels.groupBy("variant", "query_id").agg(*[best(k, n).alias(f"{name}_{k}") for k in ks for name, n in (("answerable", 2), ("fully", 3))], F.count_if((F.col("rank") <= 5) & F.col("page_hit") & (F.col("label") < 2)).alias("page_only"), F.count_if((F.col("rank") <= 5) & ~F.col("section_hit") & (F.col("label") >= 2)).alias("off_section"))
-    return each.groupBy("variant").agg(F.count("*").alias("queries"), *[F.round(F.avg(f"{name}_{k}"), 6).alias(f"{name}_{k}") for k in ks for name in ("answerable", "fully")], F.sum("page_only").alias("page_only"), F.sum("off_section").alias("off_section"))
+    early = F.col("rank") <= 5
+    flag = lambda c: F.max((early & c).cast("int"))
+    flags = [F.count_if(early & F.array_contains("flags", x)).alias(x) for x in FLAGS]
+    each = labels.groupBy("variant", "query_id").agg(
+        *[best(k, n).alias(f"{name}_{k}") for k in ks for name, n in (("answerable", 2), ("fully", 3))],
+        F.count("*").alias("rows"), flag(F.col("page_hit")).alias("page"), flag(F.col("section_hit")).alias("section"), flag(F.col("label") >= 2).alias("answers"), *flags,
+    )
+    rates = [F.round(F.avg(f"{name}_{k}"), 6).alias(f"{name}_{k}") for k in ks for name in ("answerable", "fully")]
+    page_only, off_section = F.count_if(F.expr("page = 1 and answers = 0")), F.count_if(F.expr("answers = 1 and section = 0"))
+    return each.groupBy("variant").agg(F.count("*").alias("queries"), F.sum("rows").alias("rows"), *rates, page_only.alias("page_only"), off_section.alias("off_section"), *[F.sum(x).alias(x) for x in FLAGS])
 
 
 def bundles(rows: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -121,21 +121,27 @@ def location_gap(kind: Column, chunk: Column, place: Column) -> Column:
     ], None)
 
 
-def claimable(units: DataFrame, now: Column, stale_seconds: int) -> DataFrame:
-    """Units (id, status, source_ready, claimed_at, at) that may be claimed, pending ones first, then stale claims, oldest first; adds place."""
-    pending = F.col("status") == "PENDING"
-    stale = (F.col("status") == "EMBEDDING") & holds(F.col("claimed_at") < now - stale_seconds)
-    return units.where(F.col("source_ready") & (pending | stale)).select("*", F.when(pending, 0).otherwise(1).alias("turn"))
-
-
 def claimed(units: DataFrame, now: int, stale_seconds: int, batch: int = BATCH, worker: str = "w") -> DataFrame:
-    """The units of one claim, `batch` at most (200 and no more): id, result (claimed or skipped), token, reason. Units that can't be embedded are skipped and don't count."""
+    """The units of one claim of units (id, status, source_ready, claimed_at, at, reason), `batch` (200 and no more) at most: id, result (claimed or skipped), token, reason.
+
+    Looked at are twice the batch of pending units, oldest change first; if these are fewer than the batch, as many stale claims as lack, oldest claim
+    first. Of these in turn units that can't be embedded are skipped, others claimed, until the batch is full; what is not reached stays as it is.
+    """
     batch = max(1, min(batch, BATCH))
-    ready = claimable(units, F.lit(now), stale_seconds)
-    # The claim takes batch rows by contract, so sorting and taking stays a top-k.
-    taken = ready.where(F.col("reason").isNull()).orderBy("turn", "at", "id").limit(batch)
-    token = F.concat(F.lit(f"{worker}:"), F.col("id").cast("string"))
-    return taken.select("id", F.lit("claimed").alias("result"), token.alias("token"), F.lit(None).cast("string").alias("reason")).unionByName(ready.where(F.col("reason").isNotNull()).select("id", F.lit("skipped").alias("result"), F.lit(None).cast("string").alias("token"), "reason"))
+    ready = units.where("source_ready")
+    pending = ready.where("status = 'PENDING'").orderBy("at", "id").limit(2 * batch).select("id", "reason", F.lit(0).alias("turn"), F.col("at").alias("since"))
+    stale = ready.where((F.col("status") == "EMBEDDING") & holds(F.col("claimed_at") < now - stale_seconds)).orderBy("claimed_at", "id").limit(batch)
+    seen = pending.unionByName(stale.select("id", "reason", F.lit(1).alias("turn"), F.col("claimed_at").alias("since")))
+    # Three batches at most, by contract, so windows over all of them are bounded.
+    every, turns = Window.partitionBy(), Window.partitionBy().orderBy("turn", "since", "id")
+    place = F.row_number().over(Window.partitionBy("turn").orderBy("since", "id"))
+    lack = F.lit(batch) - F.count_if(F.col("turn") == 0).over(every)
+    seen = seen.withColumn("looked", (F.col("turn") == 0) | (place <= lack)).where("looked")
+    before = F.coalesce(F.count_if(F.col("reason").isNull()).over(turns.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = seen.withColumn("before", before).where(F.col("before") < batch)
+    fit = F.col("reason").isNull()
+    token = F.when(fit, F.concat(F.lit(f"{worker}:"), F.col("id").cast("string")))
+    return seen.select("id", F.when(fit, "claimed").otherwise("skipped").alias("result"), token.alias("token"), "reason")
 
 
 def finished(units: DataFrame, results: DataFrame) -> DataFrame:

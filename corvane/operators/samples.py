@@ -34,13 +34,21 @@ def balanced(rows: DataFrame, by: str, group: str, score: Column, quota: Column,
     return out.withColumn("n", order).where(F.col("n") <= quota).drop("_s", "_v")
 
 
+#: Fixed: kinds of question that rest on their evidence, and phrases of someone looking for a thing.
+LINKED = ("character_question", "setting_question", "plot_memory", "theme_question", "comparison_like", "vague_recall")
+ASKING = ("뭐였", "찾고 있어", "찾아줘")
+
+
 def row_quality(query: Column, evidence: Column, kind: Column, shared: Column, copies_title: Column) -> Column:
-    """How well a row is fit for a gold set, by the lengths of question and evidence, their shared words and the kind of question."""
-    q, e = F.length(F.trim(F.coalesce(query, F.lit("")))), F.length(F.trim(F.coalesce(evidence, F.lit(""))))
+    """How well a row is fit for a gold set, by the lengths of question and evidence, their shared words (which count less where the kind of question does not rest on evidence), and the kind of question."""
+    query, evidence = F.trim(F.coalesce(query, F.lit(""))), F.trim(F.coalesce(evidence, F.lit("")))
+    q, e = F.length(query), F.length(evidence)
     asked = F.when(q.between(24, 125), 8.0).when(q < 18, -18.0).when(q > 150, -12.0).otherwise(0.0)
     told = F.when(e.between(45, 220), 6.0).when(e < 35, -15.0).otherwise(0.0)
+    words = F.when(kind.isin(*LINKED), F.least(shared, F.lit(5)) * 2.0).otherwise(F.least(shared, F.lit(3)) * 0.8)
     hard = F.when(kind.isin("wrong_assumption", "ambiguous", "unanswerable"), -4.0).otherwise(0.0)
-    return 100.0 + asked + told + F.least(shared, F.lit(5)) * 2.0 + F.when(copies_title, -18.0).otherwise(0.0) + hard
+    seeks = F.when(F.contains(query, F.lit(ASKING[0])) | F.contains(query, F.lit(ASKING[1])) | F.contains(query, F.lit(ASKING[2])), 2.0).otherwise(0.0)
+    return F.round(100.0 + asked + told + words + F.when(copies_title, -18.0).otherwise(0.0) + hard + seeks, 9)
 
 
 def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:

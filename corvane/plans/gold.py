@@ -42,17 +42,26 @@ def page_section_hits(spark: SparkSession, sf: str) -> DataFrame:
     return wanted(spark, sf).select("query_id", "rank", page.alias("page_hit"), G.section_hit(page, G.joined_path(F.col("wanted_path")), G.joined_path(F.col("path"))).alias("section_hit"))
 
 
-LABELS = f"""{WANTED}, a AS (SELECT ['full', 'half'][v + 1] AS variant, query_id, rank, (doc_id * 7 + v) % 4 AS label, coalesce(page_id = wanted_page, false) AS page_hit, coalesce(page_id = wanted_page AND path[1:greatest(len(wanted_path), 1)] = wanted_path, false) AS section_hit FROM g, (SELECT unnest([0, 1]) AS v))"""
+LABELS = f"""{WANTED}, a AS (SELECT ['full', 'half'][v + 1] AS variant, query_id, rank, (doc_id * 7 + v) % 4 AS label, coalesce(page_id = wanted_page, false) AS page_hit, coalesce(page_id = wanted_page AND path[1:greatest(len(wanted_path), 1)] = wanted_path, false) AS section_hit, list_filter([CASE WHEN page_id <> wanted_page THEN 'wrong_page' END, CASE WHEN doc_id % 5 = 0 THEN 'evidence_too_noisy' END, CASE WHEN page_id = wanted_page AND doc_id % 2 = 0 THEN 'needs_subpage' END], lambda x: x IS NOT NULL) AS flags FROM g, (SELECT unnest([0, 1]) AS v))"""
 
 
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     page = G.page_hit(F.col("wanted_page").cast("string"), F.col("page_id").cast("string"))
     each = wanted(spark, sf).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("v"))
-    return each.select(F.when(F.col("v") == 0, "full").otherwise("half").alias("variant"), "query_id", "rank", ((F.col("doc_id") * 7 + F.col("v")) % 4).alias("label"), page.alias("page_hit"), (page & G.begins(F.col("path"), F.col("wanted_path"))).alias("section_hit"), "doc_id")
+    even = (F.col("page_id") == F.col("wanted_page")) & (F.col("doc_id") % 2 == 0)
+    flags = F.array_compact(F.array(F.when(F.col("page_id") != F.col("wanted_page"), "wrong_page"), F.when(F.col("doc_id") % 5 == 0, "evidence_too_noisy"), F.when(even, "needs_subpage")))
+    return each.select(F.when(F.col("v") == 0, "full").otherwise("half").alias("variant"), "query_id", "rank", ((F.col("doc_id") * 7 + F.col("v")) % 4).alias("label"), page.alias("page_hit"), (page & G.begins(F.col("path"), F.col("wanted_path"))).alias("section_hit"), "doc_id", flags.alias("flags"))
 
 
-@query(f"""WITH {LABELS}, e AS (SELECT variant, query_id, {", ".join(f"max(CASE WHEN rank <= {k} AND label >= {n} THEN 1 ELSE 0 END) AS {name}_{k}" for k in (1, 3, 5) for name, n in (("answerable", 2), ("fully", 3)))}, count(*) FILTER (WHERE rank <= 5 AND page_hit AND label < 2) AS po, count(*) FILTER (WHERE rank <= 5 AND NOT section_hit AND label >= 2) AS os FROM a GROUP BY ALL)
-SELECT variant, count(*) AS queries, {", ".join(f"round(avg({name}_{k}), 6) AS {name}_{k}" for k in (1, 3, 5) for name in ("answerable", "fully"))}, sum(po)::BIGINT AS page_only, sum(os)::BIGINT AS off_section FROM e GROUP BY variant""")
+AT = [(k, name, n) for k in (1, 3, 5) for name, n in (("answerable", 2), ("fully", 3))]
+
+
+@query(f"""WITH {LABELS}, q AS (SELECT variant, query_id, count(*) AS n, {", ".join(f"bool_or(rank <= {k} AND label >= {n}) AS {name}_{k}" for k, name, n in AT)},
+  bool_or(rank <= 5 AND page_hit) AS page, bool_or(rank <= 5 AND section_hit) AS section FROM a GROUP BY ALL),
+c AS (SELECT variant, flag, count(*) AS n FROM (SELECT variant, unnest(flags) AS flag FROM a WHERE rank <= 5) GROUP BY ALL)
+SELECT variant, count(*) AS queries, sum(n)::BIGINT AS rows, {", ".join(f"round(avg({name}_{k}::INT), 6) AS {name}_{k}" for k, name, n in AT)},
+  count(*) FILTER (WHERE page AND NOT answerable_5) AS page_only, count(*) FILTER (WHERE answerable_5 AND NOT section) AS off_section,
+  {", ".join(f"coalesce((SELECT n FROM c WHERE c.variant = q.variant AND flag = '{x}'), 0) AS {x}" for x in G.FLAGS)} FROM q GROUP BY variant""")
 def answerability_variants(spark: SparkSession, sf: str) -> DataFrame:
     return G.answerable(labelled(spark, sf))
 
@@ -152,17 +161,6 @@ def location_matches(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("k", G.location_met(col("w"), col("g")).alias("met"))
 
 
-@query("""WITH f AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 'xlsx' WHEN o_orderkey % 3 = 1 THEN 'pdf' ELSE 'none' END AS kind FROM orders)
-SELECT k, CASE WHEN k % 19 = 0 THEN 'search_result_empty' WHEN k % 17 = 0 THEN 'candidate_index_mismatch' WHEN k % 13 = 0 THEN 'required_index_version_mismatch' WHEN k % 11 = 0 THEN 'embedding_status_mismatch' WHEN k % 7 = 0 THEN 'expected_file_not_found' WHEN kind = 'xlsx' AND k % 2 = 0 AND k % 5 = 0 THEN 'expected_sheet_not_found'
-WHEN kind = 'xlsx' AND k % 5 = 1 THEN 'expected_table_not_found' WHEN kind = 'xlsx' AND k % 5 = 2 THEN 'expected_range_not_found' WHEN kind = 'pdf' AND k % 5 = 3 THEN 'expected_page_not_found' WHEN kind = 'pdf' AND k % 4 = 1 THEN 'bbox_mismatch' ELSE 'unknown' END AS reason FROM f""")
-def location_failures(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    want = F.struct(F.when(k % 3 == 0, "xlsx").when(k % 3 == 1, "pdf").otherwise("none").alias("kind"), F.when(k % 2 == 0, "s").alias("sheet"), F.lit("t").alias("tbl"), F.lit("A1").alias("cells"), F.lit(None).cast("int").alias("physical"), F.lit(1).alias("page"), F.array(F.lit(1.0)).alias("box"))
-    seen = F.struct(F.when(k % 19 == 0, 0).otherwise(1).alias("hits"), (k % 17 != 0).alias("index"), (k % 13 != 0).alias("version"), (k % 11 != 0).alias("status"), (k % 7 != 0).alias("file"), (k % 5 != 0).alias("sheet"), (k % 5 != 1).alias("tbl"), (k % 5 != 2).alias("cells"), (k % 5 != 3).alias("page"), (k % 4 != 1).alias("box"))
-    own = table(spark, sf, "orders").select(k.alias("k"), want.alias("w"), seen.alias("s"))
-    return own.select("k", G.failure_reason(F.col("w"), F.col("s")).alias("reason"))
-
-
 @query("SELECT page_id, page_id % 3 <> 0 AND (contains(lower(html), 'footer') OR contains(lower(html), 'zz' || (page_id % 10)::VARCHAR)) AS leaks FROM pages")
 def hidden_leaks(spark: SparkSession, sf: str) -> DataFrame:
     policy = F.when(F.col("page_id") % 3 == 1, "exclude_hidden").when(F.col("page_id") % 3 == 2, "negative").otherwise("allow")

@@ -68,20 +68,27 @@ def location_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return own.select("k", I.location_gap(F.col("t"), F.col("c"), F.col("p")).alias("gap"))
 
 
-UNITS = "u AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'EMBEDDING' ELSE 'EMBEDDED' END AS status, o_orderkey % 5 <> 0 AS ready, o_orderkey % 2000 AS claimed_at, o_orderkey % 97 AS \"at\", CASE WHEN o_orderkey % 60 = 1 THEN 'blank' END AS reason FROM orders)"
+#: Orders as units: their state, priority, date and price say what is known of a unit.
+UNITS = """u AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'P' THEN 'PENDING' WHEN 'O' THEN 'EMBEDDING' ELSE 'EMBEDDED' END AS status, o_orderpriority <> '5-LOW' AS ready,
+  epoch(o_orderdate)::BIGINT AS claimed_at, epoch(o_orderdate)::BIGINT AS "at", CASE WHEN o_totalprice < 60000 THEN 'blank' END AS reason FROM orders)"""
+NOW = 883612800
 
 
 def units(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    return table(spark, sf, "orders").select(k.alias("id"), F.when(k % 4 == 0, "PENDING").when(k % 4 == 1, "EMBEDDING").otherwise("EMBEDDED").alias("status"), (k % 5 != 0).alias("source_ready"), (k % 2000).alias("claimed_at"), (k % 97).alias("at"), F.when(k % 60 == 1, "blank").alias("reason"))
+    at = F.unix_timestamp("o_orderdate")
+    status = F.when(F.col("o_orderstatus") == "P", "PENDING").when(F.col("o_orderstatus") == "O", "EMBEDDING").otherwise("EMBEDDED")
+    ready, reason = F.col("o_orderpriority") != "5-LOW", F.when(F.col("o_totalprice") < 60000, "blank")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), ready.alias("source_ready"), at.alias("claimed_at"), at.alias("at"), reason.alias("reason"))
 
 
-@query(f"""WITH {UNITS}, r AS (SELECT *, CASE WHEN status = 'PENDING' THEN 0 ELSE 1 END AS turn FROM u WHERE ready AND (status = 'PENDING' OR (status = 'EMBEDDING' AND claimed_at < 600))),
-c AS (SELECT id FROM r WHERE reason IS NULL ORDER BY turn, \"at\", id LIMIT 200)
-SELECT id, 'claimed' AS result, 'w:' || id::VARCHAR AS token, NULL AS reason FROM c UNION ALL SELECT id, 'skipped', NULL, reason FROM r WHERE reason IS NOT NULL""")
+@query(f"""WITH {UNITS}, p AS (SELECT id, reason, 0 AS turn, "at" AS since FROM u WHERE ready AND status = 'PENDING' ORDER BY "at", id LIMIT 400),
+s AS (SELECT id, reason, 1 AS turn, claimed_at AS since FROM u WHERE ready AND status = 'EMBEDDING' AND claimed_at < {NOW - 900} ORDER BY claimed_at, id LIMIT greatest(0, 200 - (SELECT count(*) FROM p))),
+v AS (SELECT *, row_number() OVER (ORDER BY turn, since, id) AS n FROM (FROM p UNION ALL FROM s)),
+e AS (SELECT v.*, (SELECT count(*) FROM v w WHERE w.n < v.n AND w.reason IS NULL) AS before FROM v)
+SELECT id, CASE WHEN reason IS NULL THEN 'claimed' ELSE 'skipped' END AS result, CASE WHEN reason IS NULL THEN 'w:' || id::VARCHAR END AS token, reason FROM e WHERE before < 200""")
 def claimed_units(spark: SparkSession, sf: str) -> DataFrame:
     """A claim of 200 units, which is what a claim takes: pending ones first, then claims of over fifteen minutes ago."""
-    return I.claimed(units(spark, sf), 1500, 900)
+    return I.claimed(units(spark, sf), NOW, 900)
 
 
 @query(f"""WITH {UNITS} SELECT id, CASE WHEN id % 3 = 0 AND id % 7 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'EMBEDDED' ELSE 'PENDING' END ELSE status END AS status, CASE WHEN id % 3 <> 0 THEN NULL WHEN id % 7 = 0 THEN 'not_applied' WHEN id % 2 = 0 THEN 'applied' ELSE 'stale' END AS outcome FROM u""")

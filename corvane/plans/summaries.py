@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.operators import quantiles, samples
 from corvane.plans.evaluation import CAND, SIZES, measured, metrics_sql
 from corvane.plans.registry import query
-from corvane.plans.search import questions
+from corvane.plans.search import TOKENS, questions
 from corvane.sources.tables import table
 
 
@@ -33,12 +34,25 @@ def balanced_selection(spark: SparkSession, sf: str) -> DataFrame:
     return samples.balanced(own, "lang", "source", score, F.when(F.col("lang") == "en", 30).otherwise(10), 2.5, "doc_id")
 
 
-@query("""WITH f AS (SELECT conv_id, turn, length(trim(text)) AS q, length(trim(substring(text, 20, 230))) AS e, ['plain', 'ambiguous', 'unanswerable'][turn % 3 + 1] AS kind, conv_id % 7 AS shared, conv_id % 5 = 0 AS copies FROM conversations)
-SELECT conv_id, turn, 100.0::DOUBLE + CASE WHEN q BETWEEN 24 AND 125 THEN 8 WHEN q < 18 THEN -18 WHEN q > 150 THEN -12 ELSE 0 END + CASE WHEN e BETWEEN 45 AND 220 THEN 6 WHEN e < 35 THEN -15 ELSE 0 END + least(shared, 5) * 2 - CASE WHEN copies THEN 18 ELSE 0 END - CASE WHEN kind <> 'plain' THEN 4 ELSE 0 END AS quality FROM f""")
+KINDS = ("plot_memory", "ambiguous", "unanswerable", "theme_question", "other")
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS text, list_distinct({TOKENS.format("text")}) AS words FROM conversations),
+f AS (SELECT q.conv_id, q.turn, length(q.text) AS ql, length(e.text) AS el, len(list_intersect(q.words, e.words)) AS n, starts_with(e.text, q.text[1:5]) AS copies,
+  contains(q.text, '찾아줘') OR contains(q.text, '뭐였') OR contains(q.text, '찾고 있어') AS seeks, ['{"','".join(KINDS)}'][q.turn % 5 + 1] AS kind
+  FROM t q JOIN t e ON e.conv_id = q.conv_id AND e.turn = q.turn + 1)
+SELECT conv_id, turn, round(100.0::DOUBLE + CASE WHEN ql < 18 THEN -18 WHEN ql BETWEEN 24 AND 125 THEN 8 WHEN ql > 150 THEN -12 ELSE 0 END
+  + CASE WHEN el < 35 THEN -15 WHEN el BETWEEN 45 AND 220 THEN 6 ELSE 0 END + CASE WHEN kind IN ('plot_memory', 'theme_question') THEN least(n, 5) * 2.0::DOUBLE ELSE least(n, 3) * 0.8::DOUBLE END
+  - CASE WHEN copies THEN 18 ELSE 0 END - CASE WHEN kind IN ('ambiguous', 'unanswerable') THEN 4 ELSE 0 END + CASE WHEN seeks THEN 2 ELSE 0 END, 9) AS quality FROM f""")
 def row_qualities(spark: SparkSession, sf: str) -> DataFrame:
-    kind = F.element_at(F.array(F.lit("plain"), F.lit("ambiguous"), F.lit("unanswerable")), (F.col("turn") % 3 + 1).cast("int"))
-    quality = samples.row_quality(F.col("text"), F.substring("text", 20, 230), kind, F.col("conv_id") % 7, F.col("conv_id") % 5 == 0)
-    return table(spark, sf, "conversations").select("conv_id", "turn", quality.alias("quality"))
+    """Turns as questions and the turns that follow as their evidence."""
+    own = table(spark, sf, "conversations").select("conv_id", "turn", F.trim(F.coalesce("text", F.lit(""))).alias("text"), F.array_distinct(T.tokens(F.col("text"))).alias("words"))
+    told = own.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("evidence"), F.col("words").alias("known"))
+    rows = own.join(told, ["conv_id", "turn"])
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("turn") % 5 + 1).cast("int"))
+    copies = F.col("evidence").startswith(F.substring("text", 1, 5))
+    quality = samples.row_quality(F.col("text"), F.col("evidence"), kind, F.size(F.array_intersect("words", "known")), copies)
+    return rows.select("conv_id", "turn", quality.alias("quality"))
 
 
 @query("""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 20 = 0),
