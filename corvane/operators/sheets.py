@@ -5,60 +5,170 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fixed: columns and rows read of a sheet, cells exported of one, rows of a chunk, and characters of a document unit.
-COLUMNS, ROWS, CELLS, GROUP, DOCUMENT = 80, 10_000, 500, 50, 200_000
+#: Fixed: columns and rows read of a sheet, cells exported of one, rows of a chunk and of a table as shown, characters of a unit's text and of a document's, and
+#: cells of a sheet that is a table of its own.
+COLUMNS, ROWS, CELLS, GROUP, SHOWN, UNIT, DOCUMENT, SMALL = 80, 10_000, 500, 50, 200, 30_000, 200_000, 2_000
+SHEET = ["book", "sheet"]
+#: Rows of a bucket in which cells meet ranges.
+BUCKET = 64
 
 
-def visible(cells: DataFrame) -> DataFrame:
-    """Cells (book, sheet, row, col, value, hidden) that are read: not hidden, within the first columns and rows."""
-    return cells.where(~F.col("hidden") & (F.col("row") <= ROWS) & (F.col("col") <= COLUMNS))
+def letters(number: Column) -> Column:
+    """A column's letters, up to two."""
+    first, last = F.floor((number - 1) / 26), (number - 1) % 26
+    one = lambda x: F.char(x + 65)
+    return F.when(first > 0, F.concat(one(first - 1), one(last))).otherwise(one(last))
 
 
-def exported(cells: DataFrame) -> DataFrame:
-    """The first cells of a sheet in order, as many as are exported."""
-    w = Window.partitionBy("book", "sheet").orderBy("row", "col")
-    return visible(cells).where(F.col("value") != "").withColumn("n", F.row_number().over(w)).where(F.col("n") <= CELLS).drop("n")
+def cell_range(row: Column, last: Column, end: Column, start: Column | None = None) -> Column:
+    """A1:B2 of rows and columns; from the first column on without a start."""
+    return F.concat(letters(F.lit(1) if start is None else start), row.cast("string"), F.lit(":"), letters(end), last.cast("string"))
 
 
-def rows_of(cells: DataFrame) -> DataFrame:
-    """book, sheet, row, values, from, to: a row's values in order of column, with its first and last column."""
-    inner = F.array_sort(F.collect_list(F.struct("col", "value")))  # COLUMNS values at most
-    return visible(cells).groupBy("book", "sheet", "row").agg(F.transform(inner, lambda x: x.value).alias("values"), F.min("col").alias("from"), F.max("col").alias("to"))
+def limited(text: Column, most: int = UNIT) -> Column:
+    return F.when(F.length(text) <= most, text).otherwise(F.concat(F.rtrim(F.substring(text, 1, most - 20)), F.lit("\n[truncated]")))
 
 
-def letters(number: Column) -> Column:
-    """A column's letters, up to two."""
-    first, last = F.floor((number - 1) / 26), (number - 1) % 26
-    one = lambda x: F.char(x + 65)
-    return F.when(first > 0, F.concat(one(first - 1), one(last))).otherwise(one(last))
+def rows_of(cells: DataFrame, columns: int = COLUMNS, most: int = ROWS) -> DataFrame:
+    """book, sheet, place, row, values, more of cells (book, sheet, row, col, value, hidden, and row_hidden where rows are): the first rows that hold
+    anything, numbered. values has a place for each column up to the last filled one; a hidden cell's is empty. more: whether the sheet has rows beyond."""
+    cells = cells if "row_hidden" in cells.columns else cells.withColumn("row_hidden", F.lit(False))
+    shown = cells.where(~F.col("row_hidden") & ~F.col("hidden") & (F.col("col") <= columns) & (F.col("value") != ""))
+    held = F.map_from_entries(F.collect_list(F.struct("col", "value")))  # as many as columns at most
+    rows = shown.groupBy(*SHEET, "row").agg(held.alias("held"), F.max("col").alias("width"))
+    values = F.transform(F.sequence(F.lit(1), F.col("width")), lambda c: F.coalesce(F.try_element_at(F.col("held"), c), F.lit("")))
+    rows = rows.select(*SHEET, "row", values.alias("values"))
+    # Of a sheet no more than the first rows take part, so that a long one is cut before it is shuffled.
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))).where(F.col("place") <= most + 1)
+    more = F.max("place").over(Window.partitionBy(*SHEET)) > most
+    return rows.withColumn("more", more).where(F.col("place") <= most).select(*SHEET, "place", "row", "values", "more")
+
+
+def exported(cells: DataFrame, rows: DataFrame, most: int = CELLS) -> DataFrame:
+    """The first filled cells of a sheet's `rows_of` in order, as many as are exported, with cut: whether there are more."""
+    own = rows.select(*SHEET, "row", F.posexplode("values").alias("at", "value")).where("value <> ''").select(*SHEET, "row", (F.col("at") + 1).alias("col"), "value")
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy(*SHEET).orderBy("row", "col"))).where(F.col("n") <= most + 1)
+    cut = F.max("n").over(Window.partitionBy(*SHEET)) > most
+    return own.withColumn("cut", cut).where(F.col("n") <= most).drop("n")
+
+
+def in_ranges(cells: DataFrame, ranges: DataFrame, name: str, column: str) -> DataFrame:
+    """cells (book, sheet, row, col, ...) with `column`: `name` of the last range (book, sheet, at, r0, r1, c0, c1, name) that a cell is in; null in none.
+
+    Cells meet ranges by buckets of rows, so that a sheet with very many of either is spread.
+    """
+    each = F.explode(F.sequence(F.floor(F.col("r0") / BUCKET), F.floor(F.col("r1") / BUCKET)))
+    spans = ranges.select(*SHEET, "at", "r0", "r1", "c0", "c1", F.col(name).alias("_name"), each.alias("_bucket"))
+    own = cells.withColumn("_bucket", F.floor(F.col("row") / BUCKET))
+    met = own.select(*SHEET, "row", "col", "_bucket").join(spans, [*SHEET, "_bucket"]).where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
+    found = met.groupBy(*SHEET, "row", "col").agg(F.max_by("_name", "at").alias(column))
+    return cells.join(found, [*SHEET, "row", "col"], "left")
+
+
+def _filled(values: Column) -> Column:
+    return F.size(F.filter(values, lambda x: x != ""))
+
+
+def named(values: Column) -> Column:
+    """Header names of a row: blanks take their column's letters, and what was there before takes a number."""
+    plain = F.transform(values, lambda x, i: F.when(F.trim(x) != "", F.trim(x)).otherwise(letters(i + 1)))
+    before = lambda x, i: F.size(F.filter(F.slice(plain, 1, i + 1), lambda y: y == x))
+    return F.transform(plain, lambda x, i: F.when(before(x, i) > 1, F.concat(x, F.lit("_"), before(x, i).cast("string"))).otherwise(x))
+
+
+def headed(rows: DataFrame, by: list[str] = SHEET) -> DataFrame:
+    """rows with headers (null without): the names of the first of ten rows with two values or more; head: the place of the first row that says the
+    same as far as it goes, else the first; total and width of the sheet."""
+    early = (F.col("place") <= 10) & (_filled(F.col("values")) >= 2)
+    found = rows.groupBy(*by).agg(F.min_by(F.when(early, F.col("values")), F.when(early, F.col("place"))).alias("first"), F.count("*").alias("total"), F.max(F.size("values")).alias("width"))
+    own = rows.join(found.withColumn("headers", named(F.col("first"))).drop("first"), by)
+    said = F.transform(F.slice("values", 1, F.size("headers")), lambda x: F.trim(x))
+    same = F.col("headers").isNotNull() & (said == F.slice("headers", 1, F.size(said)))
+    head = F.min(F.when(F.col("same"), F.col("place"))).over(Window.partitionBy(*by))
+    return own.withColumn("same", same).withColumn("head", F.when(F.col("headers").isNotNull(), F.coalesce(head, F.lit(1))))
+
+
+def _line(headers: Column, values: Column) -> Column:
+    """`name: value` of the filled cells; beyond the headers a cell's column is its name."""
+    part = lambda v, i: F.when(v != "", F.concat(F.coalesce(F.get(headers, i), letters(i + 1)), F.lit(": "), v))
+    return F.array_join(F.array_compact(F.transform(values, part)), " | ")
 
 
-def headers(rows: DataFrame) -> DataFrame:
-    """book, sheet, headers: the first row of a sheet, if it has two values or more that are filled, differ, and none of which is a number."""
-    first = rows.groupBy("book", "sheet").agg(F.min_by("values", "row").alias("h"), F.min("row").alias("row"))
-    names = F.filter("h", lambda x: x != "")
-    good = (F.size(names) >= 2) & (F.size(F.array_distinct(names)) == F.size("h")) & ~F.exists(names, lambda x: x.rlike(r"^-?[0-9.,]+%?$"))
-    return first.where(good).select("book", "sheet", F.col("h").alias("headers"), F.col("row").alias("header_row"))
+def _text(sheet: Column, cells: Column, rows: Column, headers: Column) -> Column:
+    """A text of rows (an array of place, values, same): sheet, range, and a line for each row after that of the headers."""
+    named_at = F.coalesce(F.array_min(F.transform(F.filter(rows, lambda r: r.same), lambda r: r.place)), F.array_min(F.transform(rows, lambda r: r.place)))
+    body = F.when(headers.isNotNull(), F.filter(rows, lambda r: r.place > named_at)).otherwise(rows)
+    lines = F.filter(F.transform(body, lambda r: _line(headers, r["values"])), lambda x: x != "")
+    top = F.array(F.concat(F.lit("[Sheet: "), sheet, F.lit("]")), F.concat(F.lit("[Range: "), cells, F.lit("]")))
+    return limited(F.trim(F.array_join(F.concat(top, lines), "\n")))
 
 
 def row_groups(rows: DataFrame, size: int = GROUP) -> DataFrame:
-    """book, sheet, part, cells, text: groups of rows with their range and a text of labelled values."""
-    place = F.row_number().over(Window.partitionBy("book", "sheet").orderBy("row"))
-    body = rows.join(headers(rows), ["book", "sheet"], "left").where(F.coalesce(F.col("row") != F.col("header_row"), F.lit(True)))
-    named = F.when(F.col("headers").isNotNull(), F.array_join(F.zip_with("headers", "values", lambda h, v: F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.coalesce(h, F.lit("")), F.lit(": "), v))), "; ")).otherwise(F.array_join(F.filter("values", lambda v: v != ""), " | "))
-    body = body.select("book", "sheet", "row", "from", "to", named.alias("line"), F.floor((place - 1) / size).alias("part"))
-    cells = F.concat(letters(F.min("from")), F.min("row").cast("string"), F.lit(":"), letters(F.max("to")), F.max("row").cast("string"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x.line), "\n")  # size rows at most
-    return body.groupBy("book", "sheet", "part").agg(cells.alias("cells"), text.alias("text"))
-
-
-def markdown(rows: DataFrame, most: int = GROUP) -> DataFrame:
-    """book, sheet, table: the first rows as a table of bars."""
-    place = F.row_number().over(Window.partitionBy("book", "sheet").orderBy("row"))
-    bar = F.concat(F.lit("| "), F.array_join("values", " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.transform("values", lambda _: F.lit("---")), " | "), F.lit(" |"))
-    top = rows.withColumn("n", place).where(F.col("n") <= most).select("book", "sheet", "n", F.when(F.col("n") == 1, F.concat(bar, F.lit("\n"), rule)).otherwise(bar).alias("line"))
-    return top.groupBy("book", "sheet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line), "\n").alias("table"))
+    """book, sheet, part, cells, row_start, row_end, text: groups of a sheet's rows after its headers, none of a sheet that one group and its headers hold."""
+    own = headed(rows).where(F.col("total") > size + 1)
+    first = own.where("place = head").select(*SHEET, F.struct("place", "values", "same").alias("top"))
+    body = own.where(F.col("head").isNull() | (F.col("place") > F.col("head")))
+    body = body.withColumn("part", F.floor((F.col("place") - F.coalesce("head", F.lit(0)) - 1) / size))
+    held = F.array_sort(F.collect_list(F.struct("place", "values", "same")))  # size rows
+    groups = body.groupBy(*SHEET, "part").agg(F.first("headers").alias("headers"), F.min("row").alias("row_start"), F.max("row").alias("row_end"), held.alias("held"))
+    groups = groups.join(first, SHEET, "left")
+    shown = F.when(F.col("top").isNotNull(), F.concat(F.array("top"), F.col("held"))).otherwise(F.col("held"))
+    end = F.greatest(F.lit(1), F.array_max(F.transform("shown", lambda r: F.size(r["values"]))))
+    groups = groups.withColumn("shown", shown).withColumn("cells", cell_range(F.col("row_start"), F.col("row_end"), end))
+    return groups.select(*SHEET, "part", "cells", "row_start", "row_end", _text(F.col("sheet"), F.col("cells"), F.col("shown"), F.col("headers")).alias("text"))
+
+
+def _bar(values: Column) -> Column:
+    clean = F.transform(values, lambda x: F.replace(x, F.lit("|"), F.lit("\\|")))
+    return F.concat(F.lit("| "), F.array_join(clean, " | "), F.lit(" |"))
+
+
+def _bars(rows: Column, headers: Column, width: Column, most: int) -> Column:
+    """A table of bars: names, a rule, and the first rows after the headers, each as wide as the names."""
+    names = F.coalesce(headers, F.transform(F.sequence(F.lit(1), width), letters))
+    named_at = F.coalesce(F.array_min(F.transform(F.filter(rows, lambda r: r.same), lambda r: r.place)), F.array_min(F.transform(rows, lambda r: r.place)))
+    body = F.slice(F.when(headers.isNotNull(), F.filter(rows, lambda r: r.place > named_at)).otherwise(rows), 1, most)
+    padded = lambda v: F.slice(F.concat(v, F.array_repeat(F.lit(""), F.size(names))), 1, F.size(names))
+    return F.array_join(F.concat(F.array(_bar(names), _bar(F.transform(names, lambda _: F.lit("---")))), F.transform(body, lambda r: _bar(padded(r["values"])))), "\n")
+
+
+def markdown(rows: DataFrame, most: int = SHOWN) -> DataFrame:
+    """book, sheet, table: a sheet's headers and first rows as a table of bars."""
+    own = headed(rows).where((F.col("place") <= most + 1) | (F.col("place") <= F.col("head") + most))
+    held = F.array_sort(F.collect_list(F.struct("place", "values", "same")))
+    own = own.groupBy(*SHEET).agg(F.first("headers").alias("headers"), F.max("width").alias("width"), held.alias("held"))
+    return own.select(*SHEET, limited(_bars(F.col("held"), F.col("headers"), F.col("width"), most)).alias("table"))
+
+
+def tables(rows: DataFrame, ranges: DataFrame, most: int = SHOWN) -> DataFrame:
+    """book, sheet, table_id, kind, cells, header_cells, data_cells, headers, table, text: a row for each range (book, sheet, at, table_id, r0, r1, c0, c1) with what it
+    holds of rows_of, and one for a small sheet with headers and no range. A range without headers of its own takes the sheet's."""
+    each = F.explode(F.sequence(F.floor(F.col("r0") / BUCKET), F.floor(F.col("r1") / BUCKET)))
+    sheets = headed(rows)
+    names = sheets.where("place = 1").select(*SHEET, F.col("headers").alias("sheet_headers"))
+    spans = ranges.select(*SHEET, "at", "table_id", "r0", "r1", "c0", "c1", each.alias("_bucket"))
+    part = F.slice("values", F.col("c0"), F.col("c1") - F.col("c0") + 1)
+    inside = rows.withColumn("_bucket", F.floor(F.col("row") / BUCKET)).join(spans, [*SHEET, "_bucket"]).where(F.col("row").between(F.col("r0"), F.col("r1")))
+    inside = inside.select(*SHEET, "at", "place", "row", part.alias("values")).where(_filled(F.col("values")) > 0)
+    key = [*SHEET, "at"]
+    inside = inside.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("place")))
+    held = F.array_sort(F.collect_list(F.struct("place", "values", "same")))
+    own = headed(inside, key).groupBy(*key).agg(F.first("headers").alias("headers"), F.max("width").alias("width"), held.alias("held"))
+    given = ranges.join(own, key, "left").join(names, SHEET, "left")
+    lent = F.col("headers").isNull() & F.col("sheet_headers").isNotNull()
+    said = lambda r: F.transform(F.slice(r["values"], 1, F.size("sheet_headers")), lambda x: F.trim(x))
+    again = F.transform("held", lambda r: F.struct(r.place, r["values"], (said(r) == F.slice("sheet_headers", 1, F.size(said(r)))).alias("same")))
+    given = given.withColumn("held", F.when(lent, again).otherwise(F.col("held"))).withColumn("headers", F.coalesce("headers", "sheet_headers"))
+    empty = F.array().cast("array<struct<place:int,values:array<string>,same:boolean>>")
+    given = given.select(*SHEET, "table_id", F.lit("named").alias("kind"), "r0", "r1", "c0", "c1", "headers", "width", F.coalesce("held", empty).alias("held"))
+    small = sheets.where(F.col("headers").isNotNull() & (F.col("total") > 1) & (F.col("total") * F.col("width") <= SMALL)).join(ranges.select(*SHEET).distinct(), SHEET, "left_anti")
+    found = small.groupBy(*SHEET).agg(F.lit(1).alias("r0"), F.max("row").cast("int").alias("r1"), F.lit(1).alias("c0"), F.max("width").alias("c1"), F.first("headers").alias("headers"), F.max("width").alias("width"), held.alias("held"))
+    found = found.select(*SHEET, F.lit("DetectedTable1").alias("table_id"), F.lit("detected").alias("kind"), "r0", "r1", "c0", "c1", "headers", "width", "held")
+    out = given.unionByName(found)
+    cells = cell_range(F.col("r0"), F.col("r1"), F.col("c1"), F.col("c0"))
+    top, data = cell_range(F.col("r0"), F.col("r0"), F.col("c1"), F.col("c0")), cell_range(F.least(F.col("r0") + 1, F.col("r1")), F.col("r1"), F.col("c1"), F.col("c0"))
+    bars = F.when(F.size("held") == 0, "").otherwise(limited(_bars(F.col("held"), F.col("headers"), F.col("width"), most)))
+    return out.withColumn("cells", cells).select(*SHEET, "table_id", "kind", "cells", top.alias("header_cells"), data.alias("data_cells"), "headers", bars.alias("table"), _text(F.col("sheet"), F.col("cells"), F.col("held"), F.col("headers")).alias("text"))
 
 
 def sheet_units(rows: DataFrame) -> DataFrame:

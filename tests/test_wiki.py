@@ -28,9 +28,51 @@ def test_shown_values(spark):
     assert [r.s for r in got] == ["12%", "12.5%", "1,234.50", "2", "2.5", "", "1234.57"]
 
 
+CELLS = "book string, sheet string, row int, col int, value string, hidden boolean"
+
+
+def sheet(name, rows, hidden=()):
+    return [("b", name, r, c, v, (r, c) in hidden) for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1)]
+
+
+def test_rows_keep_hidden_places(spark):
+    rows = S.rows_of(spark.createDataFrame(sheet("s", [["a", "b", "c"], ["", "", ""], ["pen", "x", "7", ""]], {(3, 2)}) + [("b", "s", 9, 1, "gone", True)], CELLS))
+    assert [(r.place, r.row, r["values"]) for r in rows.orderBy("place").collect()] == [(1, 1, ["a", "b", "c"]), (2, 3, ["pen", "", "7"])]
+    own = spark.createDataFrame(sheet("s", [[str(i)] for i in range(5)]), CELLS)
+    cut = S.rows_of(own, most=3)
+    assert [(r.row, r.more) for r in cut.orderBy("row").collect()] == [(1, True), (2, True), (3, True)]
+    assert [(r.row, r.cut) for r in S.exported(own, S.rows_of(own), most=4).orderBy("row").collect()] == [(i, True) for i in (1, 2, 3, 4)]
+
+
 def test_headers_name_the_values(spark):
-    cells = [("b", "s", 1, 1, "name", False), ("b", "s", 1, 2, "age", False), ("b", "s", 2, 1, "ann", False), ("b", "s", 2, 2, "7", False), ("b", "s", 3, 1, "bob", False), ("b", "s", 3, 2, "", False), ("b", "s", 4, 1, "gone", True), ("b", "t", 1, 1, "1", False), ("b", "t", 1, 2, "2", False)]
-    rows = S.rows_of(spark.createDataFrame(cells, "book string, sheet string, row int, col int, value string, hidden boolean"))
-    got = {(r.sheet, r.cells): r.text for r in S.row_groups(rows).collect()}
-    assert got == {("s", "A2:B3"): "name: ann; age: 7\nname: bob", ("t", "A1:B1"): "1 | 2"}
+    title = [["Report"], ["name", "", "name"]] + [[f"n{i}", str(i), "" if i % 2 else "z"] for i in range(60)]
+    small = sheet("t", [["k", "v"], ["1", "2"]])
+    rows = S.rows_of(spark.createDataFrame(sheet("s", title) + small, CELLS))
+    got = {(r.sheet, r.part, r.cells): r.text for r in S.row_groups(rows).collect()}
+    # The headers' own row has a blank and a repeat, so that it is not found again and the first row counts as theirs.
+    assert sorted(got) == [("s", 0, "A2:C51"), ("s", 1, "A52:C62")]
+    assert got["s", 1, "A52:C62"].split("\n")[:4] == ["[Sheet: s]", "[Range: A52:C62]", "name: n49 | B: 49", "name: n50 | B: 50 | name_2: z"]
+    assert got["s", 0, "A2:C51"].split("\n")[2:4] == ["name: name | name_2: name", "name: n0 | B: 0 | name_2: z"]
+    plain = [["name", "age"]] + [[f"n{i}", str(i), "extra"] for i in range(51)]
+    got = S.row_groups(S.rows_of(spark.createDataFrame(sheet("p", plain), CELLS))).orderBy("part").collect()
+    assert [(r.part, r.cells) for r in got] == [(0, "A2:C51"), (1, "A52:C52")] and got[1].text == "[Sheet: p]\n[Range: A52:C52]\nname: n50 | age: 50 | C: extra"
     assert spark.range(1).select(S.letters(F.lit(1)), S.letters(F.lit(26)), S.letters(F.lit(27)), S.letters(F.lit(80))).first()[:] == ("A", "Z", "AA", "CB")
+
+
+def test_tables_of_ranges_and_of_small_sheets(spark):
+    rows = S.rows_of(spark.createDataFrame(sheet("s", [["k", "v"], ["a|b", "1"], ["c", "2"], ["", "x", "y"], ["", "z", "w"]]) + sheet("t", [["k", "v"], ["1", "2"]]) + sheet("u", [["one"], ["two"]]), CELLS))
+    ranges = [("b", "s", 0, "T", 1, 3, 1, 2), ("b", "s", 1, "U", 4, 5, 2, 3), ("b", "s", 2, "E", 50, 60, 1, 1)]
+    out = {(r.sheet, r.table_id): r for r in S.tables(rows, spark.createDataFrame(ranges, "book string, sheet string, at int, table_id string, r0 int, r1 int, c0 int, c1 int")).collect()}
+    assert set(out) == {("s", "T"), ("s", "U"), ("s", "E"), ("t", "DetectedTable1")}
+    assert out["s", "T"].table == "| k | v |\n| --- | --- |\n| a\\|b | 1 |\n| c | 2 |" and out["s", "T"].text == "[Sheet: s]\n[Range: A1:B3]\nk: a|b | v: 1\nk: c | v: 2"
+    assert (out["s", "T"].header_cells, out["s", "T"].data_cells) == ("A1:B1", "A2:B3")
+    assert out["s", "U"].headers == ["x", "y"] and out["s", "U"].text.endswith("x: z | y: w") and out["s", "U"].cells == "B4:C5"
+    assert out["s", "E"].headers == ["k", "v"] and out["s", "E"].table == "" and out["s", "E"].text == "[Sheet: s]\n[Range: A50:A60]"
+    assert out["t", "DetectedTable1"].kind == "detected" and out["t", "DetectedTable1"].cells == "A1:B2"
+
+
+def test_cells_meet_the_last_range(spark):
+    cells = spark.createDataFrame([("b", "s", r, c) for r in (1, 64, 65, 200) for c in (1, 2)], "book string, sheet string, row int, col int")
+    ranges = spark.createDataFrame([("b", "s", 0, "A1:B64", 1, 64, 1, 2), ("b", "s", 1, "B60:B300", 60, 300, 2, 2)], "book string, sheet string, at int, name string, r0 int, r1 int, c0 int, c1 int")
+    got = {(r.row, r.col): r.merged for r in S.in_ranges(cells, ranges, "name", "merged").collect()}
+    assert got == {(1, 1): "A1:B64", (1, 2): "A1:B64", (64, 1): "A1:B64", (64, 2): "B60:B300", (65, 1): None, (65, 2): "B60:B300", (200, 1): None, (200, 2): "B60:B300"}
