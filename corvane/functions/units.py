@@ -109,6 +109,22 @@ def resolved_title(variant: str, page_title: Column, retrieval_title: Column) ->
     return page if variant == "title_section" else F.coalesce(filled(retrieval_title), page)
 
 
+#: Fixed: labels of a text that is embedded in production.
+LABELS = ("제목", "섹션", "섹션타입", "본문")
+
+
+def production_text(variant: str, page_title: Column, retrieval_title: Column, path: Column, kind: Column, body: Column) -> Column:
+    """The text that is embedded, of title_section or retrieval_title_section: labelled lines of what is filled, then the body."""
+    if variant not in ("title_section", "retrieval_title_section"):
+        raise ValueError(f"no such variant: {variant}")
+    trimmed = lambda c: filled(F.trim(c))
+    section = F.array_join(F.filter(F.coalesce(path, F.array().cast("array<string>")), lambda x: F.trim(x) != ""), " > ")
+    title = resolved_title(variant, F.trim(page_title), F.trim(retrieval_title))
+    line = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    head = filled(F.concat_ws("\n", line(LABELS[0], filled(title)), line(LABELS[1], filled(section)), line(LABELS[2], trimmed(kind))))
+    return F.concat_ws("\n\n", head, F.concat(F.lit(f"{LABELS[3]}:\n"), trimmed(body)))
+
+
 def passage(form: str, text: Column, title: Column, section: Column) -> Column:
     """What a reranker reads."""
     body = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+", "")

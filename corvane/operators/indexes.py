@@ -60,33 +60,53 @@ def stage(vectors: DataFrame, folder: str, version: str) -> str:
 
 
 def serve(spark: SparkSession, folder: str, staged: str, version: str, model: str) -> None:
-    """Names the staged folder as what is served. The manifest is one row, and a reader takes the last one written whole."""
-    one = spark.createDataFrame([(version, staged, model, json.dumps({"index_version": version, "embedding_model": model}))], "version string, path string, model string, manifest string")
-    one.withColumn("n", F.lit(manifests(spark, folder).count())).coalesce(1).write.mode("append").parquet(f"{folder}/manifests")
-
-
-def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    schema = "version string, path string, model string, manifest string, n long"
-    try:
-        return spark.read.schema(schema).parquet(f"{folder}/manifests")
-    except Exception as error:  # a folder that isn't there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return spark.createDataFrame([], schema)
+    """Names the staged folder as what is served, in a file of the next number that no one else has made: two callers never share one, the greater number counts."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(f"{folder}/manifests")
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    body = json.dumps({"path": staged, "manifest": {"index_version": version, "embedding_model": model}}).encode()
+    n = max(_numbers(spark, folder), default=-1) + 1
+    while True:
+        try:
+            out = store.create(path(root, f"{n:012d}.json"), False)
+        except Exception as error:  # made by another caller meanwhile
+            if "FileAlreadyExists" not in str(error):
+                raise
+            n += 1
+            continue
+        out.write(body)
+        out.close()
+        return
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifests")
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in store.listStatus(root)] if store.exists(root) else []
+    return [int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()]
+
+
+def _served(spark: SparkSession, folder: str) -> dict | None:
+    """The last manifest that is whole: one that is being written, or whose writer was lost, is passed over."""
+    for n in sorted(_numbers(spark, folder), reverse=True):
+        text = "\n".join(r.value for r in spark.read.text(f"{folder}/manifests/{n:012d}.json").collect())
+        if text.endswith("}}"):
+            return json.loads(text)
+    return None
 
 
 def manifest(spark: SparkSession, folder: str) -> dict | None:
     """What is served; None before anything is."""
-    row = manifests(spark, folder).orderBy(F.desc("n")).first()
-    return json.loads(row.manifest) if row else None
+    found = _served(spark, folder)
+    return found["manifest"] if found else None
 
 
 def loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The vectors that are served; an error before any are."""
-    row = manifests(spark, folder).orderBy(F.desc("n")).first()
-    if row is None:
+    found = _served(spark, folder)
+    if found is None:
         raise FileNotFoundError(f"no index in {folder}")
-    return spark.read.parquet(row.path)
+    return spark.read.parquet(found["path"])
 
 
 def lookup(chunks: DataFrame, hits: DataFrame, version: str) -> DataFrame:

@@ -68,7 +68,12 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | No
 
 
 def lexical_tiers(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """query_id, doc_id, tier, rank: documents that have the phrase (tier 0 at the start, 1 elsewhere), then all of its terms (tier 2).
+    """The first documents of `lexical_matches` for each query, with their rank."""
+    return ranked(lexical_matches(docs, queries), "query_id", "tier", "doc_id", k=limit)
+
+
+def lexical_matches(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, doc_id, tier: documents that have the phrase (tier 0 at the start, 1 elsewhere), then all of its terms (tier 2).
 
     Terms are looked for within words, so no index of words finds them: a stated set of queries meets all rows in blocks of `PHRASES`
     queries, which bounds what is broadcast.
@@ -84,7 +89,7 @@ def lexical_tiers(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataF
         tier = F.when(F.col("text").startswith(F.col("query")), 0).when(F.contains("text", F.col("query")), 1).otherwise(2)
         part = joined.select("query_id", "doc_id", tier.alias("tier"))
         out = part if out is None else out.unionByName(part)
-    return ranked(out, "query_id", "tier", "doc_id", k=limit)
+    return out
 
 
 def allowed(docs: DataFrame, filters: dict[str, str], known: tuple[str, ...] = ("lang", "source")) -> DataFrame:

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.operators import ranking
+from corvane.operators.gold import begins, page_hit
+from corvane.operators.retrieval import ranked
 from corvane.operators.decisions import first_rule
+from corvane.plans.gold import WANTED, wanted
 from corvane.plans.registry import neighbours_sql, query
 from corvane.plans.search import neighbours
 from corvane.sources.tables import table
@@ -54,9 +57,20 @@ def pool_variants(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("SELECT row_number() OVER (ORDER BY b, k, w) AS config, b AS bonus, k AS candidate_k, w AS weight FROM (SELECT unnest([0.0, 0.02, 0.05]) AS b), (SELECT unnest([20, 40]) AS k), (SELECT unnest([0.6, 0.7]) AS w)")
+BONUSES = (0.0, 0.02, 0.05, 0.1)
+
+
+@query(f"""WITH {WANTED}, b AS (SELECT unnest({list(BONUSES)})::DOUBLE AS bonus),
+v AS (SELECT bonus, query_id, page_id, path, wanted_page, wanted_path, row_number() OVER (PARTITION BY bonus, query_id ORDER BY round(score + CASE WHEN len(wanted_path) > 0 AND path[1:len(wanted_path)] = wanted_path THEN bonus ELSE 0 END, 9) DESC, rank) AS n FROM g, b),
+q AS (SELECT bonus, query_id, bool_or(coalesce(page_id = wanted_page AND path[1:len(wanted_path)] = wanted_path, false)) AS hit FROM v WHERE n <= 3 AND len(wanted_path) > 0 GROUP BY ALL)
+SELECT 'section_bonus_' || lpad(round(bonus * 100)::INT::VARCHAR, 3, '0') AS name, bonus, count(*) AS queries, round(avg(hit::INT), 6) AS section_hit FROM q GROUP BY bonus""")
 def section_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The grid of a section study, twelve rows by contract."""
-    each = lambda xs, name: F.explode(F.array(*map(F.lit, xs))).alias(name)
-    grid = spark.range(1).select(each((0.0, 0.02, 0.05), "bonus")).select("bonus", each((20, 40), "candidate_k")).select("bonus", "candidate_k", each((0.6, 0.7), "weight"))
-    return grid.withColumn("config", F.row_number().over(Window.orderBy("bonus", "candidate_k", "weight")))
+    """The grid of a section study run over nearest neighbours: what a bonus for the wanted section does to hits among the first three."""
+    pool = wanted(spark, sf)
+    met = (F.size("wanted_path") > 0) & begins(F.col("path"), F.col("wanted_path"))
+    each = pool.select("*", F.explode(F.array(*map(F.lit, BONUSES))).alias("bonus"))
+    top = ranked(each.withColumnRenamed("rank", "pos").withColumn("value", F.round(F.col("score") + F.when(met, F.col("bonus")).otherwise(0.0), 9)), ["bonus", "query_id"], F.desc("value"), "pos", k=3)
+    hit = page_hit(F.col("wanted_page").cast("string"), F.col("page_id").cast("string")) & met
+    own = top.where(F.size("wanted_path") > 0).groupBy("bonus", "query_id").agg(F.bool_or(hit).alias("hit"))
+    name = F.concat(F.lit("section_bonus_"), F.lpad(F.round(F.col("bonus") * 100).cast("int").cast("string"), 3, "0"))
+    return own.groupBy("bonus").agg(F.count("*").alias("queries"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("section_hit")).select(name.alias("name"), "bonus", "queries", "section_hit")

@@ -70,7 +70,7 @@ def lexical_tiered_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {LEXICAL} SELECT query_id, count(*) AS n_docs, count(*) FILTER (WHERE tier < 2) AS n_phrase FROM m GROUP BY query_id""")
 def lexical_all_terms(spark: SparkSession, sf: str) -> DataFrame:
-    out = retrieval.lexical_tiers(table(spark, sf, "documents"), phrases(spark, sf), 1 << 30)
+    out = retrieval.lexical_matches(table(spark, sf, "documents"), phrases(spark, sf))
     return out.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.count_if(F.col("tier") < 2).alias("n_phrase"))
 
 

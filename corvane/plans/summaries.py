@@ -55,14 +55,14 @@ def row_qualities(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("conv_id", "turn", quality.alias("quality"))
 
 
-@query("""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding[1:4], lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 20 = 0),
-p AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i < b.i WHERE round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) >= 0.8),
+@query("""WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i < b.i WHERE round(list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))), 9) >= 0.92),
 w AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT v.i, CASE WHEN len(list_intersect(w.kept, coalesce((SELECT list(a) FROM p WHERE b = v.i), []))) = 0 THEN list_append(w.kept, v.i) ELSE w.kept END FROM w JOIN v ON v.i = w.i + 1)
 SELECT vec_id FROM v WHERE list_contains((SELECT kept FROM w ORDER BY i DESC LIMIT 1), i)""")
 def greedy_distinct_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The queries that stay when each in order goes for a similar one before it, by the first four components."""
-    own = questions(spark, sf).select(F.col("query_id").alias("id"), F.slice("vector", 1, 4).alias("vector"))
-    return samples.greedily_kept(own.select("id"), samples.similar_pairs(own, 0.8)).select(F.col("id").alias("vec_id"))
+    """The queries that stay when each in order goes for one before it whose cosine with it is 0.92 or more."""
+    own = questions(spark, sf).select(F.col("query_id").alias("id"), "vector")
+    return samples.greedily_kept(own.select("id"), samples.similar_pairs(own, 0.92)).select(F.col("id").alias("vec_id"))
 
 
 @query(f"""WITH {CAND}, {SIZES}, {metrics_sql('h', 'm')}, t AS (SELECT m.*, ['fact', 'list', NULL][query_id // 20 % 3 + 1] AS kind FROM m) SELECT coalesce(kind, 'unknown') AS kind, count(*) AS n, round(avg(hit_1), 6) AS hit_1, round(avg(hit_5), 6) AS hit_5, round(avg(mrr_10), 6) AS mrr_10, round(avg(hit_10 - hit_1), 6) AS uplift FROM t GROUP BY 1""")

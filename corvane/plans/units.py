@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions import text as T
 from corvane.functions import units as U
 from corvane.plans.registry import query
+from corvane.plans.search import TOKENS
 from corvane.sources.tables import table
 
 ROLES, CANON = ("workbook", "sheet", "table", "chunk", "document", "page", "block", "other"), ("DOCUMENT", "PAGE", "SECTION", "TABLE", "IMAGE", "CHUNK")
@@ -87,3 +89,25 @@ def multimodal_fusion(spark: SparkSession, sf: str) -> DataFrame:
     o, seen = F.when(F.col("turn") % 3 != 0, F.col("text")), F.when(F.col("turn") % 2 == 0, "a cat")
     fused = U.fused_context(q, o, F.array(F.coalesce(seen, F.lit(""))))
     return table(spark, sf, "conversations").select("conv_id", "turn", F.md5(U.retrieval_query(q, o, seen).cast("binary")).alias("query"), F.md5(fused.cast("binary")).alias("context"))
+
+
+VARIANTS = ("raw", "title", "section", "title_section", "keyword", "all")
+
+
+@query(rf"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS body, lang, source, list_slice({TOKENS.format("text")}, 1, 3) AS w FROM documents),
+k AS (SELECT *, array_to_string(w, ' ') AS title, CASE WHEN lang = 'en' THEN source || ' / ' || array_to_string(w, ' ') ELSE '' END AS other FROM t),
+d AS (SELECT doc_id, body, title, other, lang, source, CASE WHEN len(w) = 0 THEN NULL ELSE array_to_string(list_transform(list_filter(w, lambda x, i: NOT list_contains(list_transform(w[1:i - 1], lambda y: lower(y)), lower(x))), lambda x: x), ' ') END AS words FROM k),
+p AS (SELECT doc_id, 'production:title_section' AS variant, concat_ws(chr(10) || chr(10), concat_ws(chr(10), '제목: ' || nullif(title, ''), '섹션: ' || concat_ws(' > ', nullif(lang, ''), nullif(source, ''))), '본문:' || chr(10) || nullif(body, '')) AS x FROM d
+UNION ALL SELECT doc_id, 'production:retrieval_title_section', concat_ws(chr(10) || chr(10), concat_ws(chr(10), '제목: ' || nullif(coalesce(nullif(other, ''), title), ''), '섹션: ' || concat_ws(' > ', nullif(lang, ''), nullif(source, ''))), '본문:' || chr(10) || nullif(body, '')) FROM d
+UNION ALL SELECT doc_id, v, concat_ws(chr(10), CASE WHEN v IN ('title', 'title_section', 'all') THEN nullif(title, '') END, CASE WHEN v IN ('section', 'title_section', 'all') THEN nullif(source, '') END, CASE WHEN v IN ('keyword', 'all') THEN nullif(words, '') END, nullif(body, '')) FROM d, (SELECT unnest(['{"','".join(VARIANTS)}']) AS v))
+SELECT doc_id, variant, md5(x) AS digest FROM p""")
+def embedding_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's text as each variant embeds it, by digest: its first words are title and keywords, its language and source the section."""
+    words = F.slice(T.tokens(F.col("text")), 1, 3)
+    own = table(spark, sf, "documents").select("doc_id", F.trim(F.coalesce("text", F.lit(""))).alias("body"), "lang", "source", words.alias("words")).withColumn("title", F.array_join("words", " "))
+    other = F.when(F.col("lang") == "en", F.concat("source", F.lit(" / "), "title")).otherwise("")
+    path = F.array_compact(F.array("lang", "source"))
+    texts = {f"production:{v}": U.production_text(v, F.col("title"), other, path, F.lit(""), F.col("body")) for v in ("title_section", "retrieval_title_section")}
+    texts |= {v: U.prefix_text(v, F.col("title"), F.col("source"), F.col("words"), F.col("body")) for v in VARIANTS}
+    each = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.md5(x.cast("binary")).alias("digest")) for v, x in texts.items()])).alias("x")
+    return own.select("doc_id", each).select("doc_id", "x.*")
