@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import golden
+from corvane.operators import gate, golden
 from corvane.operators.retrieval import ranked
 from corvane.plans.registry import query
+from corvane.sources import scratch
 from corvane.sources.tables import table
 
 ROWS = """WITH l AS (SELECT l_orderkey AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rank, l_returnflag AS f, l_linestatus AS s, year(l_shipdate) AS t,
@@ -86,3 +87,28 @@ def gold_metrics(spark: SparkSession, sf: str) -> DataFrame:
 def location_failures(spark: SparkSession, sf: str) -> DataFrame:
     """Why rows failed, by bucket and for all rows (a null bucket)."""
     return golden.reasons(evaluated(spark, sf))
+
+
+#: The gold rows' metrics under the gate's names, by bucket as an index version, all rows' as the baseline; some are missing.
+GATED = f"""{ROWS}, t AS (SELECT coalesce(bucket, 'all') AS v, {_share("hit_rank <= 10")} AS hit, round(coalesce(avg(coalesce(1.0::DOUBLE / hit_rank, 0)) FILTER (WHERE live), 0), 4) AS mrr, {_share("location_rank IS NOT NULL")} AS cited,
+  {_share("location_rank IS NOT NULL", "kind = 'xlsx'")} AS sheets, {_share("location_rank IS NOT NULL", "kind = 'pdf'")} AS pages, count(*) FILTER (WHERE leak AND NOT bad) AS leaks, coalesce(sum(filtered) FILTER (WHERE NOT bad), 0) AS filtered, count(*) FILTER (WHERE reason = 'candidate_index_mismatch') AS other FROM x GROUP BY ROLLUP (bucket)),
+m AS (SELECT v, unnest(['Hit@10', 'mrr_at_10', 'citation_location_accuracy', 'xlsx_citation_location_accuracy', 'pdf_citation_location_accuracy', 'hidden_content_leakage_count', 'indexing_filtered_hit_count', 'candidate_index_mismatch_count', 'fatal_warning_count']) AS name, unnest([hit, mrr, cited, sheets, pages, leaks, filtered, other, 0]::DOUBLE[]) AS value FROM t)"""
+
+
+@query(f"""WITH {GATED.removeprefix('WITH ')}, mb AS (SELECT name, value FROM m WHERE v = 'all'), ch AS (FROM (VALUES {", ".join(f"({i}, '{n}', '{o}', '{k}', {x}::DOUBLE)" for i, (n, o, k, x) in enumerate(gate.CHECKS, 1))}) r(place, name, other, kind, least)),
+ev AS (SELECT k.v, place, ch.name, kind, least, coalesce(p.value, q.value) AS value, coalesce(pb.value, qb.value) AS base FROM (SELECT DISTINCT v FROM m WHERE v <> 'all') k CROSS JOIN ch LEFT JOIN m p ON p.v = k.v AND p.name = ch.name LEFT JOIN m q ON q.v = k.v AND q.name = ch.other LEFT JOIN mb pb ON pb.name = ch.name LEFT JOIN mb qb ON qb.name = ch.other),
+w AS (SELECT v, place, CASE kind WHEN 'ocr' THEN NULL WHEN 'version' THEN CASE WHEN v <> '1-URGENT' THEN 'required_index_version must match promoted index_version' END WHEN 'filtered' THEN NULL WHEN 'status' THEN 'required_embedding_status must be EMBEDDED'
+  ELSE CASE WHEN value IS NULL THEN name || ' is required' WHEN kind = 'delta' AND value < base + least THEN name || ' must be >= baseline - ' || printf('%.2f', abs(least)) || ' (' || printf('%.3f', base + least) || ')' WHEN kind = 'min' AND value < least THEN name || ' must be >= ' || printf('%.2f', least)
+    WHEN kind = 'max' AND value > least THEN name || ' must be <= ' || printf('%.2f', least) WHEN kind = 'exact' AND value::BIGINT <> least::BIGINT THEN name || ' must be ' || least::BIGINT END END AS reason FROM ev)
+SELECT v AS index_version, 'BLOCKED' AS decision, string_agg(reason, '; ' ORDER BY place) AS reasons FROM w GROUP BY v""")
+def gate_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Buckets of gold rows as index versions before the gate, beside all rows as their baseline."""
+    rows = scratch.written(evaluated(spark, sf))
+    sums = golden.metrics(rows).join(golden.reasons(rows).where("reason = 'candidate_index_mismatch'").select(F.col("bucket").alias("b"), F.col("n").alias("other")), F.col("bucket").eqNullSafe(F.col("b")), "left")
+    names = {"Hit@10": "hit_at_10", "mrr_at_10": "mrr_at_10", "citation_location_accuracy": "citation_location_accuracy", "xlsx_citation_location_accuracy": "xlsx_citation_location_accuracy", "pdf_citation_location_accuracy": "pdf_citation_location_accuracy", "hidden_content_leakage_count": "leaks", "indexing_filtered_hit_count": "filtered", "candidate_index_mismatch_count": "other"}
+    pairs = [F.struct(F.lit(k).alias("name"), F.coalesce(F.col(c), F.lit(0)).cast("double").alias("value"), F.lit(None).cast("string").alias("text")) for k, c in names.items()]
+    fixed = [("fatal_warning_count", 0.0, None), ("embedding_filtered_eval", None, "true"), ("required_embedding_status", None, "pending"), ("required_index_version", None, "1-URGENT")]
+    pairs += [F.struct(F.lit(k).alias("name"), F.lit(v).cast("double").alias("value"), F.lit(t).cast("string").alias("text")) for k, v, t in fixed]
+    own = sums.select(F.col("bucket").alias("index_version"), F.explode(F.array(*pairs)).alias("x")).select("index_version", "x.*")
+    out = gate.decided(own.where("index_version is not null"), own.where("index_version is null").select("name", "value"))
+    return out.select("index_version", "decision", F.array_join("reasons", "; ").alias("reasons"))

@@ -87,3 +87,31 @@ def test_a_claim_visits_no_more_than_it_needs(spark):
     assert out == {(i, "skipped") for i in range(20)}  # twice the batch is looked at, and no stale claim as pending ones fill it
     out = {(r.id, r.result) for r in indexes.claimed(units(8, 4, 5), 1000, 100, batch=10).collect()}
     assert out == {(i, "skipped") for i in range(4)} | {(i, "claimed") for i in range(4, 8)} | {(1004, "claimed"), (1003, "claimed")}
+
+
+def test_gate_names_each_reason(spark, tmp_path):
+    from corvane.operators import gate
+    from corvane.sources import resumable
+
+    good = {name: 1.0 for name, _, kind, _ in gate.CHECKS if kind in ("min", "delta")} | {name: 0.0 for name, _, kind, _ in gate.CHECKS if kind in ("max", "exact")}
+    texts = {"embedding_filtered_eval": "true", "required_embedding_status": "embedded"}
+    rows = [("v1", k, v, None) for k, v in good.items()] + [("v1", k, None, t) for k, t in texts.items()] + [("v1", "required_index_version", None, "v1")]
+    bad = good | {"parser_success_rate": 0.9, "unsupported_file_rate": 0.2, "fatal_warning_count": 2.0, "Hit@10": 0.5, "ocr_used_count": 3.0}
+    del bad["MRR@10"]
+    rows += [("v2", k, v, None) for k, v in (bad | {"mrr_at_10": 1.0}).items()] + [("v2", k, None, t) for k, t in texts.items()]
+    kinds = "index_version string, name string, value double, text string"
+    base = spark.createDataFrame([("hit_at_10", 0.8), ("MRR@10", 0.8)], "name string, value double")
+    out = gate.decided(spark.createDataFrame(rows, kinds), base)
+    assert {r.index_version: (r.decision, r.reasons) for r in out.collect()} == {
+        "v1": ("PASSED", []),
+        "v2": ("BLOCKED", [
+            "parser_success_rate must be >= 0.95", "unsupported_file_rate must be <= 0.05", "OCR_confidence_avg is required when OCR-needed bucket is present", "Hit@10 must be >= baseline - 0.05 (0.750)",
+            "fatal_warning_count must be 0", "required_index_version is required for promotion",
+        ]),
+    }
+    snapshot = base.union(spark.createDataFrame([("_baseline_candidate_snapshot", 1.0)], "name string, value double"))
+    assert gate.decided(spark.createDataFrame(rows, kinds), snapshot).where("index_version = 'v1'").first().reasons == ["baseline report must be an immutable baseline, not a candidate snapshot"]
+    assert gate.decided(spark.createDataFrame(rows, kinds), base, parser_success_rate=0.5).where("index_version = 'v2'").first().reasons[0].startswith("unsupported")
+    path = f"{tmp_path}/results"
+    assert gate.persisted(out, path, "d") == 0 and gate.persisted(out, path, "d") == 2
+    assert resumable.committed(spark, path, "index_version string, decision string").count() == 2
