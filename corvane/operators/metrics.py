@@ -46,9 +46,3 @@ def quality(h1: Column, h5: Column, mrr: Column, ndcg: Column) -> Column:
 
 def efficiency(score: Column, p95: Column) -> Column:
     return F.when(p95 > 0, F.round(score / F.log1p(p95), 6))
-
-
-def rounded_index(values: Column, q: float) -> Column:
-    """The value at the rounded index of the sorted values, halves to even; values is an array."""
-    at = F.bround((F.size(values) - 1) * F.lit(q)).cast("int")
-    return F.element_at(F.array_sort(values), at + 1)

@@ -89,7 +89,7 @@ SELECT quality, round(quality / ln(1 + p95), 6) AS efficiency FROM s, l""")
 def quality_efficiency(spark: SparkSession, sf: str) -> DataFrame:
     own = measured(spark, sf).agg(*[F.avg(c).alias(c) for c in ("hit_1", "hit_5", "mrr_10", "ndcg")])
     own = own.select(metrics.quality(F.col("hit_1"), F.col("hit_5"), F.col("mrr_10"), F.col("ndcg")).alias("quality"))
-    late = table(spark, sf, "events").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    late = quantiles.nearest_ranks(table(spark, sf, "events").select(F.lit(0).alias("all"), "value"), "all", "value", {"p95": 0.95}).select("p95")
     return own.crossJoin(F.broadcast(late)).select("quality", metrics.efficiency(F.col("quality"), F.col("p95")).alias("efficiency"))  # one row each
 
 
@@ -195,7 +195,8 @@ def recovery_classification(spark: SparkSession, sf: str) -> DataFrame:
 def recovered_at_k(spark: SparkSession, sf: str) -> DataFrame:
     own = recoveries(spark, sf).withColumn("k", F.explode(F.array(F.lit(1), F.lit(3), F.lit(5))))
     missed = F.coalesce(F.col("before") > F.col("k"), F.lit(True))
-    return own.groupBy("k").agg(F.count_if(missed & (F.col("after") <= F.col("k"))).alias("num"), F.count_if(missed).alias("denom"), F.round(F.avg("delta"), 6).alias("mean_delta"), F.median("delta").alias("median_delta"))
+    sums = own.groupBy("k").agg(F.count_if(missed & (F.col("after") <= F.col("k"))).alias("num"), F.count_if(missed).alias("denom"), F.round(F.avg("delta"), 6).alias("mean_delta"))
+    return sums.join(quantiles.linear(own, ["k"], "delta", {"median_delta": 0.5}), "k", "left")
 
 
 @query(f"""WITH {CAND}, {SIZES}, {metrics_sql('h', 'm')}, w AS (SELECT m.*, 1.0::DOUBLE + q.label % 3 AS weight, q.label % 2 AS grp, q.label % 3 AS bucket FROM m JOIN embeddings q ON q.vec_id = m.query_id)
@@ -301,10 +302,11 @@ def latency_nearest_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT event_type AS stage, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def latency_linear(spark: SparkSession, sf: str) -> DataFrame:
-    at = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("stage")).agg(at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"))
+    own = table(spark, sf, "events").select(F.col("event_type").alias("stage"), "value")
+    found = quantiles.linear(own, ["stage"], "value", {"p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("stage", *[F.round(c, 6).alias(c) for c in ("p50", "p90", "p99")])
 
 
 @query("WITH v AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY user_id) SELECT user_id, v[(round_even((len(v) - 1) * 0.95, 0))::INT + 1] AS p95 FROM v")
 def latency_rounded_index(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", metrics.rounded_index(F.col("v"), 0.95).alias("p95"))
+    return quantiles.rounded_ranks(table(spark, sf, "events"), ["user_id"], "value", {"p95": 0.95})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.operators import chunking, diffs, quotas
+from corvane.operators import chunking, diffs, quotas, run_reports
 from corvane.operators.retrieval import ranked
 from corvane.plans.registry import query
 from corvane.sources.tables import table
@@ -91,3 +91,14 @@ def chunk_long_tail(spark: SparkSession, sf: str) -> DataFrame:
     entries = F.when(kind == 1, F.transform(lines, lambda x: F.struct(F.lit("").alias("name"), x.alias("desc"))))
     rows = own.select("doc_id", F.lit(0).alias("no"), F.coalesce("source", F.lit("")).alias("section"), F.when(kind == 0, lines).alias("chunks"), entries.alias("list"), F.when(kind == 2, F.col("text")).otherwise(none).alias("text"))
     return chunking.long_tail(chunking.diagnosed(rows, 200), (100, 200, 400))
+
+
+@query("""WITH e AS (SELECT user_id % 10 AS team, event_type = 'error' AS error, event_type = 'signup' AS skipped, CASE WHEN value < 100 THEN (props::JSON->>'k')::DOUBLE / 100 END AS hit, value FROM events),
+g AS (SELECT *, NOT error AND NOT skipped AS good FROM e)
+SELECT team, count(*) AS row_count, count(*) FILTER (WHERE good) AS evaluated, count(*) FILTER (WHERE skipped) AS skipped, count(*) FILTER (WHERE error) AS errors, round(avg(hit) FILTER (WHERE good), 4) AS mean_hit, round(avg(value) FILTER (WHERE good), 3) AS mean_value,
+  round(max(value) FILTER (WHERE good), 3) AS max_value, round(quantile_cont(value, 0.5) FILTER (WHERE good), 3) AS p50_value, round(quantile_disc(value, 0.95) FILTER (WHERE good), 3) AS p95_value FROM g GROUP BY team""")
+def run_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as runs by team of users: errors fail, signups are skipped, values are times."""
+    kind, k = F.col("event_type"), F.try_variant_get(F.parse_json("props"), "$.k", "int")
+    own = table(spark, sf, "events").select((F.col("user_id") % 10).alias("team"), "event_type", F.when(F.col("value") < 100, k.cast("double") / 100).alias("hit"), "value")
+    return run_reports.summarized(own, "team", kind == "error", kind == "signup", ["hit"], ["value"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import embedding, metrics, ranking, retrieval
+from corvane.operators import embedding, metrics, quantiles, ranking, retrieval
 from corvane.plans.registry import neighbours_sql, query
 from corvane.plans.search import TOKENS, neighbours, passages
 from corvane.sources.tables import table
@@ -82,8 +82,9 @@ def cleaned_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {neighbours_sql()}, s AS (SELECT gold, count(*) AS n, round(avg(score), 6) AS mean, quantile_disc(score, 0.5) AS p50, min(score) AS least FROM h GROUP BY gold) SELECT * FROM s""")
 def score_separation(spark: SparkSession, sf: str) -> DataFrame:
-    half = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY score)")
-    return neighbours(spark, sf).groupBy("gold").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), half.alias("p50"), F.min("score").alias("least"))
+    own = neighbours(spark, sf)
+    sums = own.groupBy("gold").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), F.min("score").alias("least"))
+    return sums.join(quantiles.nearest_ranks(own, "gold", "score", {"p50": 0.5}), "gold")
 
 
 @query()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.operators import quantiles
 from corvane.operators import verdicts as V
 from corvane.plans.registry import query
 from corvane.sources.tables import table
@@ -198,9 +199,11 @@ def paired_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     """By slice of the queries, whether to adopt the new run; more than two regressions for each gain count as one."""
     k = F.col("k")
     rows = pairs(spark, sf)
-    p95 = lambda c: F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {c}.ms)")
-    side = lambda c: F.struct(F.avg(F.col(c).ok.cast("int")).alias("success"), p95(c).alias("p95"), F.avg(F.col(c).llm_calls).alias("llm_calls"), F.avg(F.col(c).calls).alias("calls"), F.avg(F.col(c).hit_5.cast("int")).alias("h5"), F.avg(F.col(c).mrr).alias("mrr"))
-    s = rows.groupBy((k % 40).alias("slice")).agg(F.count_if(F.col("verdict") == "regression").alias("regressions"), F.count_if(F.col("verdict") == "graph_win").alias("wins"), side("o").alias("o"), side("n").alias("n"))
+    slice_ = (k % 40).alias("slice")
+    late = [quantiles.nearest_ranks(rows.select(slice_, F.col(c).ms.alias("ms")), "slice", "ms", {f"p95_{c}": 0.95}) for c in ("o", "n")]
+    side = lambda c: F.struct(F.avg(F.col(c).ok.cast("int")).alias("success"), F.avg(F.col(c).llm_calls).alias("llm_calls"), F.avg(F.col(c).calls).alias("calls"), F.avg(F.col(c).hit_5.cast("int")).alias("h5"), F.avg(F.col(c).mrr).alias("mrr"))
+    s = rows.groupBy(slice_).agg(F.count_if(F.col("verdict") == "regression").alias("regressions"), F.count_if(F.col("verdict") == "graph_win").alias("wins"), side("o").alias("o"), side("n").alias("n"))
+    s = s.join(late[0], "slice").join(late[1], "slice").withColumns({c: F.col(c).withField("p95", F.col(f"p95_{c}")) for c in ("o", "n")})
     lift = (F.col("n.h5") - F.col("o.h5") >= V.EPS) | (F.col("n.mrr") - F.col("o.mrr") >= V.EPS)
     more = F.greatest(F.col("regressions") - 2 * F.col("wins"), F.lit(0))
     return s.select("slice", "regressions", "wins", F.round("o.success", 6).alias("old_success"), F.round("n.success", 6).alias("new_success"), V.recommendation(F.col("o"), F.col("n"), more, lift).alias("recommendation"))
