@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
-from corvane.operators import recovery
+from corvane.operators import emission, recovery
 from corvane.operators.retrieval import ranked
 from corvane.plans.evaluation import SIGNALS, verdicts
 from corvane.plans.registry import query
@@ -119,3 +119,16 @@ def adapted_records(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("chunk_id"), F.lit("").alias("page_id"), parts[0].alias("page_title"), F.lit("").alias("section_id"), F.array_join(F.filter(parts, lambda x: x != ""), nested.JOINER).alias("section_path"), F.lit("").alias("chunk_text"))
     gold = lines.sparkSession.createDataFrame([], "query_id string, page_id string, section_path string")
     return nested.adapted(lines, chunks, gold).select("query_id", "rank", "chunk_id", "page_title", "section_path", "problem")
+
+
+@query()
+def emitted_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations' turns as sections, exported as chunks by a run that stops after two of six slices and one that resumes it; chunks depend on those before, which SQL has no form of."""
+    own = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section"), "role", "text")
+    none = F.lit(None)
+    sections = own.select("doc_id", "section", none.cast("array<string>").alias("chunks"), F.array(F.struct(F.col("role").alias("name"), F.col("text").alias("desc"))).alias("list"), none.cast("string").alias("text"))
+    titles = own.where("section = 'turn 0'").select("doc_id", F.array_join(F.slice(T.tokens(F.col("text")), 1, 4), " ").alias("title"), F.lit("").alias("retrieval_title"), F.col("role").alias("kind"))
+    path = f"{scratch.folder(spark)}/chunks-{uuid.uuid4().hex}"
+    emission.emitted(sections, titles, path, "title_section", slices=6, upto=2)
+    emission.emitted(sections, titles, path, "title_section", slices=6)
+    return resumable.committed(spark, path, "doc_id long, section string, chunk int, chunk_id string, tokens int, digest string")
