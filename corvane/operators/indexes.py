@@ -60,36 +60,29 @@ def stage(vectors: DataFrame, folder: str, version: str) -> str:
 
 
 def serve(spark: SparkSession, folder: str, staged: str, version: str, model: str) -> None:
-    """Names the staged folder as what is served, in a file of the next number that no one else has made: two callers never share one, the greater number counts."""
+    """Names the staged folder as what is served, in a file of its own, of the next number. Two callers at once may take one number; what is then served is the
+    same for all readers, as the last file by name counts, and neither file is lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = path(f"{folder}/manifests")
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     body = json.dumps({"path": staged, "manifest": {"index_version": version, "embedding_model": model}}).encode()
-    n = max(_numbers(spark, folder), default=-1) + 1
-    while True:
-        try:
-            out = store.create(path(root, f"{n:012d}.json"), False)
-        except Exception as error:  # made by another caller meanwhile
-            if "FileAlreadyExists" not in str(error):
-                raise
-            n += 1
-            continue
-        out.write(body)
-        out.close()
-        return
-
-
-def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    n = max((int(x.partition("-")[0]) for x in _names(spark, folder)), default=-1) + 1
+    out = store.create(path(root, f"{n:012d}-{uuid.uuid4().hex}.json"), False)
+    out.write(body)
+    out.close()
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifests")
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     names = [x.getPath().getName() for x in store.listStatus(root)] if store.exists(root) else []
-    return [int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit()]
+    return sorted(x for x in names if x.endswith(".json") and x.partition("-")[0].isdigit())
 
 
 def _served(spark: SparkSession, folder: str) -> dict | None:
     """The last manifest that is whole: one that is being written, or whose writer was lost, is passed over."""
-    for n in sorted(_numbers(spark, folder), reverse=True):
-        text = "\n".join(r.value for r in spark.read.text(f"{folder}/manifests/{n:012d}.json").collect())
+    for name in reversed(_names(spark, folder)):
+        text = "\n".join(r.value for r in spark.read.text(f"{folder}/manifests/{name}").collect())
         if text.endswith("}}"):
             return json.loads(text)
     return None
