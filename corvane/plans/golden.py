@@ -46,7 +46,9 @@ def evaluated(spark: SparkSession, sf: str) -> DataFrame:
         F.when(c("l_linestatus") == "O", "v2").otherwise("v1").alias("index"), F.when(c("l_returnflag") == "R", "failed").otherwise("Embedded").alias("status"),
     )
     hits = lines.select("query_id", "rank", F.concat_ws("/", "l_returnflag", "l_linestatus").alias("body"), got.alias("got"))
-    best = lines.groupBy("query_id").agg(F.max_by("l_returnflag", "l_extendedprice").alias("f"), F.min_by("l_linestatus", "l_extendedprice").alias("s"))
+    # Of equal prices the first line by rank counts, and lines without a price or the value don't.
+    at = lambda c, place: F.when(F.col(c).isNotNull() & F.col("l_extendedprice").isNotNull(), F.struct("l_extendedprice", place))
+    best = lines.groupBy("query_id").agg(F.max_by("l_returnflag", at("l_returnflag", -F.col("rank"))).alias("f"), F.min_by("l_linestatus", at("l_linestatus", F.col("rank"))).alias("s"))
     own = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "query_id").join(best, "query_id", "left")
     p, price, om, od = F.substring("o_orderpriority", 1, 1).cast("int"), c("o_totalprice"), F.month("o_orderdate"), F.dayofmonth("o_orderdate")
     kind = F.when(c("o_orderstatus") == "F", "xlsx").when(c("o_orderstatus") == "O", "pdf").otherwise("")
