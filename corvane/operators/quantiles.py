@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.sources import scratch
+
 BINS = 128
 
 
@@ -18,11 +20,13 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Rank],
     """by, n_values, and under each name the value at the rank (from 1) that its function makes of the number of the group's values; nulls don't count.
 
     Values are counted first, so that repeated ones are one row. No task holds a group: cut points come from a sketch, bins are counted
-    where the rows are, and a window runs over the values of one bin and over one row for each bin.
+    where the rows are, and a window runs over the values of one bin and over one row for each bin. A sketch depends on the order in which
+    its parts arrive, so it is made once and written: bins are the same where they are counted and where ranks are looked for.
     """
     own = rows.select(*by, F.col(value).alias("_v")).where(F.col("_v").isNotNull())
     counts = own.groupBy(*by, "_v").agg(F.count("*").alias("_n"))
     cuts = own.groupBy(*by).agg(F.percentile_approx("_v", [i / bins for i in range(1, bins)], F.lit(10_000)).alias("_cuts"), F.count("_v").alias("_all"))
+    cuts = scratch.written(cuts)
 
     def met(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
         """Joined by groups, a null group being one too."""
