@@ -22,8 +22,8 @@ from corvane.sources import scratch
 
 #: Fixed parameters of BM25.
 K1, B = 1.5, 0.75
-#: Documents of a segment and of a block in it, queries of one pass over the segments and of one step of it.
-SEGMENT, BLOCK, SLAB, STEP = 4096, 8, 4096, 256
+#: Documents of a segment and of a block in it, queries of one pass over the segments and of one step of it, postings of a step beyond its first query.
+SEGMENT, BLOCK, SLAB, STEP, POSTINGS = 4096, 8, 4096, 256, 1 << 20
 #: So many different terms of queries are sent to the tasks that make segments, which then keep no others; beyond, segments have all terms.
 TERMS = 1_000_000
 LAYOUT = "ids array<bigint>, lengths array<int>, total bigint, terms array<bigint>, counts array<int>, firsts array<int>, blocks array<int>, peaks array<int>, shortest array<int>, starts array<int>, docs array<int>, tfs array<int>"
@@ -99,13 +99,15 @@ class Best:
         good = score >= self.floor[query]
         if not good.any():
             return
-        query, doc, score = (np.concatenate(x) for x in ((self.query, query[good]), (self.doc, doc[good]), (self.score, score[good])))
+        query, doc, score = query[good], doc[good], score[good]
+        own = slice(*np.searchsorted(self.query, [query.min(), query.max() + 1]))  # what is held is in order of queries
+        query, doc, score = (np.concatenate(x) for x in ((self.query[own], query), (self.doc[own], doc), (self.score[own], score)))
         order = np.lexsort((doc, -score, query))
         query, doc, score = query[order], doc[order], score[order]
         start = _runs(query)
         place = np.arange(len(query)) - np.repeat(start, np.diff(np.append(start, len(query))))
         held = place < self.k
-        self.query, self.doc, self.score = query[held], doc[held], score[held]
+        self.query, self.doc, self.score = (np.concatenate([x[: own.start], y[held], x[own.stop :]]) for x, y in ((self.query, query), (self.doc, doc), (self.score, score)))
         full = place == self.k - 1
         self.floor[query[full]] = score[full]
 
@@ -129,8 +131,8 @@ class Searcher:
         bound = impact(own["peaks"].astype(float), own["shortest"], self.mean)
         at = np.minimum(np.searchsorted(terms, self.term), len(terms) - 1)
         found = np.flatnonzero(terms[at] == self.term)
-        for low in range(0, self.queries, STEP):
-            some = found[slice(*np.searchsorted(self.query[found], [low, low + STEP]))]
+        for low, high in self._steps(self.query[found], own["starts"], own["firsts"], ends, last, at[found]):
+            some = found[slice(*np.searchsorted(self.query[found], [low, high]))]
             if not len(some):
                 continue
             n = ends[at[some]] - own["firsts"][at[some]]
@@ -140,7 +142,7 @@ class Searcher:
             self.total += int(size.sum())
             cell = query * blocks + own["blocks"][entry]
             most = np.bincount(cell, weight * bound[entry], STEP * blocks).reshape(STEP, blocks)
-            floor = self.best.floor[low : low + STEP]
+            floor = self.best.floor[low:high]
             floor = np.append(floor, np.full(STEP - len(floor), np.inf))
             # The best blocks of each query first, as they raise the score that the others have to reach.
             ahead = np.zeros(most.shape, bool)
@@ -148,11 +150,21 @@ class Searcher:
             np.put_along_axis(ahead, np.argpartition(-most, first - 1, axis=1)[:, :first], True, axis=1)
             ahead &= (most > 0) & (most + 1e-6 >= floor[:, None])
             self._open(own, low, entry, query, weight, size, ahead.ravel()[cell])
-            floor = self.best.floor[low : low + STEP]
+            floor = self.best.floor[low:high]
             floor = np.append(floor, np.full(STEP - len(floor), np.inf))
             rest = ~ahead & (most > 0) & (most + 1e-6 >= floor[:, None])
             self._open(own, low, entry, query, weight, size, rest.ravel()[cell])
 
+    def _steps(self, query: np.ndarray, starts: np.ndarray, firsts: np.ndarray, ends: np.ndarray, last: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of up to STEP queries with some POSTINGS in all, as what a step holds grows with both; a query of more is a step of its own."""
+        size = np.cumsum(np.bincount(query, last[ends[at] - 1] - starts[firsts[at]], self.queries))
+        low = 0
+        while low < self.queries:
+            most = (size[low - 1] if low else 0) + POSTINGS
+            high = min(low + STEP, max(low + 1, int(np.searchsorted(size, most, side="right"))), self.queries)
+            yield low, high
+            low = high
+
     def _open(self, own: dict, low: int, entry: np.ndarray, query: np.ndarray, weight: np.ndarray, size: np.ndarray, which: np.ndarray) -> None:
         """Scores the documents of these entries' blocks."""
         if not which.any():

@@ -13,6 +13,8 @@ from corvane.functions import text as T
 
 #: Query vectors of one pass over the corpus, which bounds what is broadcast.
 SLAB = 16_384
+#: Query vectors and rows that are multiplied at a time, which bounds what a task holds beside its batch.
+TILE, ROWS = 512, 1024
 #: Phrases of one pass over the documents.
 PHRASES = 10_000
 
@@ -42,23 +44,23 @@ def knn_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, dims: int | No
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, matrix = shared.value
             best, held = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-            for batch in batches:
+            for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
                 docs = batch["doc_id"].to_numpy()
                 if not len(docs) or not len(ids):
                     continue
                 mine = np.asarray(batch["vector"].flatten(), dtype=np.float64).reshape(len(docs), -1)[:, :dims]
-                for at in range(0, len(ids), 512):
-                    scores = np.round(matrix[at : at + 512] @ mine.T, 6)
-                    scores[ids[at : at + 512][:, None] == docs[None, :]] = -np.inf
-                    scores = np.hstack([best[at : at + 512], scores])
-                    names = np.hstack([held[at : at + 512], np.broadcast_to(docs, (len(scores), len(docs)))])
+                for at in range(0, len(ids), TILE):
+                    scores = np.round(matrix[at : at + TILE] @ mine.T, 6)
+                    scores[ids[at : at + TILE][:, None] == docs[None, :]] = -np.inf
+                    scores = np.hstack([best[at : at + TILE], scores])
+                    names = np.hstack([held[at : at + TILE], np.broadcast_to(docs, (len(scores), len(docs)))])
                     if scores.shape[1] > 4 * k:  # all that may tie with the k-th stay for the sort
                         least = np.partition(scores, -k, axis=1)[:, -k, None]
                         width = int((scores >= least).sum(axis=1).max())
                         some = np.argpartition(scores, -width, axis=1)[:, -width:]
                         scores, names = np.take_along_axis(scores, some, axis=1), np.take_along_axis(names, some, axis=1)
                     order = np.lexsort((names, -scores), axis=1)[:, :k]
-                    best[at : at + 512], held[at : at + 512] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+                    best[at : at + TILE], held[at : at + TILE] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
             good = np.isfinite(best)
             yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[good]), pa.array(held[good]), pa.array(best[good])], ["query_id", "doc_id", "score"])
 
