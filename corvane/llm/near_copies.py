@@ -1,6 +1,8 @@
 """Near copies by the Jaccard similarity of their sets of word shingles, exactly: no pair at or over the least similarity is missed.
 
-A fingerprint misses pairs at 0.8, so candidates come from an index of the shingles themselves with prefix filtering. With all shingles in
+SimHash fingerprints of the same shingles come first: those that differ in at most 4 bits are found by the byte-position index with count
+filtering of `simhash`, and pairs of their texts that the whole sets confirm are groups. A fingerprint misses pairs at 0.8, so the rest, pairs of
+texts that this leaves apart, comes from an index of the shingles themselves with prefix filtering. With all shingles in
 one order, two sets of that similarity share one of their first n - ceil(0.8 n) + 1, and by the first that they share, sizes and places
 bound how many they can share. The order is by counts in buckets of hashes, rare ones first, so that common passages seldom are posted;
 any order gives the same result. Candidates are verified by their whole sets.
@@ -103,23 +105,22 @@ def _pairs(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -
             yield np.full(int(ok.sum()), node[i]), node[to[ok]]
 
 
-def _central(node: np.ndarray, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a list in order of size with its pivots: of each stretch of sizes in reach of its first, the texts that have the fewest rarer shingles before
+def _central(node: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different roots of a list in order of size with its pivots: of each stretch of sizes in reach of its first, the texts that have the fewest rarer shingles before
     the one that they share. The text that variants were made of has none, so that these link to it, and few are left apart."""
     i, end = 0, np.searchsorted(n * LEAST[0], n * LEAST[1], side="right")
     while i < len(node):
         for p in (i + np.argsort(pos[i : end[i]], kind="stable")[:PIVOTS]).tolist():
-            ok = alike(np.minimum(n[p] - pos[p], n - pos), n[p], n)
-            ok[p] = False
+            ok = alike(np.minimum(n[p] - pos[p], n - pos), n[p], n) & (root != root[p])
             if ok.any():
                 yield np.full(int(ok.sum()), node[p]), node[ok]
         i = max(int(end[i]), i + 1)
 
 
 def _met(posts: DataFrame, short: int, rooted: bool) -> DataFrame:
-    """a, b, n, pos, key, over: candidate pairs (over = 0); of lists beyond `short`, pairs with pivots and their rows (over = 1: node in a).
+    """a, b, n, pos, key, over: candidate pairs of different roots (over = 0); of lists beyond `short`, pairs with pivots and their rows (over = 1: node in a).
     With `rooted`, all pairs of different roots of any list."""
-    columns = ["key", "node", "n", "pos", *(["root"] if rooted else [])]
+    columns = ["key", "node", "n", "pos", "root"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64)] * len(columns)
@@ -139,10 +140,11 @@ def _met(posts: DataFrame, short: int, rooted: bool) -> DataFrame:
         ends = np.append(cuts[1:], len(rows[0]))
         found, size = [], 0
         for s, e in zip(cuts[ends - cuts > 1].tolist(), ends[ends - cuts > 1].tolist(), strict=True):
-            key, node, n, pos, *root = (x[s:e] for x in rows)
+            key, node, n, pos, root = (x[s:e] for x in rows)
+            if (root == root[0]).all():
+                continue
             large = not rooted and e - s > short
-            every = root[0] if rooted else np.arange(e - s)
-            for pair in _central(node, n, pos) if large else _pairs(node, n, pos, every):
+            for pair in _central(node, n, pos, root) if large else _pairs(node, n, pos, root):
                 found.append(pair)
                 size += len(pair[0])
                 if size > 1_000_000:
@@ -197,15 +199,36 @@ def nodes(docs: DataFrame) -> DataFrame:
     return common.per_batch(own, step, "doc_id long, digest binary, node long")
 
 
+def fingerprinted(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
+    """a, b: links that join the texts (nodes of ids) whose fingerprints differ in at most 4 bits, as far as their whole sets have the least similarity."""
+    def step(batch: dict) -> dict:
+        texts = {node_of(x): x for x in batch["text"].to_pylist()}
+        return {"node": list(texts), "fp": np.array([simhash.fingerprint(x, words) for x in texts.values()], np.uint64).view(np.int64)}
+
+    prints = common.cut(common.per_batch(docs.select(common.as_bytes(F.col("text")).alias("text")), step, "node long, fp long", rows=ROWS).distinct())
+    first = common.cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
+    same = common.keyed(prints, first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    near = simhash.links(first.select("fp")).distinct().join(side("a"), "a").join(side("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    pairs = common.cut(same.unionByName(near))
+    return _verified(pairs, _sets(pairs, ids, docs, words))
+
+
+def _rooted(rows: DataFrame, root: DataFrame) -> DataFrame:
+    return rows.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def grouped(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataFrame:
     """doc_id, digest, root: the group of each row, joined by pairs of at least the least similarity."""
     docs = common.pick(docs, "doc_id", "text")
     ids = common.cut(nodes(docs))
-    met = common.cut(_met(_posted(docs.select(common.as_bytes(F.col("text")).alias("text")), words), short, False))
+    links = fingerprinted(docs, ids, words)
+    root = common.bounded(components(links))
+    met = common.cut(_met(_rooted(_posted(docs.select(common.as_bytes(F.col("text")).alias("text")), words), root), short, False))
     own = _sets(met, ids, docs, words)
-    links = _verified(met.where("over = 0"), own)
+    links = links.unionByName(_verified(met.where("over = 0"), own))
     root = common.cut(components(links))
-    over = met.where("over = 1").select("key", F.col("a").alias("node"), "n", "pos").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    over = _rooted(met.where("over = 1").select("key", F.col("a").alias("node"), "n", "pos"), root)
     if not over.isEmpty():
         rest = _verified(_met(over, short, True), own)
         root = components(links.unionByName(rest))
