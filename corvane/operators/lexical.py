@@ -8,12 +8,13 @@ each block, and only blocks whose bound reaches the query's k-th score are opene
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Accumulator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions import match as M
@@ -84,6 +85,18 @@ def segments(docs: DataFrame, wanted: np.ndarray | None = None, size: int = SEGM
     return docs.select(F.col("doc_id").cast("long"), hashed.alias("terms")).mapInArrow(run, LAYOUT)
 
 
+@contextlib.contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of `rows` rows at most for what is run inside, as two workers of a task hold the texts and tokens of a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(before, rows) if before > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, str(before))
+
+
 def impact(tf: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
@@ -191,7 +204,9 @@ def bm25_topk(docs: DataFrame, queries: DataFrame, k: int = 10, size: int = SEGM
     asked = scratch.written(asked)
     names = asked.select("term").distinct()
     few = names.limit(terms + 1).count() <= terms
-    own = scratch.written(segments(docs, np.sort(names.toArrow()["term"].to_numpy()) if few else None, size))
+    terms_of = np.sort(names.toArrow()["term"].to_numpy()) if few else None
+    with _batches(spark, size):
+        own = scratch.written(segments(docs, terms_of, size))
     sums = own.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.sum("total").alias("total")).first()
     mean = float(max(sums["total"] or 0, 1) / max(sums["n"], 1))
     df = own.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("df"))

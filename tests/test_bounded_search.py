@@ -41,3 +41,12 @@ def test_rows_by_tiles_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "ROWS", 7)
     monkeypatch.setattr(retrieval, "TILE", 3)
     assert sorted(map(tuple, retrieval.knn_topk(rows, asked, 6).collect())) == whole and len(whole) == 25 * 6
+
+
+def test_batches_of_texts_are_no_larger_than_segments(spark, monkeypatch):
+    name, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", [], lexical.scratch.written
+    before = spark.conf.get(name)
+    monkeypatch.setattr(lexical.scratch, "written", lambda df: (seen.append(spark.conf.get(name)), written(df))[1])
+    docs = spark.range(250).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"))
+    assert lexical.bm25_topk(docs, spark.range(1).select(F.col("id").alias("query_id"), F.lit("b").alias("text")), 3, size=100).count() == 3
+    assert "100" in seen and spark.conf.get(name) == before
