@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm import common, simhash
-from corvane.llm.components import components
+from corvane.llm.components import CHUNK, components
 
 WORDS, LEAST, SHORT, ROWS = 5, (4, 5), 8, 2000
 BUCKETS, SLICES, PIVOTS = 1 << 20, 64, 8
@@ -223,15 +223,15 @@ def grouped(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataFram
     docs = common.pick(docs, "doc_id", "text")
     ids = common.cut(nodes(docs))
     links = fingerprinted(docs, ids, words)
-    root = common.bounded(components(links))
+    root = common.bounded(components(links, whole=CHUNK))
     met = common.cut(_met(_rooted(_posted(docs.select(common.as_bytes(F.col("text")).alias("text")), words), root), short, False))
     own = _sets(met, ids, docs, words)
     links = links.unionByName(_verified(met.where("over = 0"), own))
-    root = common.cut(components(links))
+    root = common.cut(components(links, whole=CHUNK))
     over = _rooted(met.where("over = 1").select("key", F.col("a").alias("node"), "n", "pos"), root)
     if not over.isEmpty():
         rest = _verified(_met(over, short, True), own)
-        root = components(links.unionByName(rest))
+        root = components(links.unionByName(rest), whole=CHUNK)
     return ids.join(root, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 
 
