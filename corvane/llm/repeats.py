@@ -21,7 +21,7 @@ each other, and repeated rows have equal results. Further columns are not looked
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +77,53 @@ def _unpacked(body: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 class Answers:
-    """What a task takes from the files of the parts that it scans; holds one part at a time."""
+    """What a task takes from the files of the parts that it scans, as `make` has it of a part's table (None where it has none). Holds one part at a time
+    and makes it once, so that a part's batches don't each go through all of its answers."""
 
-    def __init__(self, path: str, columns: list[str]) -> None:
-        self.path, self.columns, self.part, self.table = path, columns, None, None
+    def __init__(self, path: str, columns: list[str], make: Callable[[pa.Table | None], object]) -> None:
+        self.path, self.columns, self.make, self.part, self.made = path, columns, make, None, None
 
-    def of(self, part: int) -> pa.Table | None:
+    def of(self, part: int):
         if part != self.part:
-            self.part, self.table = part, common.folder_table(f"{self.path}/part={part}", self.columns)
-        return self.table
+            self.made = None
+            self.part, self.made = part, self.make(common.folder_table(f"{self.path}/part={part}", self.columns))
+        return self.made
+
+
+def _copies(path: str) -> Answers:
+    """The part's copies of earlier texts, as (text, did)."""
+    return Answers(path, ["text", "did"], lambda x: set(zip(x["text"].to_pylist(), x["did"].to_pylist(), strict=True)) if x is not None else set())
+
+
+def _by_text(table: pa.Table | None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Ids of the texts of told anchors, ends, and each text's places in turn; bodies are unpacked one at a time."""
+    if table is None:
+        return None
+    kinds, counts = ["<i8", "<u4", "<u4"], []
+    for body in table["body"]:
+        ids, n, _ = _unpacked(body.as_py(), kinds)
+        counts.append((ids, n))
+    known, of = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+    ends = np.cumsum(np.bincount(of, np.concatenate([n for _, n in counts]), len(known)).astype(np.int64))
+    del counts, of
+    places, free = np.empty(int(ends[-1]) if len(ends) else 0, "<u4"), np.concatenate([[0], ends[:-1]])
+    for body in table["body"]:
+        ids, n, number = _unpacked(body.as_py(), kinds)
+        n, at = n.astype(np.int64), np.searchsorted(known, ids)  # a text is in a body once
+        places[np.arange(len(number)) + np.repeat(free[at] - (np.cumsum(n) - n), n)] = number
+        free[at] += n
+    return known, ends, places
+
+
+def _by_row(table: pa.Table | None) -> tuple[dict, np.ndarray, np.ndarray]:
+    """Where the spans of a text of an id are, and the spans."""
+    if table is None:
+        return {}, np.empty(0, np.int64), np.empty(0, np.int64)
+    text, did, at, length = (table[x].to_numpy() for x in ("text", "did", "at", "length"))
+    order = np.lexsort((did, text))
+    text, did, at, length = text[order], did[order], at[order], length[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(did) != 0)]))
+    return {(t, d): (a, b) for t, d, a, b in zip(text[cuts].tolist(), did[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(text)], strict=True)}, at, length
 
 
 def _by_part(batch: dict) -> Iterator[tuple[int, int, int]]:
@@ -97,7 +135,7 @@ def _by_part(batch: dict) -> Iterator[tuple[int, int, int]]:
 def _sent(rows: DataFrame, shards: int, copies: str) -> DataFrame:
     """shard, body: the anchors of a batch of texts that aren't exact copies of an earlier one, by shard: for each text its part, id and number of anchors; for each anchor its hash and the step to its place among the text's anchors."""
     def setup() -> Answers:
-        return Answers(copies, ["text", "did"])
+        return _copies(copies)
 
     def step(batch: dict) -> dict | None:
         texts, dids = batch["text"].to_pylist(), batch["did"].to_pylist()
@@ -105,7 +143,6 @@ def _sent(rows: DataFrame, shards: int, copies: str) -> DataFrame:
         live: list[int] = []
         for at, start, end in _by_part(batch):
             gone = batch[""].of(at)
-            gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
             live += [i for i in range(start, end) if (int(ids[i]), dids[i]) not in gone]
         if not live:
             return None
@@ -220,7 +257,7 @@ def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) ->
     names = [x.split(" ")[0] for x in schema.split(", ")]
 
     def setup() -> tuple:
-        return Answers(shared, ["body"]), Answers(copies, ["text", "did"]), np.sort(hot.value)
+        return Answers(shared, ["body"], _by_text), _copies(copies), np.sort(hot.value)
 
     def step(batch: dict) -> dict:
         answers, copied, hots = batch[""]
@@ -231,19 +268,13 @@ def _contexts(rows: DataFrame, shared: str, copies: str, hot, only_hot: bool) ->
                 continue
             texts, ids = batch["text"].slice(start, end - start).to_pylist(), batch["did"].slice(start, end - start).to_pylist()
             known = [text_id(x) for x in texts]
-            numbers: dict[int, list[np.ndarray]] = {t: [] for t in known}
-            for body in found["body"].to_pylist():
-                held, n, number = _unpacked(body, ["<i8", "<u4", "<u4"])
-                ends = np.cumsum(n.astype(np.int64))
-                for i in np.flatnonzero(np.isin(held, known)).tolist():
-                    numbers[int(held[i])].append(number[ends[i] - n[i] : ends[i]])
-            gone = copied.of(part)
-            gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
-            live = [i for i in range(len(texts)) if numbers[known[i]] and (known[i], ids[i]) not in gone]
+            held, upto, places = found
+            gone, at = copied.of(part), np.searchsorted(held, known).tolist()
+            live = [i for i, x in enumerate(at) if x < len(held) and held[x] == known[i] and (known[i], ids[i]) not in gone]
             for first, chunk in in_chunks([texts[i] for i in live]):
                 a = Anchors(chunk)
                 bases = np.searchsorted(a.text, np.arange(len(chunk)))
-                which = np.concatenate([bases[j] + np.concatenate(numbers[known[live[first + j]]]).astype(np.int64) for j in range(len(chunk))])
+                which = np.concatenate([bases[j] + places[upto[x - 1] if x else 0 : upto[x]].astype(np.int64) for j, x in enumerate(at[i] for i in live[first : first + len(chunk)])])
                 which = which[np.isin(a.hash[which].view(np.int64), hots) == only_hot]
                 if not len(which):
                     continue
@@ -376,21 +407,13 @@ def merged(n: int, at: np.ndarray, length: np.ndarray) -> list[tuple[int, int]]:
 def _kept(rows: DataFrame, found: str, copies: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (starts and ends in turn), kept."""
     def setup() -> tuple:
-        return Answers(found, ["text", "did", "at", "length"]), Answers(copies, ["text", "did"])
+        return Answers(found, ["text", "did", "at", "length"], _by_row), _copies(copies)
 
     def step(batch: dict) -> dict:
         answers, copied = batch[""]
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "spans", "kept")}
         for part, start, end in _by_part(batch):
-            spans: dict[tuple[int, int], tuple[int, int]] = {}
-            gone, own = copied.of(part), answers.of(part)
-            gone = set(zip(gone["text"].to_pylist(), gone["did"].to_pylist(), strict=True)) if gone is not None else ()
-            if own is not None:
-                text, did, at, length = (own[x].to_numpy() for x in ("text", "did", "at", "length"))
-                order = np.lexsort((did, text))
-                text, did, at, length = text[order], did[order], at[order], length[order]
-                cuts = np.flatnonzero(np.concatenate([[True], (np.diff(text) != 0) | (np.diff(did) != 0)]))
-                spans = {(t, d): (a, b) for t, d, a, b in zip(text[cuts].tolist(), did[cuts].tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(text)], strict=True)}
+            (spans, at, length), gone = answers.of(part), copied.of(part)
             for x, did_ in zip(batch["text"].slice(start, end - start).to_pylist(), batch["did"].slice(start, end - start).to_pylist(), strict=True):
                 key = (text_id(x), did_)
                 runs = []
