@@ -3,10 +3,13 @@
 A word's symbols stand in a row; a leaf of the tree holds the rank of the pair that starts at its symbol, with the place to
 break ties, and an inner node the least of its two. The root thus yields the leftmost pair of the lowest rank; a merge rewrites
 two or three leaves and their paths. The tree is used until the root holds no pair, so a word of n symbols takes n log n steps.
+Words of like length have their trees side by side in one array, where a step makes one merge of each; the few that are longer than
+others have a tree of their own.
 
 The file's own steps come first: its two special strings are cut out of the raw text, what is between is composed (NFC),
 lower-cased by character, and split into words; a word's UTF-8 bytes are its symbols, the last one marked as the word's end.
-Words recur, so each worker keeps the ids of the last `KEPT` to twice as many words. Python's Unicode tables and the library's are of
+What stands between blanks recurs, so each worker keeps the ids of the last `KEPT` to twice as many such pieces, and a slab of texts
+looks its pieces up at once: only those not met lately are cut into words and merged. Python's Unicode tables and the library's are of
 different versions: the driver compares the two over all code points, and a text with one that they treat differently takes its
 normal form and its words from the library's normalizer and splitter; merges are made here all the same. The file's content is
 broadcast, so workers need no path of the driver's. Nothing is shuffled.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -31,10 +35,15 @@ from pyspark.sql import functions as F
 
 from corvane.llm import common
 
-KEPT = 80_000
+KEPT = 200_000
+#: Characters of the pieces looked up at once, and of a text cut into pieces at once.
+SLAB, STRETCH = 1 << 20, 1 << 20
+#: Leaves of trees side by side at most; words of a length that are too few for it.
+LEAVES, FEW = 1 << 19, 8
 NONE = 1 << 62
-#: Fixed: the white space of the file's patterns, and its pattern of words.
+#: Fixed: the white space of the file's patterns, what str.split() takes for white space besides, and the file's pattern of words.
 BLANK = "\t-\r \x85\xa0  -     　"
+CONTROLS = "\x1c\x1d\x1e\x1f"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{BLANK}\p{{L}}\p{{N}}]+")
 
 
@@ -51,11 +60,16 @@ def byte_symbols() -> list[str]:
     return [rest.get(b, chr(b)) for b in range(256)]
 
 
-def words(text: str) -> list[str]:
-    """A text's words in normal form, by Python's tables."""
+def normal(text: str) -> str:
+    """A text's normal form, by Python's tables."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return WORDS.findall(text.lower())
+    return text.lower()
+
+
+def words(text: str) -> list[str]:
+    """A text's words in normal form, by Python's tables."""
+    return WORDS.findall(normal(text))
 
 
 class Library:
@@ -114,7 +128,7 @@ def strange_points(body: str) -> tuple[tuple[int, int], ...]:
 
 
 class Vocabulary:
-    """Pairs with rank and result, symbols of bytes, tokens by id, and the ids of words seen."""
+    """Pairs with rank and result, symbols of bytes, tokens by id, and the ids of pieces seen."""
 
     def __init__(self, body: str, strange: tuple[tuple[int, int], ...]) -> None:
         whole = json.loads(body)
@@ -125,6 +139,7 @@ class Vocabulary:
         model, ids = whole["model"], whole["model"]["vocab"]
         self.mark = model["end_of_word_suffix"] or ""
         self.pairs = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(map(tuple, model["merges"]))}
+        self.keys, self.ranks, self.results = self._table()
         self.inner = [ids[x] for x in byte_symbols()]
         self.last = [ids[x + self.mark] for x in byte_symbols()]
         self.special = {x["content"]: x["id"] for x in whole["added_tokens"]}
@@ -135,6 +150,72 @@ class Vocabulary:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of pairs in order, beside them their ranks; results by rank."""
+        found = sorted(((a << 32) + b, rank) for (a, b), (rank, _) in self.pairs.items())
+        keys, ranks = np.array([*found, (NONE, 0)], np.int64).T.copy()
+        results = np.zeros(1 + max(rank for rank, _ in self.pairs.values()), np.int64)
+        for rank, made in self.pairs.values():
+            results[rank] = made
+        return keys, ranks, results
+
+    def leaves(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Leaves of the pairs of symbols (-1: none) that start at these places."""
+        wanted = (a << 32) + b
+        found = np.searchsorted(self.keys, wanted)
+        return np.where(self.keys[found] == wanted, self.ranks[found] << 32 | at, NONE)
+
+    def merged_all(self, raw: list[bytes]) -> Iterator[bytes]:
+        """Ids of words of more than half of 2^k bytes, and 2^k at most, by trees side by side."""
+        sizes = np.array([len(x) for x in raw])
+        rows, width = len(raw), 1 << (int(sizes.max()) - 1).bit_length()
+        # One place more than leaves stands for what is before the first symbol and after the last.
+        span = width + 1
+        symbols = np.full((rows, span), -1, np.int64)
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbols[np.arange(span) < sizes[:, None]] = np.array(self.inner)[data]
+        symbols[np.arange(rows), sizes - 1] = np.array(self.last)[data[np.cumsum(sizes) - 1]]
+        tree = np.full((rows, 2 * width), NONE, np.int64)
+        tree[:, width:] = self.leaves(symbols[:, :-1], symbols[:, 1:], np.arange(width))
+        at = width
+        while at > 1:
+            np.minimum(tree[:, at : 2 * at : 2], tree[:, at + 1 : 2 * at : 2], out=tree[:, at // 2 : at])
+            at //= 2
+        after = np.tile(np.arange(1, span + 1), (rows, 1))
+        before = np.tile(np.arange(-1, width), (rows, 1))
+        before[:, 0] = width
+        symbols, tree, after, before = symbols.ravel(), tree.ravel(), after.ravel(), before.ravel()
+        live = np.arange(rows)
+        while True:
+            root = tree[live * (2 * width) + 1]
+            some = root != NONE
+            if not some.all():
+                live, root = live[some], root[some]
+            if not len(live):
+                break
+            base, top = live * span, live * (2 * width)
+            i = root & 0xFFFFFFFF
+            j = after[base + i]
+            k, h = after[base + j], before[base + i]
+            made = self.results[root >> 32]
+            symbols[base + i], symbols[base + j] = made, -1
+            after[base + i], before[base + k] = k, i
+            tree[top + width + j] = NONE
+            tree[top + width + i] = self.leaves(made, symbols[base + k], i)
+            # A first symbol has none before it, and j's leaf is empty already.
+            first = h == width
+            tree[top + width + np.where(first, j, h)] = np.where(first, NONE, self.leaves(symbols[base + h], made, h))
+            paths = width + np.stack([j, i, np.where(first, j, h)])
+            while paths[0, 0] > 1:
+                paths >>= 1
+                two = top + 2 * paths
+                tree[top + paths] = np.minimum(tree[two], tree[two + 1])
+        symbols = symbols.reshape(rows, span)
+        kept = symbols >= 0
+        ids = symbols[kept].astype("<u4").tobytes()
+        ends = np.cumsum([0, *kept.sum(1)]) * 4
+        return (ids[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True))
+
     def merged(self, symbols: list[int]) -> list[int]:
         n = len(symbols)
         pairs = self.pairs
@@ -177,34 +258,96 @@ class Vocabulary:
                 put(before[i])
         return [x for x in symbols if x >= 0]
 
-    def word(self, text: str) -> bytes:
-        """Ids of a word; of the words kept, those not met since the last change of generation go first."""
-        if len(self.young) >= KEPT:
-            self.old, self.young = self.young, {}
-        out = self.young.get(text) or self.old.get(text) or self._encoded(text)
-        if len(text) <= 64:
-            self.young[text] = out
+    def _words(self, found: Iterable[str]) -> dict[str, bytes]:
+        """Ids of different words."""
+        out: dict[str, bytes] = {}
+        alike: dict[int, list[tuple[str, bytes]]] = {}
+        for x in found:
+            raw = x.encode()
+            alike.setdefault((len(raw) - 1).bit_length(), []).append((x, raw))
+        for size, some in alike.items():
+            if len(some) < FEW or 1 << size > LEAVES:
+                for x, raw in some:
+                    out[x] = np.array(self.merged([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]), dtype="<u4").tobytes()
+                continue
+            step = max(1, LEAVES >> size)
+            for at in range(0, len(some), step):
+                part = some[at : at + step]
+                out.update(zip([x for x, _ in part], self.merged_all([raw for _, raw in part]), strict=True))
         return out
 
-    def _encoded(self, text: str) -> bytes:
-        raw = text.encode()
-        return np.array(self.merged([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]]), dtype="<u4").tobytes()
+    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of different pieces."""
+        letters = {x for x in pieces if x.isascii() and x.isalpha()}
+        out, cuts = {}, {}
+        for x in pieces:
+            if x[0] == "\n":
+                out[x] = np.array([self.special[x[1:]]], dtype="<u4").tobytes()
+            elif x not in letters:
+                cuts[x] = (x[1:],) if x[0] == " " else tuple(WORDS.findall(x))
+        ids = self._words(letters.union(*cuts.values()))
+        out.update((x, ids[x]) for x in letters)
+        out.update((x, b"".join([ids[w] for w in some])) for x, some in cuts.items())
+        return out
 
-    def _plain(self, text: str) -> bytes:
-        get, word = self.young.get, self.word
+    def _plain(self, text: str) -> Iterator[list[str]]:
         if not text.isascii() and self.strange[np.frombuffer(text.encode("utf-32-le"), "<u4")].any():
-            return b"".join([get(x) or word(x) for x in self.library.words(text)])
-        return b"".join([get(x) or word(x) for x in words(text)])
+            yield [" " + x for x in self.library.words(text)]
+            return
+        text, at = normal(text), 0
+        odd = any(x in text for x in CONTROLS)
+        while at < len(text):
+            end = text.find(" ", at + STRETCH)
+            part = text[at : end if end >= 0 else len(text)]
+            yield [" " + x for x in WORDS.findall(part)] if odd else part.split()
+            at += len(part)
+
+    def _pieces(self, text: str) -> Iterator[list[str]]:
+        """A text's pieces in normal form, by stretches: what stands between blanks; where that can't be told by split(), words, behind a
+        blank; special strings, behind a line end."""
+        at = 0
+        for cut in self.cuts.finditer(text) if any(x in text for x in self.special) else ():
+            yield from self._plain(text[at : cut.start()])
+            yield ["\n" + cut[0]]
+            at = cut.end()
+        yield from self._plain(text[at:])
+
+    def _look_up(self, held: list[tuple[list[bytes], list[str]]]) -> None:
+        """Adds the ids of pieces to their texts' parts; of the pieces kept, those not met since the last change of generation go first."""
+        different = set().union(*(some for _, some in held)).difference(self.young)
+        again = {x: self.old[x] for x in different if x in self.old}
+        self.young.update(again)
+        made = self._encoded(different.difference(again))
+        self.young.update(made)
+        for out, some in held:
+            out.append(b"".join(map(self.young.__getitem__, some)))
+        for x in made:
+            if len(x) > 64:
+                del self.young[x]
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        parts: list[list[bytes]] = []
+        held: list[tuple[list[bytes], list[str]]] = []
+        n = 0
+        for text in texts:
+            parts.append([])
+            for some in self._pieces(text):
+                held.append((parts[-1], some))
+                n += sum(map(len, some))
+                if n >= SLAB:
+                    self._look_up(held)
+                    held, n = [], 0
+            if not held:
+                yield from map(b"".join, parts)
+                parts = []
+        self._look_up(held)
+        yield from map(b"".join, parts)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not any(x in text for x in self.special):
-            return self._plain(text)
-        out, at = [], 0
-        for cut in self.cuts.finditer(text):
-            out += [self._plain(text[at : cut.start()]), np.array([self.special[cut[0]]], dtype="<u4").tobytes()]
-            at = cut.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> str:
         """The file has no decoder: tokens joined by spaces."""
@@ -240,7 +383,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids of every document."""
     def step(batch: dict) -> dict:
         own = batch[""]
-        found = [own.encode(x.as_py()) for x in batch["text"]]
+        found = list(own.encode_all(x.as_py() for x in batch["text"]))
         ends = np.cumsum([0, *(len(x) // 4 for x in found)])
         return {"doc_id": batch["doc_id"], "n_tokens": np.diff(ends), "ids": common.lists(ends, np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32))}
 
@@ -260,7 +403,7 @@ def coded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids, decoded: what encode() and decode() give of every document, in one row."""
     def step(batch: dict) -> dict:
         own = batch[""]
-        found = [np.frombuffer(own.encode(x.as_py()), dtype="<u4") for x in batch["text"]]
+        found = [np.frombuffer(x, dtype="<u4") for x in own.encode_all(x.as_py() for x in batch["text"])]
         ends = np.cumsum([0, *map(len, found)])
         ids = common.lists(ends, np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32))
         return {"doc_id": batch["doc_id"], "n_tokens": np.diff(ends), "ids": ids, "decoded": [own.decode(x.tolist()) for x in found]}
@@ -273,8 +416,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     def step(batch: dict) -> dict:
         own = batch[""]
         n, ids, decoded = [], [], []
-        for x in batch["text"]:
-            raw = own.encode(x.as_py())
+        for raw in own.encode_all(x.as_py() for x in batch["text"]):
             n.append(len(raw) // 4)
             ids.append(hashlib.sha256(raw).hexdigest())
             decoded.append(hashlib.sha256(own.decode(np.frombuffer(raw, dtype="<u4").tolist()).encode()).hexdigest())
