@@ -5,7 +5,8 @@ filtering of `simhash`, and pairs of their texts that the whole sets confirm are
 texts that this leaves apart, comes from an index of the shingles themselves with prefix filtering. With all shingles in
 one order, two sets of that similarity share one of their first n - ceil(0.8 n) + 1, and by the first that they share, sizes and places
 bound how many they can share. The order is by counts in buckets of hashes, rare ones first, so that common passages seldom are posted;
-any order gives the same result. Candidates are verified by their whole sets.
+any order gives the same result. Candidates are verified by their whole sets, of which only those are made and joined whose parities (a bit or two
+a shingle) leave the pair possible: where bits differ, the sets do, so that no pair at or over the least similarity is ruled out.
 
 Lists beyond `short` texts are first linked to a few texts of each size, those with the fewest shingles of their own; only pairs that this leaves apart
 are then compared.
@@ -40,6 +41,22 @@ def node_of(text: bytes) -> int:
     return int.from_bytes(hashlib.md5(b" ".join(text.lower().split())).digest()[:8], "little", signed=True)
 
 
+def parities(own: np.ndarray) -> bytes:
+    """A bit for each bucket of hashes, as many as a power of two from the set's size on: whether it holds an odd number of the set's shingles."""
+    size = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def unshared(x: bytes, y: bytes) -> int:
+    """A number of shingles that two sets of these parities don't share at least: each changes one bit, shared ones none."""
+    a, b = (np.frombuffer(z, "<u8") for z in (x, y))
+    while len(a) != len(b):
+        a, b = sorted((a, b), key=len)
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def alike(both: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """Whether sets of n and m that share `both` have the least similarity."""
     return both * (LEAST[0] + LEAST[1]) >= LEAST[0] * (n + m)
@@ -175,6 +192,19 @@ def _sets(met: DataFrame, ids: DataFrame, docs: DataFrame, words: int) -> DataFr
     return common.cut(common.per_batch(texts.dropDuplicates(["digest"]).select("node", "text"), step, "node long, body binary", rows=ROWS))
 
 
+def _possible(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """a, b of the pairs that sizes and parities, of rows (node, n, odd), don't rule out."""
+    def step(batch: dict) -> dict:
+        n, m = (np.asarray(batch[c]).astype(np.int64) for c in ("n", "m"))
+        apart = np.array([unshared(x.as_py(), y.as_py()) for x, y in zip(batch["x"], batch["y"], strict=True)], np.int64)
+        ok = pa.array(alike((n + m - apart) // 2, n, m))
+        return {"a": batch["a"].filter(ok), "b": batch["b"].filter(ok)}
+
+    pairs = pairs.select("a", "b").distinct()
+    x, y = (prints.select(F.col("node").alias(c), F.col("n").alias(n), F.col("odd").alias(odd)) for c, n, odd in (("a", "n", "x"), ("b", "m", "y")))
+    return common.cut(common.per_batch(pairs.join(x, "a").join(y, "b"), step, "a long, b long"))
+
+
 def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """a, b of the pairs whose whole sets, of rows (node, body), have the least similarity."""
     def step(batch: dict) -> dict:
@@ -189,6 +219,12 @@ def _verified(pairs: DataFrame, own: DataFrame) -> DataFrame:
     return common.cut(common.per_batch(pairs.join(x, "a").join(y, "b"), step, "a long, b long", rows=ROWS))
 
 
+def _confirmed(pairs: DataFrame, prints: DataFrame, ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """a, b of the pairs that have the least similarity; whole sets are made for those alone that parities leave."""
+    pairs = _possible(pairs, prints)
+    return _verified(pairs, _sets(pairs, ids, docs, words))
+
+
 def nodes(docs: DataFrame) -> DataFrame:
     """doc_id, digest (which tells the texts of an id apart), node."""
     def step(batch: dict) -> dict:
@@ -199,13 +235,21 @@ def nodes(docs: DataFrame) -> DataFrame:
     return common.per_batch(own, step, "doc_id long, digest binary, node long")
 
 
-def fingerprinted(docs: DataFrame, ids: DataFrame, words: int = WORDS) -> DataFrame:
-    """a, b: links that join the texts (nodes of ids) whose fingerprints differ in at most 4 bits, as far as their whole sets have the least similarity."""
+def _prints(docs: DataFrame, words: int) -> DataFrame:
+    """node, fp, n, odd: each different text's fingerprint, and its set's size and parities."""
     def step(batch: dict) -> dict:
-        texts = {node_of(x): x for x in batch["text"].to_pylist()}
-        return {"node": list(texts), "fp": np.array([simhash.fingerprint(x, words) for x in texts.values()], np.uint64).view(np.int64)}
+        hashes = {node_of(x): simhash.shingle_hashes(x, words) for x in batch["text"].to_pylist()}
+        sets = [np.unique(np.array(x, dtype=np.uint64)) for x in hashes.values()]
+        fp = np.array([simhash.majority(x) for x in hashes.values()], np.uint64).view(np.int64)
+        return {"node": list(hashes), "fp": fp, "n": [len(x) for x in sets], "odd": pa.array([parities(x) for x in sets], pa.binary())}
+
+    texts = docs.select(common.as_bytes(F.col("text")).alias("text"))
+    return common.cut(common.per_batch(texts, step, "node long, fp long, n int, odd binary", rows=ROWS).distinct())
 
-    prints = common.cut(common.per_batch(docs.select(common.as_bytes(F.col("text")).alias("text")), step, "node long, fp long", rows=ROWS).distinct())
+
+def fingerprinted(docs: DataFrame, ids: DataFrame, words: int = WORDS, prints: DataFrame | None = None) -> DataFrame:
+    """a, b: links that join the texts (nodes of ids) whose fingerprints differ in at most 4 bits, as far as their whole sets have the least similarity."""
+    prints = (_prints(docs, words) if prints is None else prints).select("node", "fp")
     first = common.cut(prints.groupBy("fp").agg(F.min("node").alias("first")))
     same = common.keyed(prints, first, "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     side = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
@@ -222,15 +266,15 @@ def grouped(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataFram
     """doc_id, digest, root: the group of each row, joined by pairs of at least the least similarity."""
     docs = common.pick(docs, "doc_id", "text")
     ids = common.cut(nodes(docs))
-    links = fingerprinted(docs, ids, words)
+    prints = _prints(docs, words)
+    links = fingerprinted(docs, ids, words, prints)
     root = common.bounded(components(links, whole=CHUNK))
     met = common.cut(_met(_rooted(_posted(docs.select(common.as_bytes(F.col("text")).alias("text")), words), root), short, False))
-    own = _sets(met, ids, docs, words)
-    links = links.unionByName(_verified(met.where("over = 0"), own))
+    links = links.unionByName(_confirmed(met.where("over = 0"), prints, ids, docs, words))
     root = common.cut(components(links, whole=CHUNK))
     over = _rooted(met.where("over = 1").select("key", F.col("a").alias("node"), "n", "pos"), root)
     if not over.isEmpty():
-        rest = _verified(_met(over, short, True), own)
+        rest = _confirmed(_met(over, short, True), prints, ids, docs, words)
         root = components(links.unionByName(rest), whole=CHUNK)
     return ids.join(root, "node", "left").select("doc_id", "digest", F.coalesce("root", "node").alias("root"))
 

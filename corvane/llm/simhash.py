@@ -49,9 +49,8 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [hashed(joined[i:j], 42) for i, j in zip(starts[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """Bits set in over half the XXH64 of the shingles; zero if there is no word."""
-    hashes = shingle_hashes(text, words)
+def majority(hashes: list[int]) -> int:
+    """Bits set in over half of these 64-bit hashes; zero if there is none."""
     if not hashes:
         return 0
     found = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
@@ -61,6 +60,11 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(counts * 2 > len(found), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """Bits set in over half the XXH64 of the shingles; zero if there is no word."""
+    return majority(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, fp: the fingerprint's 64 bits as a signed long; and digest, which tells the texts of an id apart."""
     def step(batch: dict) -> dict:
